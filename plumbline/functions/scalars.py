@@ -31,12 +31,17 @@ def is_text(dtype: T.DataType) -> bool:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing means NULL here: NaN in floating columns becomes NULL."""
-    floating = {
-        f.name: F.when(~F.isnan(F.col(quoted(f.name))), F.col(quoted(f.name)))
-        for f in df.schema.fields
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType))
-    }
-    return df.withColumns(floating) if floating else df
+    floating = [
+        f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+    ]
+    if not floating:
+        return df
+    return df.selectExpr(
+        *[
+            f"CASE WHEN NOT isnan({quoted(c)}) THEN {quoted(c)} END AS {quoted(c)}" if c in floating else quoted(c)
+            for c in df.columns
+        ]
+    )
 
 
 def settle(col: Column, digits: int) -> Column:

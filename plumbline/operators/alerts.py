@@ -25,6 +25,7 @@ DEFAULT_ROUTES = ("CRITICAL", "HIGH")
 KEY = ["alert_key", "channel"]
 LIGHT_LIMIT = 1000
 BLOCK_WINDOWS = 48
+GroupKey = tuple[pa.Scalar, ...]
 
 
 def route(findings: DataFrame, severities: Sequence[str] = DEFAULT_ROUTES) -> DataFrame:
@@ -107,7 +108,7 @@ def _hops(us: np.ndarray, window: int) -> np.ndarray:
 def _block_steps(window: int, length: int):
     """Step list of a block: allowed-from times up to ``at`` leave the block as ``leaves``."""
 
-    def steps(key, table: pa.Table) -> pa.Table:
+    def steps(key: GroupKey, table: pa.Table) -> pa.Table:
         us = np.sort(table.column("us").to_numpy())
         n = len(us)
         # jump pointers doubled until every chain has left the block
@@ -129,7 +130,7 @@ def _block_steps(window: int, length: int):
     return steps
 
 
-def _chain_blocks(key, table: pa.Table) -> pa.Table:
+def _chain_blocks(key: GroupKey, table: pa.Table) -> pa.Table:
     """Walk a key's blocks in time order and note what each block starts with."""
     block = table.column("block").to_numpy()
     order = np.lexsort((table.column("at").to_numpy(), block))
@@ -149,7 +150,7 @@ def _chain_blocks(key, table: pa.Table) -> pa.Table:
 
 
 def _mark_sent(window: int):
-    def mark(key, rows: pa.Table, entry: pa.Table) -> pa.Table:
+    def mark(key: GroupKey, rows: pa.Table, entry: pa.Table) -> pa.Table:
         us = np.sort(rows.column("us").to_numpy())
         hop = _hops(us, window)
         i = int(np.searchsorted(us, entry.column("allowed")[0].as_py(), side="left"))

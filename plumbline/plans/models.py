@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import half_even_int, settle
+from plumbline.session import shared_dir
 
 SUSPICIOUS_TOTAL = 50_000
 
@@ -117,3 +118,17 @@ def build_models(orders: DataFrame, users: DataFrame, products: DataFrame) -> di
         "mart_orders_summary": mart_orders_summary(so),
         "mart_user_activity": mart_user_activity(su, so),
     }
+
+
+def with_stored_marts(models: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write the marts to the shared folder and read them back; staging models stay views.
+
+    Tests read a mart several times, a stored one is computed once.
+    """
+    stored = dict(models)
+    for name, df in models.items():
+        if name.startswith("mart_"):
+            path = shared_dir(df.sparkSession, name)
+            df.write.parquet(path)
+            stored[name] = df.sparkSession.read.parquet(path)
+    return stored
