@@ -180,13 +180,16 @@ def suppress(
     length = window * block_windows
     names = alerts.columns
     rest = [c for c in names if c not in (*KEY, "sent_at")]
-    # one row per key and instant; duplicates meet in the partial aggregate
-    instants = (
-        alerts.groupBy(*KEY, "sent_at")
-        .agg(F.min(F.struct(*rest)).alias("_row"))
-        .withColumn("us", F.unix_micros(F.col("sent_at").cast("timestamp")))
-    )
-    heavy_keys = instants.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > light_limit).select(*KEY)
+    # reads the key columns only; counts alerts, an upper bound of the instants
+    heavy_keys = alerts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > light_limit).select(*KEY)
+
+    def instants(rows: DataFrame) -> DataFrame:
+        """One row per key and instant; duplicates meet in the partial aggregate."""
+        return (
+            rows.groupBy(*KEY, "sent_at")
+            .agg(F.min(F.struct(*rest)).alias("_row"))
+            .withColumn("us", F.unix_micros(F.col("sent_at").cast("timestamp")))
+        )
 
     # at most `light_limit` entries per array
     sorted_rows = F.array_sort(F.collect_list(F.struct("us", "sent_at", "_row")))
@@ -200,14 +203,14 @@ def suppress(
         lambda acc: acc["sent"],
     )
     light = (
-        instants.join(heavy_keys, KEY, "left_anti")
+        instants(alerts.join(heavy_keys, KEY, "left_anti"))
         .groupBy(*KEY)
         .agg(sorted_rows.alias("_all"))
         .select(*KEY, F.inline(fold))
         .select(*KEY, "sent_at", "_row")
     )
 
-    heavy = instants.join(heavy_keys, KEY, "left_semi")
+    heavy = instants(alerts.join(heavy_keys, KEY, "left_semi"))
     times = heavy.select(*KEY, F.expr(f"(us - pmod(us, {length})) div {length}").alias("block"), "us")
     ids = ", ".join(f"{k} string" for k in KEY)
     steps = times.groupBy(*KEY, "block").applyInArrow(

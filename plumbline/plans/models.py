@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import half_even_int, settle
-from plumbline.session import shared_dir
+from plumbline.session import stored
 
 SUSPICIOUS_TOTAL = 50_000
 
@@ -125,10 +125,4 @@ def with_stored_marts(models: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
     Tests read a mart several times, a stored one is computed once.
     """
-    stored = dict(models)
-    for name, df in models.items():
-        if name.startswith("mart_"):
-            path = shared_dir(df.sparkSession, name)
-            df.write.parquet(path)
-            stored[name] = df.sparkSession.read.parquet(path)
-    return stored
+    return {name: stored(df, name) if name.startswith("mart_") else df for name, df in models.items()}

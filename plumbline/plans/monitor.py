@@ -20,6 +20,7 @@ from plumbline.operators.rollups import chart_series, null_heatmap_last, run_his
 from plumbline.operators.schema import declared_schema, fingerprint
 from plumbline.operators.score import table_scores
 from plumbline.operators.snapshots import decode_history, to_snapshots
+from plumbline.session import stored
 from plumbline.sources.sinks import findings_for_csv, scores_for_csv, write_csv, write_json
 from plumbline.sources.specs import Source, scan_sources
 from plumbline.sources.store import Store
@@ -53,11 +54,17 @@ def cross_checks(snapshots: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def analyse(
-    spark: SparkSession, store: Store, out: str, at: dt.datetime, channel: str = "scheduler", with_forest: bool = True
+    spark: SparkSession,
+    store: Store,
+    out: str,
+    at: dt.datetime,
+    channel: str = "scheduler",
+    with_forest: bool = True,
+    batch: str | None = None,
 ) -> tuple[str, int]:
     """Everything after the profiles: reports and exports below ``out``, alerts into the store."""
     snapshots = store.snapshots()
-    history = decode_history(snapshots)
+    history = stored(decode_history(snapshots), "history")
     # findings feed six outputs; they are one row per flagged series, written once and read back
     path = f"{out}/findings"
     explain(best_findings(detect_all(history, with_forest))).write.mode("overwrite").parquet(path)
@@ -74,7 +81,7 @@ def analyse(
     write_json(run_history(snapshots), f"{out}/run_history")
 
     candidates = A.to_alerts(A.route(findings), channel, F.lit(at))
-    store.append_alerts(A.first_per_table(A.not_recently_sent(candidates, store.alerts())))
+    store.put_alerts(A.first_per_table(A.not_recently_sent(candidates, store.alerts(without_batch=batch))), batch)
     totals = report_totals(findings).first()
     return totals["overall_status"], totals["total_anomalies"]
 

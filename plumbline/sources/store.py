@@ -48,13 +48,23 @@ class Store:
         df = self._read("snapshots", f"{SNAPSHOT_SCHEMA}, batch string")
         return df if sources is None else df.filter(F.col("source").isin(sources))
 
-    def append_alerts(self, alerts: DataFrame) -> None:
-        alerts.select("alert_key", "channel", "sent_at", "severity", "summary").write.mode("append").parquet(
-            f"{self.base}/alert_log"
+    def put_alerts(self, alerts: DataFrame, batch: str | None = None) -> None:
+        """Add sent alerts to the log; writing a named batch again replaces it."""
+        columns = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
+        (
+            alerts.select(*columns)
+            .withColumn("sent_at", F.col("sent_at").cast("timestamp"))
+            .withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(f"{self.base}/alert_log")
         )
 
-    def alerts(self) -> DataFrame:
-        return self._read("alert_log", ALERT_SCHEMA)
+    def alerts(self, without_batch: str | None = None) -> DataFrame:
+        """The alert log, optionally as it was before a batch that is written again."""
+        df = self._read("alert_log", f"{ALERT_SCHEMA}, batch string")
+        return df if without_batch is None else df.filter(F.col("batch") != without_batch)
 
     def append_run(self, run: tuple) -> None:
         self.spark.createDataFrame([run], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.base}/runs")

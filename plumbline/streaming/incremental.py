@@ -28,7 +28,7 @@ def incremental_monitor(
 ) -> StreamingQuery:
     """Start the loop; ``batch_time`` is an aggregate that dates a batch (default: now).
 
-    A batch replayed after a failure overwrites the same folder, so no snapshot counts twice.
+    A batch replayed after a failure replaces its own snapshots and alerts, so none counts twice.
     """
     spark = stream.sparkSession
     trigger = trigger or {"availableNow": True}
@@ -39,8 +39,9 @@ def incremental_monitor(
         now = dt.datetime.now(dt.timezone.utc)
         at = batch.agg(batch_time.alias("at")).first()["at"] if batch_time is not None else now
         snaps = to_snapshots(profile_table(batch, source, table_name, F.lit(at).cast("timestamp")))
-        store.put_snapshots(snaps, f"{table_name}-{batch_id}")
-        analyse(spark, store, f"{out}/batch={batch_id}", at, with_forest=with_forest)
+        name = f"{table_name}-{batch_id}"
+        store.put_snapshots(snaps, name)
+        analyse(spark, store, f"{out}/batch={batch_id}", at, with_forest=with_forest, batch=name)
 
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.operators.alerts import KEY, WINDOW_MINUTES
+from plumbline.operators.alerts import KEY, WINDOW_MINUTES, not_recently_sent, suppress
+from plumbline.sources.store import Store
 
 OUTPUT = "alert_key string, channel string, sent_at timestamp, severity string, summary string"
 
@@ -45,6 +47,25 @@ def suppress_stream(alerts: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFra
     )
 
 
+def suppress_to_log(
+    alerts: DataFrame, store: Store, checkpoint: str, minutes: int = WINDOW_MINUTES, **trigger
+) -> StreamingQuery:
+    """Exact suppression without Python state: the alert log is the state.
+
+    Every batch drops what the log still covers, suppresses the rest with the batch operator
+    (which splits hot keys over time blocks) and adds what is sent to the log.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        name = f"stream-{batch_id}"
+        fresh = not_recently_sent(batch, store.alerts(without_batch=name), minutes)
+        store.put_alerts(suppress(fresh, minutes), name)
+
+    trigger = trigger or {"availableNow": True}
+    columns = alerts.select(*KEY, "sent_at", "severity", "summary")
+    return columns.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def suppress_approx(alerts: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
     """Built-in variant without Python: the first alert per key, then nothing for about a window.
 

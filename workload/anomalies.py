@@ -11,6 +11,7 @@ from plumbline.operators import detect as D
 from plumbline.operators import report as P
 from plumbline.operators.iforest import isolation_forest
 from plumbline.operators.profile import bucket_history
+from plumbline.session import stored
 from workload.inputs import (
     DETECT_CTES,
     FEED_CTES,
@@ -21,9 +22,10 @@ from workload.inputs import (
     ZSCORE_CTE,
     ctes,
     feed_history,
-    lines_history,
     number,
     settle,
+    stored_feed_history,
+    stored_lines_history,
     table,
 )
 from workload.quality import RULES_CTE, all_suites
@@ -37,7 +39,7 @@ RUN_AT = "2024-01-31T06:00:00.123456"
 
 def found(spark, sf_dir):
     """Best findings of both series detectors."""
-    history = feed_history(spark, sf_dir)
+    history = stored_feed_history(spark, sf_dir)
     return P.best_findings(P.detect_all(history, with_forest=False))
 
 
@@ -50,15 +52,15 @@ def zscore_row_count(spark, sf_dir):
         table_name=F.lit("orders"),
         profiled_at=F.expr("CAST(date_trunc('month', o_orderdate) AS DATE)"),
     )
-    return D.zscore(history).select(*SHOWN)
+    return D.zscore(stored(history, "orders_history")).select(*SHOWN)
 
 
 def zscore_all_metrics(spark, sf_dir):
-    return D.zscore(feed_history(spark, sf_dir)).select(*SHOWN)
+    return D.zscore(stored_feed_history(spark, sf_dir)).select(*SHOWN)
 
 
 def zscore_lines(spark, sf_dir):
-    return D.zscore(lines_history(spark, sf_dir)).select(*SHOWN)
+    return D.zscore(stored_lines_history(spark, sf_dir)).select(*SHOWN)
 
 
 def zscore_backtest(spark, sf_dir):
@@ -67,23 +69,23 @@ def zscore_backtest(spark, sf_dir):
 
 
 def zscore_constant_break(spark, sf_dir):
-    return D.zscore(feed_history(spark, sf_dir), flag_constant_break=True).select(*SHOWN)
+    return D.zscore(stored_feed_history(spark, sf_dir), flag_constant_break=True).select(*SHOWN)
 
 
 def iqr_all_metrics(spark, sf_dir):
-    return D.iqr(feed_history(spark, sf_dir)).select(*SHOWN)
+    return D.iqr(stored_feed_history(spark, sf_dir)).select(*SHOWN)
 
 
 def iqr_lines(spark, sf_dir):
-    return D.iqr(lines_history(spark, sf_dir)).select(*SHOWN)
+    return D.iqr(stored_lines_history(spark, sf_dir)).select(*SHOWN)
 
 
 def iforest_events(spark, sf_dir):
-    return isolation_forest(feed_history(spark, sf_dir))
+    return isolation_forest(stored_feed_history(spark, sf_dir))
 
 
 def findings_all(spark, sf_dir):
-    history = feed_history(spark, sf_dir)
+    history = stored_feed_history(spark, sf_dir)
     return P.merge_findings(D.zscore(history), D.iqr(history)).select(*SHOWN)
 
 
@@ -96,7 +98,7 @@ def report_severity(spark, sf_dir):
 
 
 def report_tables(spark, sf_dir):
-    history = feed_history(spark, sf_dir)
+    history = stored_feed_history(spark, sf_dir)
     return P.report_tables(history, P.best_findings(P.detect_all(history, with_forest=False)))
 
 
@@ -152,9 +154,9 @@ def report_alerts(spark, sf_dir):
     return rows.select("alert_key", "channel", "severity", "summary")
 
 
-def event_alerts(spark, sf_dir):
+def event_alerts(spark, sf_dir, events=None):
     """Every event as an alert of its type and user."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     severity = F.expr("CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' ELSE 'MEDIUM' END")
     return e.select(
         alert_key(F.col("event_type"), F.col("user_id").cast("string"), severity).alias("alert_key"),
@@ -301,7 +303,7 @@ _ALERTS_CTE = (
 )
 
 
-def _greedy_sql(rel: str, interval: str) -> str:
+def greedy_sql(rel: str, interval: str) -> str:
     """Recursive chain per key and channel: the next alert at least one window after the last sent."""
     return (
         "WITH RECURSIVE " + f"{_ALERTS_CTE[0]} AS ({_ALERTS_CTE[1]}), src AS ({rel}), "
@@ -365,8 +367,8 @@ ORACLE = {
     "(SELECT 'anomaly' AS kind, overall_status AS severity, total_anomalies AS n FROM totals UNION ALL "
     "SELECT 'rules', CASE WHEN count(*) > 0 THEN 'HIGH' ELSE 'CLEAN' END, count(*) FROM rules WHERE NOT passed) "
     "WHERE severity IN ('CRITICAL', 'HIGH')",
-    "alert_suppression": _greedy_sql("SELECT * FROM alerts WHERE severity IN ('CRITICAL', 'HIGH')", "INTERVAL 24 HOUR"),
-    "alert_suppression_hot": _greedy_sql(
+    "alert_suppression": greedy_sql("SELECT * FROM alerts WHERE severity IN ('CRITICAL', 'HIGH')", "INTERVAL 24 HOUR"),
+    "alert_suppression_hot": greedy_sql(
         "SELECT * REPLACE (split_part(summary, ' ', 1) AS alert_key, 'slack' AS channel) FROM alerts", "INTERVAL 60 MINUTE"
     ),
     "not_recently_sent": ctes(_ALERTS_CTE)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import bucket_history
+from plumbline.session import stored
 
 LAST_DAY = "DATE '2024-01-30'"
 
@@ -128,6 +129,11 @@ def feed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_feed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history written once, as in a monitoring run, for plans that read it several times."""
+    return stored(feed_history(spark, sf_dir), "feed_history")
+
+
 FEED_CTE = (
     "feed",
     sql_project("events", FEED)
@@ -156,7 +162,7 @@ FEED_CTES = (FEED_CTE, ("hist", _history_sql("feed", ["value", "user_id"], ["val
 
 _WEST = (
     "(l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1) OR "
-    "(l_returnflag = 'A' AND (l_linestatus = 'F' OR l_shipdate >= TIMESTAMP '2001-07-01'))"
+    "(l_returnflag = 'A' AND (l_linestatus = 'F' OR l_shipdate >= TIMESTAMP '2001-09-01'))"
 )
 LINES = {
     "source": f"CASE WHEN {_WEST} THEN 'west' ELSE 'east' END",
@@ -183,6 +189,10 @@ def lines_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_lines_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(lines_history(spark, sf_dir), "lines_history")
+
+
 LINES_CTES = (
     ("lines", sql_project("lineitem", LINES)),
     ("hist", _history_sql("lines", ["quantity", "discount", "tax"], ["quantity"], [])),

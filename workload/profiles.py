@@ -137,9 +137,10 @@ def profile_json_roundtrip(spark, sf_dir):
     return decode_history(to_snapshots(profiles)).select("table_name", "metric", "value")
 
 
-def _roundtrip_sql() -> str:
+def history_sql(*tables: str) -> str:
+    """Long history of profiled shop tables, given as relation, shown name, relation, ..."""
     out = []
-    for rel, shown in (("raw_orders", "orders"), ("raw_users", "users")):
+    for rel, shown in zip(tables[::2], tables[1::2]):
         prof = _profile_sql(rel, shown)
         out.append(f"SELECT DISTINCT '{shown}' AS table_name, 'row_count' AS metric, CAST(row_count AS DOUBLE) AS value FROM ({prof})")
         for m in ("null_pct", "mean", "std", "distinct_count"):
@@ -242,7 +243,7 @@ ORACLE = {
     "UNION ALL SELECT 'name', name, count(*) FROM raw_products GROUP BY name",
     "daily_profile_events": _daily_sql(),
     "metric_history": ctes(*FEED_CTES) + "SELECT source, table_name, profiled_at, metric, value FROM hist",
-    "profile_json_roundtrip": _roundtrip_sql(),
+    "profile_json_roundtrip": history_sql("raw_orders", "orders", "raw_users", "users"),
     "schema_fingerprints": ctes(*_OBSERVED_CTES) + "SELECT *, md5(columns_json) AS fingerprint FROM prints",
     "schema_drift": ctes(
         *_OBSERVED_CTES,

@@ -10,6 +10,7 @@ from plumbline.operators import rollups as R
 from plumbline.operators import score as C
 from plumbline.operators import snapshots as S
 from plumbline.operators.rules import summarize
+from plumbline.session import stored
 from workload.anomalies import event_alerts
 from workload.inputs import (
     DETECT_CTES,
@@ -22,13 +23,15 @@ from workload.inputs import (
     feed_history,
     lines_history,
     settle,
+    stored_feed_history,
+    stored_lines_history,
     table,
 )
 from workload.quality import RULES_CTE, all_suites
 
 
 def _feed_and_findings(spark, sf_dir):
-    history = feed_history(spark, sf_dir)
+    history = stored_feed_history(spark, sf_dir)
     return history, P.best_findings(P.detect_all(history, with_forest=False))
 
 
@@ -52,7 +55,7 @@ def row_count_delta(spark, sf_dir):
 
 
 def latest_values(spark, sf_dir):
-    return S.latest_values(lines_history(spark, sf_dir))
+    return S.latest_values(stored_lines_history(spark, sf_dir))
 
 
 # -- cross-source checks -----------------------------------------------------------------------------
@@ -72,11 +75,11 @@ def cross_row_count_details(spark, sf_dir):
 
 
 def cross_null_rate(spark, sf_dir):
-    return _issues(X.null_rate_consistency(lines_history(spark, sf_dir)))
+    return _issues(X.null_rate_consistency(stored_lines_history(spark, sf_dir)))
 
 
 def cross_null_rate_by_table(spark, sf_dir):
-    return _issues(X.null_rate_consistency(lines_history(spark, sf_dir), by_table=True))
+    return _issues(X.null_rate_consistency(stored_lines_history(spark, sf_dir), by_table=True))
 
 
 def source_growth(spark, sf_dir):
@@ -88,7 +91,7 @@ def volume_divergence(spark, sf_dir):
 
 
 def missing_tables(spark, sf_dir):
-    rows = X.missing_tables(_line_snapshots(spark, sf_dir))
+    rows = X.missing_tables(stored(_line_snapshots(spark, sf_dir), "line_snapshots"))
     return rows.select(
         "check", "subject", "severity", F.concat_ws(",", "present_in").alias("present_in"),
         F.concat_ws(",", "missing_from").alias("missing_from"),
@@ -98,7 +101,7 @@ def missing_tables(spark, sf_dir):
 def cross_report(spark, sf_dir):
     from plumbline.plans.monitor import cross_checks
 
-    history = lines_history(spark, sf_dir)
+    history = stored_lines_history(spark, sf_dir)
     return X.cross_report(cross_checks(S.row_counts(history), history))
 
 
@@ -114,7 +117,7 @@ def table_scores(spark, sf_dir):
 
 
 def table_scores_lines(spark, sf_dir):
-    history = lines_history(spark, sf_dir)
+    history = stored_lines_history(spark, sf_dir)
     return _scores(C.table_scores(history, P.best_findings(P.detect_all(history, with_forest=False))))
 
 
@@ -170,7 +173,7 @@ def worst_null_columns(spark, sf_dir):
 
 def chart_series(spark, sf_dir):
     """The feed's `value` column appears in every first snapshot; gaps show as zero."""
-    return R.chart_series(feed_history(spark, sf_dir)).drop("date")
+    return R.chart_series(stored_feed_history(spark, sf_dir)).drop("date")
 
 
 def run_snapshots(spark, sf_dir):
