@@ -74,7 +74,8 @@ def _zscore_findings(stats: DataFrame, min_history: int, flag_constant_break: bo
     flagged = F.abs("z") >= Z_FLAG
     severity = ladder(F.abs("z"), Z_STEPS, "MEDIUM")
     if flag_constant_break:
-        broke = (F.col("std") == 0) & (F.col("now") != F.col("mean"))
+        # the mean of equal doubles may be off in the last bit, their minimum is not
+        broke = (F.col("std") == 0) & (F.col("now") != F.col("least"))
         flagged = F.coalesce(flagged, F.lit(False)) | broke
         severity = F.when(broke, "HIGH").otherwise(severity)
     return as_findings(
@@ -98,7 +99,12 @@ def zscore(history: DataFrame, min_history: int = MIN_HISTORY, flag_constant_bre
     A series whose history never varied is skipped; ``flag_constant_break`` reports it when
     today's value leaves the constant.
     """
-    stats = series_today(history, F.avg("prior").alias("mean"), F.stddev_samp("prior").alias("std"))
+    stats = series_today(
+        history,
+        F.avg("prior").alias("mean"),
+        F.stddev_samp("prior").alias("std"),
+        F.min("prior").alias("least"),
+    )
     return _zscore_findings(stats.withColumnRenamed("today_at", "profiled_at"), min_history, flag_constant_break)
 
 
