@@ -6,6 +6,9 @@ metric kind and direction of the finding.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,50 +106,65 @@ def metric_kind() -> Column:
     )
 
 
-def _fill(template: Column) -> Column:
+def _with_marks(findings: DataFrame) -> DataFrame:
+    """Add the figures and names that templates refer to as columns ``_m_<mark>``."""
     change = F.abs(F.try_divide(F.col("today"), F.col("expected")) - 1) * 100
-    values = {
-        "{table}": table_key(F.col("source"), F.col("table_name")),
-        "{name}": F.col("table_name"),
-        "{column}": F.regexp_replace("metric", "^[a-z_]+\\.", ""),
-        "{metric}": F.col("metric"),
-        "{severity}": F.col("severity"),
-        "{side}": F.when(F.col("direction") == "HIGH", "above").otherwise("below"),
-        "{leader}": F.coalesce(F.get(F.col("top_contributors"), F.lit(0))["metric"], F.lit("several metrics")),
-        "{pct}": F.coalesce(settle(change, 1).cast("decimal(38,1)").cast("string"), F.lit(DASH)),
-        "{today}": F.coalesce(plain_number(F.col("today")), F.lit(DASH)),
-        "{expected}": expected_text(),
-    }
-    out = template
-    for mark, value in values.items():
-        out = F.replace(out, F.lit(mark), value)
-    return out
+    return findings.withColumns(
+        {
+            "_m_table": table_key(F.col("source"), F.col("table_name")),
+            "_m_name": F.col("table_name"),
+            "_m_column": F.regexp_replace("metric", "^[a-z_]+\\.", ""),
+            "_m_metric": F.col("metric"),
+            "_m_severity": F.col("severity"),
+            "_m_side": F.when(F.col("direction") == "HIGH", "above").otherwise("below"),
+            "_m_leader": F.coalesce(F.get(F.col("top_contributors"), F.lit(0))["metric"], F.lit("several metrics")),
+            "_m_pct": F.coalesce(settle(change, 1).cast("decimal(38,1)").cast("string"), F.lit(DASH)),
+            "_m_today": F.coalesce(plain_number(F.col("today")), F.lit(DASH)),
+            "_m_expected": expected_text(),
+            "_kind": metric_kind(),
+        }
+    )
+
+
+def _fill(template: Column, texts: Iterable[str]) -> Column:
+    """Replace the marks that occur in ``texts``."""
+    marks = sorted({m for text in texts for m in re.findall(r"{(\w+)}", text)})
+    for mark in marks:
+        template = F.replace(template, F.lit("{" + mark + "}"), F.col(f"_m_{mark}"))
+    return template
 
 
 def _pick(kind: Column, texts: dict[str, str]) -> Column:
+    """The text of a kind with its marks filled in."""
     out = F.lit(texts["other"])
     for name, text in texts.items():
         out = F.when(kind == name, F.lit(text)).otherwise(out)
-    return out
+    return _fill(out, texts.values())
+
+
+def _without_marks(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_m_")], "_kind")
 
 
 def explain(findings: DataFrame) -> DataFrame:
     """Add ``explanation``: one sentence per finding."""
-    kind = metric_kind()
+    kind = F.col("_kind")
     no_figures = F.col("expected").isNull() | (F.col("expected") == 0)
     kind = F.when(kind.startswith("row_count") & no_figures, F.concat(kind, F.lit("_bare"))).otherwise(kind)
-    return findings.withColumn("explanation", _fill(_pick(kind, SENTENCES)))
+    return _without_marks(_with_marks(findings).withColumn("explanation", _pick(kind, SENTENCES)))
 
 
 def root_cause(findings: DataFrame) -> DataFrame:
     """Add ``what_happened``, ``causes``, ``what_to_check`` and ``how_to_fix``."""
-    kind = metric_kind()
-    part = lambda pick: _fill(_pick(kind, {k: pick(v) for k, v in ROOT_CAUSES.items()}))
+    part = lambda pick: _pick(F.col("_kind"), {k: pick(v) for k, v in ROOT_CAUSES.items()})
     three = lambda i: F.array(*[part(lambda v, j=j: v[i][j]) for j in range(3)])
-    return findings.select(
-        "*",
-        part(lambda v: v[0]).alias("what_happened"),
-        three(1).alias("causes"),
-        three(2).alias("what_to_check"),
-        part(lambda v: v[3]).alias("how_to_fix"),
+    return _without_marks(
+        _with_marks(findings).withColumns(
+            {
+                "what_happened": part(lambda v: v[0]),
+                "causes": three(1),
+                "what_to_check": three(2),
+                "how_to_fix": part(lambda v: v[3]),
+            }
+        )
     )

@@ -1,13 +1,13 @@
 """Column profiles of whole tables and bucketed metric histories.
 
-A profile costs two passes over the referenced columns:
+A profile reads the moments of all columns once and every column once more for its values:
 
 * one wide aggregate for counts and moments (partial aggregation, one tiny
   shuffle of a single row per task);
-* one frequency table ``(column, value) -> n`` for exact distinct counts and top
-  values. Unpivoting first keeps a single shuffle keyed by column *and* value, so
-  neither a hot column nor a hot value lands in one task, and repeated values are
-  combined before they are shuffled.
+* one frequency table ``(column, value) -> n`` per data type for exact distinct counts
+  and, for text, top values. Unpivoting first keys the shuffle by column *and* value, so
+  neither a hot column nor a hot value lands in one task, and repeated values are combined
+  before they are shuffled.
 """
 
 from __future__ import annotations
@@ -36,35 +36,66 @@ def _as_text(name: str, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _counted(df: DataFrame, columns: Sequence[Column], names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Frequency table of columns of one type: ``(*keys, column, value, n)``.
+
+    Rows are turned into ``(slot number, value)`` pairs; a number is a cheaper key than a name.
+    """
+    pairs = [F.struct(F.lit(i).alias("_slot"), c.alias("value")) for i, c in enumerate(columns)]
+    shown = F.array(*[F.lit(n) for n in names])
+    return (
+        df.select(*[F.col(quoted(k)) for k in keys], F.inline(F.array(*pairs)))
+        .filter(F.col("value").isNotNull())
+        .groupBy(*keys, "_slot", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(*keys, F.get(shown, F.col("_slot")).alias("column"), "value", "n")
+    )
+
+
 def value_frequencies(
     df: DataFrame, columns: Sequence[str] | Mapping[str, str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """``(*keys, column, value, n)`` for the non-null values of ``columns``.
+    """``(*keys, column, value, n)`` for the non-null values of ``columns``, values as text.
 
     A mapping gives columns another name in the output.
     """
     shown = columns if isinstance(columns, Mapping) else {c: c for c in columns}
     types = {f.name: f.dataType for f in df.schema.fields}
-    slots = {f"_v{i}": c for i, c in enumerate(shown)}
-    wide = df.select(
-        *[F.col(quoted(k)) for k in keys],
-        *[_as_text(c, types[c]).alias(slot) for slot, c in slots.items()],
-    )
-    names = F.create_map(*[x for slot, c in slots.items() for x in (F.lit(slot), F.lit(shown[c]))])
-    return (
-        wide.unpivot(list(keys), list(slots), "_slot", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy(*keys, "_slot", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(*keys, names[F.col("_slot")].alias("column"), "value", "n")
-    )
+    return _counted(df, [_as_text(c, types[c]) for c in shown], list(shown.values()), keys)
+
+
+def _family(dtype: T.DataType) -> str:
+    """Type in which columns can share a frequency table without losing a distinction."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)) or is_text(dtype):
+        return "string"
+    return dtype.simpleString()
 
 
-def distinct_counts(frequencies: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def _count_values(frequencies: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     # reading n, although it is never zero, keeps this plan's exchange equal to that of top_values
     return frequencies.groupBy(*keys, "column").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
 
 
+def distinct_counts(
+    df: DataFrame, columns: Sequence[str] | Mapping[str, str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Exact ``(*keys, column, distinct_count)``; columns of one type share one shuffle."""
+    shown = columns if isinstance(columns, Mapping) else {c: c for c in columns}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    families: dict[str, list[str]] = {}
+    for c in shown:
+        families.setdefault(_family(types[c]), []).append(c)
+    parts = []
+    for family, members in families.items():
+        typed = [_as_text(c, types[c]) if family == "string" else F.col(quoted(c)).cast(family) for c in members]
+        parts.append(_count_values(_counted(df, typed, [shown[c] for c in members], keys), keys))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_values(frequencies: DataFrame, k: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """The ``k`` most frequent values per column, ties by value.
 
@@ -134,9 +165,9 @@ def profile_table(
         freq = value_frequencies(df, text)
         parts.append(top_values(freq, k).select("column", F.struct("rank", "value", "count").alias("top")))
         if not approx_distinct:
-            parts.append(distinct_counts(freq))
+            parts.append(_count_values(freq))
     if other and not approx_distinct:
-        parts.append(distinct_counts(value_frequencies(df, other)))
+        parts.append(distinct_counts(df, other))
 
     # a handful of rows per column meet in one group-by instead of several joins
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -220,7 +251,7 @@ def bucket_history(
         counted = tagged.groupBy(*keys).agg(F.count_distinct(slot[c]).cast("double").alias("value"))
         long = long.unionByName(counted.select(*keys, F.lit(f"distinct_count.{c}").alias("metric"), "value"))
     elif distinct_of:
-        counted = distinct_counts(value_frequencies(tagged, {slot[c]: c for c in distinct_of}, keys), keys)
+        counted = distinct_counts(tagged, {slot[c]: c for c in distinct_of}, keys)
         long = long.unionByName(
             counted.select(
                 *keys,

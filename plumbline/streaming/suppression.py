@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,23 @@ def _keep_first(window_us: int):
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         # only this trigger's alerts of one key; the source's rate limit bounds them
-        pdf = pd.concat(list(batches)).sort_values(["sent_at", "severity", "summary"], kind="stable")
-        us = pdf["sent_at"].astype("datetime64[us]").astype("int64").to_numpy()
+        chunks = list(batches)
+        pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        us = pdf["sent_at"].to_numpy().astype("datetime64[us]").astype("int64")
+        if len(us) > 1:
+            order = np.argsort(us, kind="stable")
+            if (np.diff(us[order]) == 0).any():
+                order = np.lexsort((pdf["summary"].to_numpy(str), pdf["severity"].to_numpy(str), us))
+        else:
+            order = [0]
         sent = []
-        for i, t in enumerate(us):
+        for i in order:
+            t = int(us[i])
             if last is None or t >= last + window_us:
                 sent.append(i)
-                last = int(t)
+                last = t
         state.update((last,))
-        yield pdf.iloc[sent][["alert_key", "channel", "sent_at", "severity", "summary"]]
+        yield pdf.take(sent) if len(sent) < len(pdf) else pdf
 
     return keep
 

@@ -45,7 +45,10 @@ def rows_of(columns, rows):
 def compare(spark, con, sf_dir, query, sql):
     """(equal, message, rows, spark seconds, duckdb seconds)"""
     t = time.time()
-    df = query(spark, sf_dir)
+    return compare_df(con, query(spark, sf_dir), sql, t)
+
+
+def compare_df(con, df, sql, t):
     got = df.collect()
     t_spark = time.time() - t
     if sql is None:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HISTORY = "source string, table_name string, profiled_at timestamp, metric string, value double"
 FINDINGS = (
@@ -15,6 +18,19 @@ FINDINGS = (
 START = dt.datetime(2026, 3, 1, 10)
 
 
+def local(spark, rows, ddl):
+    """A small table that needs no Python worker to be read."""
+    schema = T._parse_datatype_string(ddl)
+    arrow = to_arrow_schema(schema, timestamp_utc=True)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.names]
+    arrays = []
+    for values, field in zip(columns, arrow):
+        if "top_contributors" == field.name:
+            values = [None if v is None else [{"metric": m, "z_score": z} for m, z in v] for v in values]
+        arrays.append(pa.array(values, type=field.type))
+    return spark.createDataFrame(pa.table(arrays, schema=arrow), schema)
+
+
 def history(spark, series: dict[str, list], source="shop", table="orders"):
     """Metric history of one table: a list of daily values per metric, None for a gap."""
     rows = [
@@ -23,7 +39,7 @@ def history(spark, series: dict[str, list], source="shop", table="orders"):
         for i, v in enumerate(values)
         if v is not None
     ]
-    return spark.createDataFrame(rows, HISTORY)
+    return local(spark, rows, HISTORY)
 
 
 def clean_days(n=30, seed=42):
@@ -57,7 +73,7 @@ def finding(**kw):
 
 
 def findings(spark, *rows):
-    return spark.createDataFrame([finding(**r) for r in rows], FINDINGS)
+    return local(spark, [finding(**r) for r in rows], FINDINGS)
 
 
 def by(df, *keys):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 
 import __spark_entry__ as entry_module
-from tests.compare import compare, duck
-from tests.helpers import final_plan
+from tests.compare import compare_df, duck
+from tests.helpers import final_plan, plan
 
 ORACLE = entry_module.oracle_sql()
 QUERIES = entry_module.queries()
@@ -25,10 +26,19 @@ def test_only_known_queries_lack_sql():
     assert set(QUERIES) - set(ORACLE) == set(ROWS_ONLY) and set(ORACLE) <= set(QUERIES)
 
 
+PYTHON_NODES = re.compile(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMap\w*In\w+|MapInArrow")
+NEEDS_PYTHON = {"iforest_events", "alert_suppression", "alert_suppression_hot"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
-    ok, message, *_ = compare(spark, con, sf_dir, QUERIES[name], ORACLE.get(name))
+    """Equal rows, and a plan without Python or nested-loop joins where none is needed."""
+    df = QUERIES[name](spark, sf_dir)
+    ok, message, *_ = compare_df(con, df, ORACLE.get(name), time.time())
     assert ok, message
+    text = plan(df)
+    assert name in NEEDS_PYTHON or not PYTHON_NODES.search(text)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_distinct_users_are_close(spark, con, sf_dir):
@@ -43,17 +53,6 @@ def test_entry(spark):
     assert "z_score" in entry_module.entry(spark).columns
 
 
-PYTHON_NODES = re.compile(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMap\w*In\w+|MapInArrow")
-NEEDS_PYTHON = {"iforest_events", "alert_suppression", "alert_suppression_hot"}
-
-
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_") and n not in NEEDS_PYTHON))
-def test_plans_hold_no_python_and_no_cross_join(spark, sf_dir, name):
-    text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert not PYTHON_NODES.search(text)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_scans_read_only_needed_columns(spark, sf_dir):
     text = final_plan(QUERIES["zscore_backtest"](spark, sf_dir))
     assert "props" not in text
