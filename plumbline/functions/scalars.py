@@ -21,6 +21,18 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_literal(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal(value) -> str:
+    """SQL literal of a Python string, number or boolean; floats become DOUBLE."""
+    if isinstance(value, str):
+        return text_literal(value)
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType))
 

@@ -19,36 +19,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.scalars import is_numeric, is_text, nan_to_null, percent, quoted, settle
+from plumbline.functions.scalars import is_numeric, is_text, nan_to_null, percent, quoted, settle, text_literal
 
 METRICS_KEPT = ("null_pct", "mean", "std", "distinct_count")
 
 
-def _as_text(name: str, dtype: T.DataType) -> Column:
+def _as_text(name: str, dtype: T.DataType) -> str:
     """One text form per distinct value, so that unlike types share one frequency table."""
-    c = F.col(quoted(name))
+    c = quoted(name)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        c = c + F.lit(0.0).cast(dtype)  # -0.0 and 0.0 are one value
+        return f"CAST({c} + CAST(0 AS {dtype.simpleString()}) AS STRING)"  # -0.0 and 0.0 are one value
     if isinstance(dtype, T.BinaryType):
-        return F.hex(c)
+        return f"hex({c})"
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.when(c.isNotNull(), F.to_json(c))
-    return c.cast("string")
+        return f"IF({c} IS NOT NULL, to_json({c}), NULL)"
+    return f"CAST({c} AS STRING)"
 
 
-def _counted(df: DataFrame, columns: Sequence[Column], names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Frequency table of columns of one type: ``(*keys, column, value, n)``.
+def _counted(df: DataFrame, columns: Sequence[str], names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Frequency table of expressions of one type: ``(*keys, column, value, n)``.
 
     Rows are turned into ``(slot number, value)`` pairs; a number is a cheaper key than a name.
     """
-    pairs = [F.struct(F.lit(i).alias("_slot"), c.alias("value")) for i, c in enumerate(columns)]
-    shown = F.array(*[F.lit(n) for n in names])
+    pairs = ", ".join(f"struct({i} AS _slot, {c} AS value)" for i, c in enumerate(columns))
+    shown = ", ".join(text_literal(n) for n in names)
+    by = [quoted(k) for k in keys]
     return (
-        df.select(*[F.col(quoted(k)) for k in keys], F.inline(F.array(*pairs)))
-        .filter(F.col("value").isNotNull())
+        df.selectExpr(*by, f"inline(array({pairs}))")
+        .filter("value IS NOT NULL")
         .groupBy(*keys, "_slot", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(*keys, F.get(shown, F.col("_slot")).alias("column"), "value", "n")
+        .selectExpr(*by, f"get(array({shown}), _slot) AS column", "value", "n")
     )
 
 
@@ -91,7 +92,7 @@ def distinct_counts(
         families.setdefault(_family(types[c]), []).append(c)
     parts = []
     for family, members in families.items():
-        typed = [_as_text(c, types[c]) if family == "string" else F.col(quoted(c)).cast(family) for c in members]
+        typed = [_as_text(c, types[c]) if family == "string" else f"CAST({quoted(c)} AS {family})" for c in members]
         parts.append(_count_values(_counted(df, typed, [shown[c] for c in members], keys), keys))
     return reduce(DataFrame.unionByName, parts)
 
@@ -126,9 +127,8 @@ def _moments(df: DataFrame) -> DataFrame:
                 aggs.append(f"{function}({number}) AS {stat}{i}")
                 stats[stat] = f"round(round({stat}{i}, 9), 4)"
         shown = ", ".join(f"{v} AS {k}" for k, v in stats.items())
-        name = f.name.replace("\\", "\\\\").replace("'", "\\'")
         rows.append(
-            f"struct({i} AS position, '{name}' AS column, '{f.dataType.simpleString()}' AS dtype, row_count, "
+            f"struct({i} AS position, {text_literal(f.name)} AS column, {text_literal(f.dataType.simpleString())} AS dtype, row_count, "
             f"row_count - n{i} AS null_count, "
             f"round(round(try_divide(100D * (row_count - n{i}), row_count), 9), 2) AS null_pct, {shown})"
         )
@@ -152,14 +152,11 @@ def profile_table(
     parts = [_moments(df)]
     if approx_distinct:
         fields = df.schema.fields
-        row = df.agg(
-            *[F.approx_count_distinct(_as_text(f.name, f.dataType), 0.01).alias(f"_v{i}") for i, f in enumerate(fields)]
+        row = df.selectExpr(
+            *[f"approx_count_distinct({_as_text(f.name, f.dataType)}, 0.01D) AS _v{i}" for i, f in enumerate(fields)]
         )
-        pairs = [
-            F.struct(F.lit(f.name).alias("column"), F.col(f"_v{i}").alias("distinct_count"))
-            for i, f in enumerate(fields)
-        ]
-        parts.append(row.select(F.inline(F.array(*pairs))))
+        pairs = [f"struct({text_literal(f.name)} AS column, _v{i} AS distinct_count)" for i, f in enumerate(fields)]
+        parts.append(row.selectExpr(f"inline(array({', '.join(pairs)}))"))
     if text:
         # both readers of this table share one exchange
         freq = value_frequencies(df, text)
@@ -172,32 +169,38 @@ def profile_table(
     # a handful of rows per column meet in one group-by instead of several joins
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     kept = ("position", "dtype", "row_count", "null_count", "null_pct", "min", "max", "mean", "std")
-    out = merged.groupBy("column").agg(
-        *[F.max(c).alias(c) for c in kept],
-        F.coalesce(F.max("distinct_count"), F.lit(0)).alias("distinct_count"),
-        *([F.array_sort(F.collect_list("top")).alias("_tops")] if text else []),
-    )
-    tops = F.lit(None).cast("array<struct<value:string,count:bigint>>")
+    tops = "CAST(NULL AS ARRAY<STRUCT<value: STRING, count: BIGINT>>)"
     if text:
-        pairs = F.transform("_tops", lambda t: F.struct(t["value"].alias("value"), t["count"].alias("count")))
-        tops = F.when(F.col("column").isin(text), pairs)
-    return out.select(
-        F.lit(source).alias("source"),
-        F.lit(table_name).alias("table_name"),
-        at.alias("profiled_at"),
-        "column",
-        "dtype",
-        "position",
-        "row_count",
-        "null_count",
-        "null_pct",
-        "distinct_count",
-        F.coalesce(percent(F.col("distinct_count"), F.col("row_count"), 2), F.lit(0.0)).alias("distinct_pct"),
-        "min",
-        "max",
-        "mean",
-        "std",
-        tops.alias("top_values"),
+        names = ", ".join(text_literal(c) for c in text)
+        tops = (
+            "transform(array_sort(collect_list(top)), t -> named_struct('value', t.value, 'count', t.count))"
+        )
+        tops = f"IF(column IN ({names}), {tops}, NULL)"
+    return (
+        merged.groupBy("column")
+        .agg(
+            *[F.expr(f"max({c})").alias(c) for c in kept],
+            F.expr("coalesce(max(distinct_count), 0)").alias("distinct_count"),
+            F.expr(tops).alias("top_values"),
+        )
+        .select(
+            F.lit(source).alias("source"),
+            F.lit(table_name).alias("table_name"),
+            at.alias("profiled_at"),
+            "column",
+            "dtype",
+            "position",
+            "row_count",
+            "null_count",
+            "null_pct",
+            "distinct_count",
+            F.expr("coalesce(round(round(try_divide(100D * distinct_count, row_count), 9), 2), 0D)").alias("distinct_pct"),
+            "min",
+            "max",
+            "mean",
+            "std",
+            "top_values",
+        )
     )
 
 

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import DASH, quoted, settle
+from plumbline.functions.scalars import DASH, literal, quoted
 from plumbline.operators.profile import value_frequencies
 
 
@@ -55,33 +55,35 @@ def matches(column: str, pattern: str, mostly: float = 1.0) -> Rule:
     return Rule("matches", column, pattern=pattern, mostly=mostly)
 
 
-def row_condition(rule: Rule) -> Column:
+def condition_sql(rule: Rule) -> str:
     """True where a non-null value complies; NULL where the value is missing."""
-    c = F.col(quoted(rule.column))
+    c = quoted(rule.column)
     if rule.kind == "not_null":
-        return c.isNotNull()
+        return f"{c} IS NOT NULL"
     if rule.kind == "between":
-        return c.between(rule.low, rule.high)
+        return f"{c} BETWEEN {literal(rule.low)} AND {literal(rule.high)}"
     if rule.kind == "in_set":
-        return c.isin(list(rule.values))
+        return f"{c} IN ({', '.join(literal(v) for v in rule.values)})"
     if rule.kind == "matches":
-        return c.rlike(rule.pattern)
+        return f"{c} RLIKE {literal(rule.pattern)}"
     raise ValueError(f"{rule.kind} is not a row rule")
 
 
+def row_condition(rule: Rule) -> Column:
+    return F.expr(condition_sql(rule))
+
+
 def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with, per column ``i``: non-null rows, rows of duplicated values, duplicated values."""
-    freq = value_frequencies(df, columns)
-    repeated = F.col("n") > 1
     aggs = []
     for i, name in enumerate(columns):
-        mine = F.col("column") == name
+        mine = f"column = {literal(name)}"
         aggs += [
-            F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"filled{i}"),
-            F.coalesce(F.sum(F.when(mine & repeated, F.col("n"))), F.lit(0)).alias(f"repeated{i}"),
-            F.count_if(mine & repeated).alias(f"values{i}"),
+            f"coalesce(sum(IF({mine}, n, 0)), 0) AS filled{i}",
+            f"coalesce(sum(IF({mine} AND n > 1, n, 0)), 0) AS repeated{i}",
+            f"count_if({mine} AND n > 1) AS values{i}",
         ]
-    return freq.agg(*aggs)
+    return value_frequencies(df, columns).selectExpr(*aggs)
 
 
 def evaluate(df: DataFrame, suite: str, table_name: str, rules: Sequence[Rule]) -> DataFrame:
@@ -93,46 +95,34 @@ def evaluate(df: DataFrame, suite: str, table_name: str, rules: Sequence[Rule])
     row_rules = [r for r in rules if r.kind != "unique"]
     unique_rules = [r for r in rules if r.kind == "unique"]
 
-    def result(rule: Rule, passed: Column, observed: Column, total: Column) -> Column:
-        return F.struct(
-            F.lit(suite).alias("suite"),
-            F.lit(table_name).alias("table_name"),
-            F.lit(rule.column or "TABLE").alias("column"),
-            F.lit(rule.kind).alias("rule"),
-            passed.alias("passed"),
-            observed.cast("bigint").alias("observed"),
-            F.when(
-                ~passed,
-                F.lit("row count out of range")
-                if rule.kind == "row_count_between"
-                else F.concat(observed.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" break the rule")),
-            ).alias("detail"),
+    def result(rule: Rule, passed: str, observed: str, total: str) -> str:
+        detail = (
+            "'row count out of range'"
+            if rule.kind == "row_count_between"
+            else f"concat({observed}, ' of ', {total}, ' break the rule')"
+        )
+        return (
+            f"struct({literal(suite)} AS suite, {literal(table_name)} AS table_name, "
+            f"{literal(rule.column or 'TABLE')} AS column, {literal(rule.kind)} AS rule, {passed} AS passed, "
+            f"CAST({observed} AS BIGINT) AS observed, IF({passed}, NULL, {detail}) AS detail)"
         )
 
     parts = []
     if row_rules:
-        aggs = [F.count(F.lit(1)).alias("rows")]
+        aggs, structs = ["count(1) AS rows"], []
         for i, r in enumerate(row_rules):
             if r.kind == "row_count_between":
+                structs.append(result(r, f"(rows BETWEEN {literal(r.low)} AND {literal(r.high)})", "rows", "rows"))
                 continue
-            aggs.append(F.count_if(row_condition(r)).alias(f"ok{i}"))
-            aggs.append((F.count(F.lit(1)) if r.kind == "not_null" else F.count(F.col(quoted(r.column)))).alias(f"of{i}"))
-        structs = []
-        for i, r in enumerate(row_rules):
-            if r.kind == "row_count_between":
-                structs.append(result(r, F.col("rows").between(r.low, r.high), F.col("rows"), F.col("rows")))
-                continue
-            ok, of = F.col(f"ok{i}"), F.col(f"of{i}")
-            share = F.coalesce(F.try_divide(ok, of), F.lit(1.0))
-            structs.append(result(r, share >= r.mostly, of - ok, of))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+            counted = "1" if r.kind == "not_null" else quoted(r.column)
+            aggs += [f"count_if({condition_sql(r)}) AS ok{i}", f"count({counted}) AS of{i}"]
+            share = f"coalesce(try_divide(ok{i}, of{i}), 1D)"
+            structs.append(result(r, f"({share} >= {float(r.mostly)!r}D)", f"(of{i} - ok{i})", f"of{i}"))
+        parts.append(df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(structs)}))"))
     if unique_rules:
+        structs = [result(r, f"(repeated{i} = 0)", f"repeated{i}", f"filled{i}") for i, r in enumerate(unique_rules)]
         counts = duplicate_rows(df, [r.column for r in unique_rules])
-        structs = [
-            result(r, F.col(f"repeated{i}") == 0, F.col(f"repeated{i}"), F.col(f"filled{i}"))
-            for i, r in enumerate(unique_rules)
-        ]
-        parts.append(counts.select(F.inline(F.array(*structs))))
+        parts.append(counts.selectExpr(f"inline(array({', '.join(structs)}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -200,47 +190,40 @@ class ModelTests:
 def model_tests(df: DataFrame, model: str, tests: ModelTests) -> DataFrame:
     """Rows ``(model, column, test, passed, detail)``; one scan plus one frequency table."""
 
-    def result(column: str, test: str, passed: Column, detail: Column) -> Column:
-        return F.struct(
-            F.lit(model).alias("model"),
-            F.lit(column).alias("column"),
-            F.lit(test).alias("test"),
-            passed.alias("passed"),
-            F.when(~passed, detail).alias("detail"),
+    def result(column: str, test: str, passed: str, detail: str) -> str:
+        return (
+            f"struct({literal(model)} AS model, {literal(column)} AS column, {literal(test)} AS test, "
+            f"{passed} AS passed, IF({passed}, NULL, concat({detail})) AS detail)"
         )
 
-    n = lambda name: F.col(name).cast("string")
-    aggs, structs = [F.count(F.lit(1)).alias("rows")], []
+    aggs, structs = ["count(1) AS rows"], []
     for i, c in enumerate(tests.not_null):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"nn{i}"))
-        structs.append(result(c, "not_null", F.col(f"nn{i}") == 0, F.concat(n(f"nn{i}"), F.lit(" null(s)"))))
+        aggs.append(f"count_if({quoted(c)} IS NULL) AS nn{i}")
+        structs.append(result(c, "not_null", f"(nn{i} = 0)", f"nn{i}, ' null(s)'"))
     for i, (c, share) in enumerate(tests.not_null_mostly):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"nm{i}"))
+        aggs.append(f"count_if({quoted(c)} IS NULL) AS nm{i}")
         # an empty table has a present share of zero and fails
-        present = F.coalesce(F.try_divide(F.col("rows") - F.col(f"nm{i}"), F.col("rows")), F.lit(0.0))
-        missing = settle((1 - present) * 100, 1).cast("string")
+        present = f"coalesce(try_divide(rows - nm{i}, rows), 0D)"
+        missing = f"round(round((1 - {present}) * 100, 9), 1)"
         structs.append(
             result(
                 c,
                 f"not_null (≥{int(share * 100)}%)",
-                present >= share,
-                F.concat(n(f"nm{i}"), F.lit(" nulls ("), missing, F.lit("%)")),
+                f"({present} >= {float(share)!r}D)",
+                f"nm{i}, ' nulls (', {missing}, '%)'",
             )
         )
     for i, (c, allowed) in enumerate(tests.accepted_values):
-        aggs.append(F.count_if(~F.col(c).isin(list(allowed))).alias(f"av{i}"))
-        structs.append(
-            result(c, "accepted_values", F.col(f"av{i}") == 0, F.concat(n(f"av{i}"), F.lit(" invalid value(s)")))
-        )
+        aggs.append(f"count_if({quoted(c)} NOT IN ({', '.join(literal(v) for v in allowed)})) AS av{i}")
+        structs.append(result(c, "accepted_values", f"(av{i} = 0)", f"av{i}, ' invalid value(s)'"))
     parts = []
     if structs:
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+        parts.append(df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(structs)}))"))
     if tests.unique:
         structs = [
-            result(c, "unique", F.col(f"values{i}") == 0, F.concat(n(f"values{i}"), F.lit(" duplicate(s)")))
-            for i, c in enumerate(tests.unique)
+            result(c, "unique", f"(values{i} = 0)", f"values{i}, ' duplicate(s)'") for i, c in enumerate(tests.unique)
         ]
-        parts.append(duplicate_rows(df, tests.unique).select(F.inline(F.array(*structs))))
+        parts.append(duplicate_rows(df, tests.unique).selectExpr(f"inline(array({', '.join(structs)}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
