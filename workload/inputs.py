@@ -50,7 +50,7 @@ ORDERS = {
     "user_id": "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END",
     "product_id": "o_orderkey % 200",
     "total": "CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN 0E0 - o_totalprice "
-    "ELSE o_totalprice / 8E0 END",
+    "ELSE CAST(floor(o_totalprice / 8E0) AS DOUBLE) END",
     "status": "CASE WHEN o_orderkey % 101 = 0 THEN ' Shipped' WHEN o_orderstatus = 'F' THEN 'paid' "
     "WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'REFUNDED ' END",
     "created_at": "CAST(CAST(o_orderdate AS DATE) AS STRING)",
