@@ -26,6 +26,9 @@ from plumbline.sources.specs import Source, scan_sources
 from plumbline.sources.store import Store
 
 
+TABLES_PER_JOB = 20
+
+
 @dataclass
 class RunResult:
     status: str
@@ -34,13 +37,39 @@ class RunResult:
 
 
 def take_snapshots(spark: SparkSession, tables: Sequence[tuple[str, str, DataFrame]], at: dt.datetime) -> DataFrame:
-    """Snapshot rows of many tables as one plan: all profiles run in a single job."""
+    """Snapshot rows of several tables as one plan: their profiles run in a single job."""
     when = F.lit(at)
     profiles = reduce(DataFrame.unionByName, [profile_table(df, s, t, when) for s, t, df in tables])
     schemas = reduce(DataFrame.unionByName, [declared_schema(spark, df, s, t) for s, t, df in tables])
     return to_snapshots(profiles, fingerprint(schemas))
 
 
+def store_snapshots(
+    spark: SparkSession,
+    tables: Sequence[tuple[str, str, DataFrame]],
+    store: Store,
+    at: dt.datetime,
+    tables_per_job: int = TABLES_PER_JOB,
+) -> list[str]:
+    """Profile and store all tables, several per job; returns what went wrong.
+
+    When a job fails its tables are tried one by one, so that a table that cannot be read does
+    not take others with it. Batches have names, a retry replaces what was written.
+    """
+    errors = []
+    for i in range(0, len(tables), tables_per_job):
+        group = tables[i : i + tables_per_job]
+        try:
+            store.put_snapshots(take_snapshots(spark, group, at), f"{at:%Y%m%dT%H%M%S%f}-{i}")
+        except Exception:  # any failure of the job; the single tables tell which one it was
+            for j, (source, name, df) in enumerate(group):
+                try:
+                    store.put_snapshots(take_snapshots(spark, [(source, name, df)], at), f"{at:%Y%m%dT%H%M%S%f}-{i}-{j}")
+                except Exception as e:
+                    errors.append(f"{source}.{name}: {str(e).splitlines()[0]}")
+    return errors
+
+
 def cross_checks(snapshots: DataFrame, history: DataFrame) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
@@ -81,7 +110,8 @@ def analyse(
     write_json(run_history(snapshots), f"{out}/run_history")
 
     candidates = A.to_alerts(A.route(findings), channel, F.lit(at))
-    store.put_alerts(A.first_per_table(A.not_recently_sent(candidates, store.alerts(without_batch=batch))), batch)
+    recent = store.alerts(without_batch=batch).filter(F.col("sent_at") > F.lit(at - dt.timedelta(minutes=A.WINDOW_MINUTES)))
+    store.put_alerts(A.first_per_table(A.not_recently_sent(candidates, recent)), batch)
     totals = report_totals(findings).first()
     return totals["overall_status"], totals["total_anomalies"]
 
@@ -102,7 +132,7 @@ def run(
     status, anomalies = "ERROR", 0
     try:
         if scan.tables:
-            store.put_snapshots(take_snapshots(spark, scan.tables, at))
+            errors += store_snapshots(spark, scan.tables, store, at)
             status, anomalies = analyse(spark, store, out, at, with_forest=with_forest)
     finally:
         store.append_run(

@@ -81,6 +81,14 @@ def jdbc_options(source: Source, table: str) -> dict[str, str]:
     }
 
 
+def _jdbc_catalogue(url: str) -> tuple[str, str, str]:
+    """Where a database lists its tables: catalogue table, name column, row condition."""
+    if url.startswith("jdbc:sqlite:"):
+        return "sqlite_master", "name", "type = 'table' AND NOT startswith(name, 'sqlite_')"
+    system = "'information_schema', 'pg_catalog', 'mysql', 'performance_schema', 'sys'"
+    return "information_schema.tables", "table_name", f"lower(table_schema) NOT IN ({system})"
+
+
 def list_tables(spark: SparkSession, source: Source) -> list[str]:
     """Table names of a source: the catalog, the entries of its folder or the names it lists."""
     if source.tables:
@@ -88,12 +96,9 @@ def list_tables(spark: SparkSession, source: Source) -> list[str]:
     if source.kind == "catalog":
         return sorted(t.name for t in spark.catalog.listTables(source.path))
     if source.kind == "jdbc":
-        names = (
-            spark.read.format("jdbc")
-            .options(**jdbc_options(source, "information_schema.tables"))
-            .load()
-        )
-        return sorted(r[0] for r in names.select("table_name").distinct().collect())
+        table, name, condition = _jdbc_catalogue(source.url)
+        rows = spark.read.format("jdbc").options(**jdbc_options(source, table)).load().filter(condition)
+        return sorted(r[0] for r in rows.select(name).distinct().collect())  # names only
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(source.path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     entries = [s.getPath().getName() for s in fs.listStatus(jvm_path)]

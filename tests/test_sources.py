@@ -94,6 +94,23 @@ def test_pruning_and_pushdown_reach_the_scan(spark, files):
     assert "EqualTo(g,1)" in text and "ReadSchema: struct<id:bigint,g:bigint>" in text
 
 
+def test_table_that_breaks_while_reading_does_not_stop_others(spark, tmp_path):
+    bad = spark.range(3).selectExpr("CAST(concat('x', id) AS INT) AS n")  # fails only when it runs
+    store = Store(spark, str(tmp_path))
+    tables = [("s", "a", spark.range(5)), ("s", "bad", bad), ("s", "b", spark.range(6))]
+    errors = monitor.store_snapshots(spark, tables, store, START)
+    assert len(errors) == 1 and errors[0].startswith("s.bad: ")
+    assert {r["table_name"]: r["row_count"] for r in store.snapshots().collect()} == {"a": 5, "b": 6}
+
+
+@pytest.mark.parametrize(("url", "table"), [("jdbc:sqlite:x", "sqlite_master"), ("jdbc:mysql://h/d", "information_schema.tables")])
+def test_jdbc_catalogue(spark, url, table):
+    name, column, condition = P._jdbc_catalogue(url)
+    assert name == table
+    df = spark.createDataFrame([("table", "t", "t", "public"), ("index", "i", "i", "sys")], "type string, name string, table_name string, table_schema string")
+    assert [r[0] for r in df.filter(condition).select(column).collect()] == ["t"]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert stored(spark.range(4), "x").count() == 4
