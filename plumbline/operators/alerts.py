@@ -112,8 +112,8 @@ def _block_steps(window: int, length: int):
         us = np.sort(table.column("us").to_numpy())
         n = len(us)
         # jump pointers doubled until every chain has left the block
-        hop = np.append(_hops(us, window), n)
-        last = np.arange(n + 1)
+        hop = np.append(_hops(us, window), n).astype(np.int32)
+        last = np.arange(n + 1, dtype=np.int32)
         jump = hop.copy()
         while (jump[:n] < n).any():
             last = np.where(jump < n, last[jump], last)

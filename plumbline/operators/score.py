@@ -88,8 +88,7 @@ def summary(
 ) -> DataFrame:
     """One row for the overview: average score, finding totals, checks, snapshots, sources.
 
-    The four totals are single-row scalar subqueries' worth of data; they meet in one row by
-    a union and a final aggregate rather than by joins.
+    The four totals are one row each; a union and a final aggregate bring them together.
     """
     columns = {
         "avg_dq_score": "double",
