@@ -19,7 +19,7 @@ from plumbline.llm.common import Scratch, text_or_empty
 COORDINATE_BITS = 24  # of a scaled coordinate
 TIE_BITS = 24  # of the hash below it
 KEY_BITS = COORDINATE_BITS + TIE_BITS
-DIGIT_BITS = 12  # bins of one histogram
+DIGIT_BITS = 16  # bins of one histogram
 TOLERANCE = 5e-4  # a median may be off by this share of its node's bytes
 BLOCKS = 64  # runs of slots that are numbered apart within a shard
 
@@ -41,19 +41,19 @@ class Tree:
         depth = max(n.bit_length() for n in self.shards)
 
         def step(node: Column, _: Column) -> Column:
-            dim = F.element_at(dims, node)
-            down = node * 2 + F.when(F.element_at(coordinates, dim) < F.element_at(cuts, node), 0).otherwise(1)
+            dim = F.element_at(dims, node.cast("int"))
+            down = node * 2 + F.when(F.element_at(coordinates, dim.cast("int")) < F.element_at(cuts, node.cast("int")), 0).otherwise(1)
             return F.when(dim == 0, node).otherwise(down)
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1).cast("long"), step)
 
     def shard(self, leaf: Column) -> Column:
-        return F.element_at(_by_node({n: low for n, (low, _) in self.shards.items()}, 0), leaf)
+        return F.element_at(_by_node({n: low for n, (low, _) in self.shards.items()}, 0), leaf.cast("int"))
 
 
 def _by_node(values: dict[int, int], default: int) -> Column:
     """An array literal with an entry for each node from 1 on."""
-    return F.lit([values.get(n, default) for n in range(1, max([1, *values]) * 2 + 2)])
+    return F.expr("array(" + ", ".join(f"{values.get(n, default)}L" for n in range(1, max([1, *values]) * 2 + 2)) + ")")
 
 
 def _text_coordinate(c: Column) -> Column:
@@ -103,8 +103,8 @@ def _split_level(rows: DataFrame, tree: Tree, dims: int) -> None:
     shift = KEY_BITS
     while state:
         shift -= DIGIT_BITS
-        of = lambda name: F.element_at(_by_node({n: s[name] for n, s in state.items()}, 0), F.col("node"))
-        key = F.element_at("coordinates", F.element_at(_by_node(dim, 1), F.col("node")))
+        of = lambda name: F.element_at(_by_node({n: s[name] for n, s in state.items()}, 0), F.col("node").cast("int"))
+        key = F.element_at("coordinates", F.element_at(_by_node(dim, 1), F.col("node").cast("int")).cast("int"))
         bins = (
             placed.where(F.col("node").isin(list(state))).select("node", "size", key.alias("key"), of("from").alias("from"), of("to").alias("to"))
             .where("key >= from and key < to").groupBy("node", F.shiftright("key", shift).alias("bin")).agg(F.sum("size").alias("bytes"))
