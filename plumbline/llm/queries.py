@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, kdshards, langid, linededup, minhash, recipes, warc
+from plumbline.llm import bpe, decontam, kdshards, langid, linededup, lpf, minhash, recipes, sitetree, warc
 
 SHARDS = 40
 MIN_DOCS = 10
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, "doc_id")
@@ -53,6 +57,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lpf.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"), MIN_DOCS)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -63,12 +72,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_site_style_tree": op1,
     "op2_bpe_forced_boundaries": op2,
     "op3_kd_shards": op3,
     "op4_chunk_recipes": op4,
     "op5_compression_langid": op5,
     "op6_minhash_coordinates": op6,
     "op7_warc_index_first": op7,
+    "op8_previous_factors": op8,
     "op9_line_bitmaps": op9,
     "op10_simhash_windows": op10,
 }
@@ -111,6 +122,25 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
        CASE WHEN n >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND first < page_id THEN first END AS refers_to
 FROM f""",
+    "op8_previous_factors": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)
+), m AS (SELECT md5(s) AS s, min(doc_id) AS first, max(doc_id) AS last FROM w GROUP BY md5(s) HAVING min(doc_id) < max(doc_id)
+), c AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN m ON m.s = md5(w.s) WHERE m.first < w.doc_id
+), g AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM c
+), r AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run, i FROM g
+), spans AS (SELECT doc_id, run, min(i) AS low, max(i) + 50 AS high FROM r GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM spans
+), k AS (
+  SELECT p.doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last_high,
+         string_agg(substr(d.h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS head
+  FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last_high, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op9_line_bitmaps": rf"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(lines, 1) AS place, unnest(lines) AS line
