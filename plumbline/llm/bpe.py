@@ -20,9 +20,8 @@ import pyarrow as pa
 import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import carried, slices
 
 # white space of the tokenizer's regular expressions: the Unicode property White_Space
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -173,10 +172,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _types(df: DataFrame, carry: tuple[str, ...]) -> str:
-    return "".join(f"`{n}` {t}, " for n, t in df.select(*carry).dtypes)
-
-
 def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
     """The columns ``carry`` with ids (binary, little-endian unsigned 32-bit) and n_tokens of every whole text.
 
@@ -190,12 +185,12 @@ def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
             for part in slices(batch):
                 ids = [known.encode(t or "") for t in part.column("text").to_pylist()]
                 yield pa.record_batch(
-                    [*(part.column(i + 1) for i in range(len(carry))), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                    names=[*carry, "ids", "n_tokens"],
+                    [*(part.column(c) for c in names), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
+                    names=[*names, "ids", "n_tokens"],
                 )
 
-    rows = docs.select(F.col("text"), *carry)
-    return rows.mapInArrow(run, _types(docs, carry) + "ids binary, n_tokens long")
+    columns, kinds, names = carried(docs, carry)
+    return docs.select("text", *columns).mapInArrow(run, kinds + "ids binary, n_tokens long").withColumnsRenamed(names)
 
 
 def decode(encoded: DataFrame, path: str, *carry: str) -> DataFrame:
@@ -206,6 +201,7 @@ def decode(encoded: DataFrame, path: str, *carry: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "ids"):
                 texts = [known.decode(x or b"") for x in part.column("ids").to_pylist()]
-                yield pa.record_batch([*(part.column(i + 1) for i in range(len(carry))), pa.array(texts, pa.string())], names=[*carry, "decoded"])
+                yield pa.record_batch([*(part.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return encoded.select("ids", *carry).mapInArrow(run, _types(encoded, carry) + "decoded string")
+    columns, kinds, names = carried(encoded, carry)
+    return encoded.select("ids", *columns).mapInArrow(run, kinds + "decoded string").withColumnsRenamed(names)

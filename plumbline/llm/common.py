@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute
@@ -94,3 +94,9 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def carried(df: DataFrame, carry: Sequence[str]) -> tuple[list[Column], str, dict[str, str]]:
+    """Columns to take along under names of their own, their types for a schema string, and the names they get back."""
+    kinds = "".join(f"c{i} {kind}, " for i, (_, kind) in enumerate(df.select(*carry).dtypes))
+    return [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], kinds, {f"c{i}": c for i, c in enumerate(carry)}

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import carried
 from plumbline.llm.wordhash import WordHashes, shingles
 
 WORDS = 5
@@ -156,8 +157,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *carry: str, least: float = LEA
     a passage, null and empty texts are not in the result. Null items count for nothing; items with the same id and other texts are items
     of their own under one name. Repeated rows are all in the result; an empty table or benchmark gives an empty result.
     """
-    kinds = "".join(f"`{n}` {t}, " for n, t in docs.select(*carry).dtypes)
-    rows, parts = docs.select("text", *carry), []
+    columns, kinds, names = carried(docs, carry)
+    rows, parts = docs.select("text", *columns), []
     for block in benchmark_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -166,11 +167,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *carry: str, least: float = LEA
                 found = {i: f for i, t in enumerate(batch.column("text").to_pylist()) if t and (f := items.found(t, least))}
                 if found:
                     chosen = batch.take(pa.array(list(found)))
-                    names = [sorted({items.names[x] for x in f}) for f in found.values()]
+                    met = [sorted({items.names[x] for x in f}) for f in found.values()]
                     yield pa.record_batch(
-                        [*(chosen.column(i + 1) for i in range(len(carry))), pa.array(names, pa.list_(pa.string())),
-                         pa.array([max(f.values()) for f in found.values()], pa.float64())], names=[*carry, "items", "best_similarity"])
+                        [*(chosen.column(c) for c in names), pa.array(met, pa.list_(pa.string())),
+                         pa.array([max(f.values()) for f in found.values()], pa.float64())], names=[*names, "items", "best_similarity"])
 
         if block or not parts:
             parts.append(rows.mapInArrow(run, kinds + "items array<string>, best_similarity double"))
-    return reduce(DataFrame.unionAll, parts)
+    return reduce(DataFrame.unionAll, parts).withColumnsRenamed(names)

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bytes_of
+from plumbline.llm.common import bytes_of, carried
 
 SAMPLES = 128  # texts of a language that the dictionary is fitted on, at most
 SAMPLE_CHARS = 2048  # letters and spaces of each, at most
@@ -95,19 +95,20 @@ def predict(docs: DataFrame, languages: Languages, *carry: str) -> DataFrame:
     whose two best languages differ by less than MIN_MARGIN. Equal sizes go to the more frequent language. Whole texts are read;
     nothing beside ``text`` decides. Repeated rows get equal predictions; an empty table gives an empty result.
     """
-    rows = docs.select(*carry, letters(F.col("text")).alias("_letters"))
+    columns, kinds, names = carried(docs, carry)
+    rows = docs.select(*columns, letters(F.col("text")).alias("letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(languages)
         for batch in batches:
-            found = [model.predict(x) for x in bytes_of(batch.column(len(carry)))]
-            names, scores, rejected = zip(*found) if found else ((), (), ())
+            found = [model.predict(x) for x in bytes_of(batch.column("letters"))]
+            told, scores, rejected = zip(*found) if found else ((), (), ())
             yield pa.record_batch(
-                [*(batch.column(i) for i in range(len(carry))), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array(rejected, pa.bool_())], names=[*carry, "lang_pred", "score", "rejected"])
+                [*(batch.column(c) for c in names), pa.array(told, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
-    kinds = [f"`{n}` {t}" for n, t in docs.select(*carry).dtypes]
-    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]))
+    schema = kinds + "lang_pred string, score double, rejected boolean"
+    return rows.mapInArrow(run, schema).withColumnsRenamed(names)
 
 
 def learns(doc_id: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, UPPER, Scratch, row_key, text_or_empty
+from plumbline.llm.common import SPACE, UPPER, Scratch, carried, row_key, text_or_empty
 
 HASH = ["h1", "h2"]
 DOC = ["k1", "k2"]
@@ -149,8 +149,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool =
     beside doc_id, text and ``carry`` are not read; an empty table gives an empty result.
     """
     maps = keep_bitmaps(docs, min_docs, keep_first)
-    keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), "text", *row_key("doc_id", "text"))
+    columns, kinds, names = carried(docs, carry)
+    keyed = docs.select(*columns, "text", *row_key("doc_id", "text"))
     joined = keyed.join(maps, DOC, "left").drop(*DOC)
-    kinds = "".join(f"c{i} {t}, " for i, (_, t) in enumerate(docs.select(*carry).dtypes))
     left = joined.mapInArrow(_apply, kinds + "kept_text string, n_lines long, n_dropped long")
-    return left.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
+    return left.withColumnsRenamed(names)
