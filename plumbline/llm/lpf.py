@@ -32,9 +32,9 @@ from plumbline.llm.wordhash import RADIX, _powers, mixed
 LENGTH = 50
 PREFIX = 24
 REACH = LENGTH - PREFIX  # bytes before a sample that a string over it can begin
-SLICE = 1 << 21  # bytes of text in a slice; a longer document, or one id's rows, make a longer slice
-SEGMENT = 1 << 20  # string starts looked at together
-BUCKET_BYTES = 16 << 20  # text for each bucket of fingerprints
+SLICE = 1 << 20  # bytes of text in a slice; a longer document, or one id's rows, make a longer slice
+SEGMENT = 1 << 18  # string starts looked at together
+BUCKET_BYTES = 8 << 20  # text for each bucket of fingerprints
 MARGIN = 2 * LENGTH
 
 PACKED = "part int, slice long, ids array<long>, ranks array<int>, sizes array<long>, digests array<binary>, body binary"
@@ -233,6 +233,7 @@ def _over_slices(work: Callable[[dict], Iterator[dict]], schema: pa.Schema):
                 rows = list(work(batch.slice(i, 1).to_pylist()[0]))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                pa.default_memory_pool().release_unused()
 
     return run
 
