@@ -1,10 +1,10 @@
 """Alert routing, keys and suppression of repeats.
 
 Suppression is a recurrence: an alert is sent when the last *sent* alert of its key and
-channel is at least one window old. Keys with few alerts fold a short sorted array in the
-JVM. Keys with many are cut into time blocks that work in parallel: each block states how it
-maps "next alert allowed from" on entry to the same on exit, the blocks of a key are chained
-over these short step lists, and every block then marks what it sends. Both ways are exact.
+channel is at least one window old. Alerts are range-partitioned by key and time into blocks of rows, so a
+key with many alerts goes over several blocks. Such a block states how it maps "next alert
+allowed from" on entry to the same on exit; these step lists are composed in levels of FAN blocks, entries
+are handed down again, and every block then marks what it sends. The raw alerts are read once.
 """
 
 from __future__ import annotations
@@ -13,18 +13,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import DETECTORS, alert_key, rank_of, severity_rank, table_key
 from plumbline.operators.report import report_totals
 from plumbline.operators.snapshots import SERIES
+from plumbline.session import stored
 
 WINDOW_MINUTES = 60
 DEFAULT_ROUTES = ("CRITICAL", "HIGH")
 KEY = ["alert_key", "channel"]
-LIGHT_LIMIT = 1000
-BLOCK_WINDOWS = 48
+FAN = 32  # blocks whose step lists meet in one task
+FIRST = np.iinfo(np.int64).min  # nothing sent yet
 GroupKey = tuple[pa.Scalar, ...]
 
 
@@ -105,125 +107,149 @@ def _hops(us: np.ndarray, window: int) -> np.ndarray:
     return np.searchsorted(us, us + window, side="left")
 
 
-def _block_steps(window: int, length: int):
-    """Step list of a block: allowed-from times up to ``at`` leave the block as ``leaves``."""
+def _steps(us: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step list of sorted instants: an entry up to ``at`` leaves them as ``leaves``; a later one goes through."""
+    n = len(us)
+    # jump pointers doubled until every chain has left the block
+    hop = np.append(_hops(us, window), n).astype(np.int64)
+    last, jump = np.arange(n + 1), hop.copy()
+    while (jump[:n] < n).any():
+        last = np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    return _shortened(us, us[last[:n]] + window, window)
+
+
+def _shortened(at: np.ndarray, leaves: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without steps that change nothing. Entries lie before the first instant and one window, so one step past it suffices."""
+    m = min(int(np.searchsorted(at, at[0] + window, side="left")) + 1, len(at))
+    keep = np.append(leaves[1:m] != leaves[: m - 1], True)
+    return at[:m][keep], leaves[:m][keep]
+
+
+def _through(at: np.ndarray, leaves: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    place = np.searchsorted(at, entry, side="left")
+    return np.where(place < len(at), leaves[np.minimum(place, len(at) - 1)], entry)
+
+
+def _blocks(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, at, leaves) of a key in time order."""
+    block, at = table.column("block").to_numpy(), table.column("at").to_numpy()
+    order = np.lexsort((at, block))
+    block, at, leaves = block[order], at[order], table.column("leaves").to_numpy()[order]
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+    return [(int(block[i]), at[i:j], leaves[i:j]) for i, j in zip(first, [*first[1:], len(block)])]
+
+
+def _composed(window: int):
+    """The step lists of up to FAN neighbouring blocks of a key as one."""
+
+    def compose(key: GroupKey, table: pa.Table) -> pa.Table:
+        (_, at, leaves), *rest = _blocks(table)
+        for _, next_at, next_leaves in rest:
+            later = next_at > at[-1]
+            leaves = np.append(_through(next_at, next_leaves, leaves), next_leaves[later])
+            at, leaves = _shortened(np.append(at, next_at[later]), leaves, window)
+        n = len(at)
+        return pa.table([pa.array([key[0].as_py()] * n, pa.string()), pa.array([key[1].as_py()] * n, pa.int64()), at, leaves], names=["key", "block", "at", "leaves"])
+
+    return compose
+
+
+def _entries(key: GroupKey, steps: pa.Table, entry: pa.Table) -> pa.Table:
+    """What each of up to FAN neighbouring blocks of a key starts with."""
+    allowed, out = np.array([entry.column("allowed")[0].as_py()]), []
+    for block, at, leaves in _blocks(steps):
+        out.append((block, int(allowed[0])))
+        allowed = _through(at, leaves, allowed)
+    blocks, entries = zip(*out)
+    return pa.table([pa.array([key[0].as_py()] * len(out), pa.string()), pa.array(blocks, pa.int64()), pa.array(entries, pa.int64())], names=["key", "block", "allowed"])
+
+
+def _runs(table: pa.Table) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """A block sorted by key and time, and where its keys begin and end."""
+    table = table.combine_chunks().sort_by([("key", "ascending"), ("us", "ascending")])
+    keys = table.column("key").combine_chunks()
+    changed = np.flatnonzero(pa.compute.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1 if len(keys) > 1 else np.zeros(0, int)
+    edges = [0, *changed.tolist(), len(keys)]
+    return table, list(zip(edges[:-1], edges[1:]))
+
+
+def _edge_steps(window: int):
+    """Step lists of the first and the last key of a block: only these can go on in another block."""
 
     def steps(key: GroupKey, table: pa.Table) -> pa.Table:
-        us = np.sort(table.column("us").to_numpy())
-        n = len(us)
-        # jump pointers doubled until every chain has left the block
-        hop = np.append(_hops(us, window), n).astype(np.int32)
-        last = np.arange(n + 1, dtype=np.int32)
-        jump = hop.copy()
-        while (jump[:n] < n).any():
-            last = np.where(jump < n, last[jump], last)
-            jump = jump[jump]
-        start = (int(us[0]) // length) * length
-        # entries lie before start + window, so one alert past it suffices
-        m = min(int(np.searchsorted(us, start + window, side="left")) + 1, n)
-        leaves = us[last[:m]] + window
-        keep = np.append(leaves[1:] != leaves[:-1], True)
-        rows = int(keep.sum())
-        ids = [pa.array([k.as_py()] * rows, type=k.type) for k in key]
-        return pa.table([*ids, pa.array(us[:m][keep]), pa.array(leaves[keep])], names=[*KEY, "block", "at", "leaves"])
+        table, runs = _runs(table)
+        names, us = table.column("key"), table.column("us").to_numpy()
+        parts = []
+        for i, j in {runs[0], runs[-1]}:
+            at, leaves = _steps(us[i:j], window)
+            parts.append(pa.table([pa.array([names[i].as_py()] * len(at), pa.string()), pa.array([key[0].as_py()] * len(at), pa.int64()), at, leaves],
+                                  names=["key", "block", "at", "leaves"]))
+        return pa.concat_tables(parts)
 
     return steps
 
 
-def _chain_blocks(key: GroupKey, table: pa.Table) -> pa.Table:
-    """Walk a key's blocks in time order and note what each block starts with."""
-    block = table.column("block").to_numpy()
-    order = np.lexsort((table.column("at").to_numpy(), block))
-    block = block[order]
-    at, leaves = table.column("at").to_numpy()[order], table.column("leaves").to_numpy()[order]
-    blocks, first = np.unique(block, return_index=True)
-    bounds = np.append(first, len(block))
-    allowed, entries = np.iinfo(np.int64).min, []
-    for i in range(len(blocks)):
-        entries.append(allowed)
-        lo, hi = bounds[i], bounds[i + 1]
-        j = lo + np.searchsorted(at[lo:hi], allowed, side="left")
-        if j < hi:
-            allowed = int(leaves[j])
-    ids = [pa.array([k.as_py()] * len(blocks), type=k.type) for k in key]
-    return pa.table([*ids, pa.array(blocks), pa.array(entries, type=pa.int64())], names=[*KEY, "block", "allowed"])
-
-
-def _mark_sent(window: int):
-    def mark(key: GroupKey, rows: pa.Table, entry: pa.Table) -> pa.Table:
-        us = np.sort(rows.column("us").to_numpy())
-        hop = _hops(us, window)
-        i = int(np.searchsorted(us, entry.column("allowed")[0].as_py(), side="left"))
-        sent = []
-        while i < len(us):
-            sent.append(us[i])
-            i = int(hop[i])
-        ids = [pa.array([k.as_py()] * len(sent), type=k.type) for k in key[: len(KEY)]]
-        return pa.table([*ids, pa.array(sent, type=pa.int64())], names=[*KEY, "us"])
+def _mark_sent(window: int, names: list[str]):
+    def mark(key: GroupKey, rows: pa.Table, entries: pa.Table) -> pa.Table:
+        rows, runs = _runs(rows)
+        allowed = dict(zip(entries.column("key").to_pylist(), entries.column("allowed").to_pylist()))
+        us, sent = rows.column("us").to_numpy(), []
+        keys = rows.column("key")
+        for i, j in runs:
+            at = i + int(np.searchsorted(us[i:j], allowed.get(keys[i].as_py(), FIRST), side="left"))
+            while at < j:
+                sent.append(at)
+                at += int(np.searchsorted(us[at:j], us[at] + window, side="left"))
+        return rows.take(pa.array(sent, pa.int64())).select(names)
 
     return mark
 
 
-def suppress(
-    alerts: DataFrame,
-    minutes: int = WINDOW_MINUTES,
-    *,
-    light_limit: int = LIGHT_LIMIT,
-    block_windows: int = BLOCK_WINDOWS,
-) -> DataFrame:
+def suppress(alerts: DataFrame, minutes: int = WINDOW_MINUTES, *, blocks: int | None = None, fan: int = FAN) -> DataFrame:
     """Alerts that are sent; repeats of a key and channel within ``minutes`` are dropped.
 
     A repeat after exactly ``minutes`` is sent. Of several alerts of a key at one instant the
-    smallest row is sent.
+    smallest row is sent. Null keys and channels are keys like others, alerts without a time are never sent.
     """
     window = minutes * 60_000_000
-    length = window * block_windows
     names = alerts.columns
     rest = [c for c in names if c not in (*KEY, "sent_at")]
-    # reads the key columns only; counts alerts, an upper bound of the instants
-    heavy_keys = alerts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > light_limit).select(*KEY)
-
-    def instants(rows: DataFrame) -> DataFrame:
-        """One row per key and instant; duplicates meet in the partial aggregate."""
-        return (
-            rows.groupBy(*KEY, "sent_at")
-            .agg(F.min(F.struct(*rest)).alias("_row"))
-            .withColumn("us", F.unix_micros(F.col("sent_at").cast("timestamp")))
-        )
-
-    # at most `light_limit` entries per array
-    sorted_rows = F.array_sort(F.collect_list(F.struct("us", "sent_at", "_row")))
-    fold = F.aggregate(
-        "_all",
-        F.struct(F.lit(None).cast("bigint").alias("last"), F.slice("_all", 1, 0).alias("sent")),
-        lambda acc, x: F.when(
-            acc["last"].isNull() | (x["us"] >= acc["last"] + window),
-            F.struct(x["us"].alias("last"), F.concat(acc["sent"], F.array(x)).alias("sent")),
-        ).otherwise(acc),
-        lambda acc: acc["sent"],
-    )
-    light = (
-        instants(alerts.join(heavy_keys, KEY, "left_anti"))
-        .groupBy(*KEY)
-        .agg(sorted_rows.alias("_all"))
-        .select(*KEY, F.inline(fold))
-        .select(*KEY, "sent_at", "_row")
+    # one row per key and instant; duplicates meet in the partial aggregate. A null has no field in the JSON, so the text is never null
+    instants = (
+        alerts.filter(F.col("sent_at").isNotNull())
+        .groupBy(*KEY, "sent_at")
+        .agg(F.min(F.struct(*rest)).alias("_row"))
+        .select(F.to_json(F.struct(*KEY)).alias("key"), F.unix_micros(F.col("sent_at").cast("timestamp")).alias("us"), *KEY, "sent_at", "_row")
     )
-
-    heavy = instants(alerts.join(heavy_keys, KEY, "left_semi"))
-    times = heavy.select(*KEY, F.expr(f"(us - pmod(us, {length})) div {length}").alias("block"), "us")
-    ids = ", ".join(f"{k} string" for k in KEY)
-    steps = times.groupBy(*KEY, "block").applyInArrow(
-        _block_steps(window, length), f"{ids}, block long, at long, leaves long"
-    )
-    entries = steps.groupBy(*KEY).applyInArrow(_chain_blocks, f"{ids}, block long, allowed long")
-    sent = (
-        times.groupBy(*KEY, "block")
-        .cogroup(entries.groupBy(*KEY, "block"))
-        .applyInArrow(_mark_sent(window), f"{ids}, us long")
+    ranged = instants.repartitionByRange(*([blocks] if blocks else []), "key", "us")
+    rows = stored(ranged.withColumn("block", F.spark_partition_id().cast("long")), "alert_instants")
+    times = rows.select("key", "us", "block")
+
+    steps_type = "key string, block long, at long, leaves long"
+    levels = [times.groupBy("block").applyInArrow(_edge_steps(window), steps_type)]
+    # keys within one block need no chain
+    several = levels[0].groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("key")
+    levels = [stored(levels[0].join(several, "key", "left_semi"), "alert_steps")]
+    width = levels[0].agg(F.max("block")).first()[0] or 0
+    parent = F.expr(f"block div {fan}").alias("block")
+    while width:
+        width //= fan
+        above = levels[-1].groupBy("key", parent.alias("parent")).applyInArrow(_composed(window), steps_type)
+        levels.append(stored(above, "alert_steps"))
+    entries = levels[-1].select("key", "block").distinct().withColumn("allowed", F.lit(FIRST))
+    for level in reversed(levels[:-1]):
+        entries = (
+            level.groupBy("key", F.expr(f"block div {fan}").alias("parent"))
+            .cogroup(entries.groupBy("key", "block"))
+            .applyInArrow(_entries, "key string, block long, allowed long")
+        )
+    marked = (
+        rows.groupBy("block")
+        .cogroup(entries.groupBy("block"))
+        .applyInArrow(_mark_sent(window, [*KEY, "sent_at", "_row"]), rows.select(*KEY, "sent_at", "_row").schema)
     )
-    heavy_sent = heavy.join(sent, [*KEY, "us"], "left_semi").select(*KEY, "sent_at", "_row")
-    return light.unionByName(heavy_sent).select(*KEY, "sent_at", "_row.*").select(*names)
+    return marked.select(*KEY, "sent_at", "_row.*").select(*names)
 
 
 def newest_alerts(log: DataFrame, n: int = 50) -> DataFrame:

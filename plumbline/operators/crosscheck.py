@@ -93,14 +93,14 @@ def null_rate_consistency(
 
 
 def source_growth(snapshots: DataFrame, last: int = 10) -> DataFrame:
-    """Growth in % of each source: newer half of its last ``last`` snapshots against the older half.
+    """Growth in % of each source: the newer half of the last ``last`` runs of each of its tables against the older half.
 
-    Within a half a table counts once, with its oldest row.
+    Every table with two runs or more counts in both halves, each time with the oldest row of the half.
     """
-    w = Window.partitionBy("source").orderBy(F.desc("profiled_at"), "table_name")
-    recent = snapshots.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= last)
-    # at most `last` rows per source from here on
-    sized = recent.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source"))).filter(F.col("n") >= 2)
+    per_table = Window.partitionBy("source", "table_name")
+    recent = snapshots.withColumn("rn", F.row_number().over(per_table.orderBy(F.desc("profiled_at"), F.desc("row_count")))).filter(F.col("rn") <= last)
+    # at most `last` rows per table from here on
+    sized = recent.withColumn("n", F.count(F.lit(1)).over(per_table)).filter(F.col("n") >= 2)
     newer = F.col("rn") <= F.floor(F.col("n") / 2)
     per_table = (
         sized.withColumn("newer", newer)

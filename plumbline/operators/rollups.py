@@ -72,11 +72,16 @@ def chart_series(history: DataFrame) -> DataFrame:
     return counts.unionByName(lines).withColumn("date", F.to_date("profiled_at"))
 
 
-def run_history(snapshots: DataFrame, rows: int = 500, runs: int = 50) -> DataFrame:
-    """Snapshots grouped into runs by minute, newest first: tables and distinct sources per run."""
-    recent = snapshots.orderBy(F.desc("profiled_at"), *SERIES).limit(rows)
+def newest_runs(snapshots: DataFrame, runs: int = 50) -> DataFrame:
+    """``run_at`` of the newest ``runs`` runs; a run is what was profiled within one minute."""
+    minutes = snapshots.select(F.date_trunc("minute", "profiled_at").alias("run_at")).distinct()
+    return minutes.orderBy(F.desc("run_at")).limit(runs)
+
+
+def run_history(snapshots: DataFrame, runs: int = 50) -> DataFrame:
+    """The newest ``runs`` runs, newest first: tables, distinct sources and rows of all their snapshots."""
     return (
-        recent.groupBy(F.date_trunc("minute", "profiled_at").alias("run_at"))
+        snapshots.groupBy(F.date_trunc("minute", "profiled_at").alias("run_at"))
         .agg(
             F.count(F.lit(1)).alias("table_count"),
             F.count_distinct("source").alias("source_count"),
@@ -87,13 +92,13 @@ def run_history(snapshots: DataFrame, rows: int = 500, runs: int = 50) -> DataFr
     )
 
 
-def run_tables(snapshots: DataFrame, per_run: int = 20, rows: int = 500) -> DataFrame:
-    """The first ``per_run`` tables of every recent run, newest snapshot first."""
-    recent = snapshots.orderBy(F.desc("profiled_at"), *SERIES).limit(rows)
-    tagged = recent.withColumn("run_at", F.date_trunc("minute", "profiled_at"))
+def run_tables(snapshots: DataFrame, per_run: int = 20, runs: int = 50) -> DataFrame:
+    """The first ``per_run`` tables of each of the newest ``runs`` runs, newest snapshot first."""
+    tagged = snapshots.withColumn("run_at", F.date_trunc("minute", "profiled_at"))
     w = Window.partitionBy("run_at").orderBy(F.desc("profiled_at"), *SERIES)
     return (
-        tagged.withColumn("rn", F.row_number().over(w))
+        tagged.join(newest_runs(snapshots, runs), "run_at", "left_semi")
+        .withColumn("rn", F.row_number().over(w))
         .filter(F.col("rn") <= per_run)
         .select("run_at", "rn", *SERIES, "row_count")
     )

@@ -51,8 +51,7 @@ def test_keys_and_channels_are_separate(spark):
 
 def test_one_of_equal_instants(spark):
     df = spark.createDataFrame([("k", "c", START, "HIGH", "b"), ("k", "c", START, "HIGH", "a")], SCHEMA)
-    for limit in (1000, 0):
-        assert [r["summary"] for r in A.suppress(df, light_limit=limit).collect()] == ["a"]
+    assert [r["summary"] for r in A.suppress(df).collect()] == ["a"]
 
 
 def shapes():
@@ -68,31 +67,43 @@ def shapes():
 
 
 @pytest.mark.parametrize("name", list(shapes()))
-@pytest.mark.parametrize("block_windows", [1, 3, 48])
-def test_heavy_plan_equals_brute_force(spark, name, block_windows):
+@pytest.mark.parametrize(("blocks", "fan"), [(None, 32), (7, 2), (23, 3)])
+def test_suppression_equals_brute_force(spark, name, blocks, fan):
+    """Also where a key goes over many blocks and their step lists meet in several levels."""
     rows = shapes()[name]
-    got = seconds(A.suppress(alerts(spark, rows), 60, light_limit=0, block_windows=block_windows))
-    assert got == greedy(rows, 3600)
-
-
-@pytest.mark.parametrize("name", list(shapes()))
-def test_light_plan_equals_brute_force(spark, name):
-    assert seconds(A.suppress(alerts(spark, shapes()[name]), 60, light_limit=10_000)) == greedy(shapes()[name], 3600)
+    assert seconds(A.suppress(alerts(spark, rows), 60, blocks=blocks, fan=fan)) == greedy(rows, 3600)
 
 
 def test_hot_key_beside_small_keys(spark):
     r = random.Random(1)
     rows = [("hot", "c", r.randint(0, 500_000)) for _ in range(400)] + [(f"k{i}", "c", r.randint(0, 9000)) for i in range(200)]
-    assert seconds(A.suppress(alerts(spark, rows), light_limit=100)) == greedy(rows, 3600)
+    assert seconds(A.suppress(alerts(spark, rows), blocks=9, fan=2)) == greedy(rows, 3600)
+
+
+def test_hot_key_of_an_alert_a_second(spark):
+    """Chains that never merge: every block has a step for each second of a window."""
+    hot = spark.range(0, 100_000).selectExpr("'k' alert_key", "'c' channel", "timestamp '2026-03-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) sent_at", "'HIGH' severity", "'' summary")
+    sent = [r["sent_at"] for r in A.suppress(hot, 60, blocks=12, fan=3).collect()]
+    assert len(sent) == 28 and len({(b - a).total_seconds() for a, b in zip(sorted(sent), sorted(sent)[1:])}) == 1
+
 
+def test_null_keys_and_channels_are_keys(spark):
+    rows = [(k, c, START + dt.timedelta(seconds=s), "HIGH", "x") for k in (None, "k") for c in (None, "c") for s in range(0, 20_000, 97)]
+    got = A.suppress(spark.createDataFrame([*rows, ("k", "c", None, "HIGH", "x")], SCHEMA), 60, blocks=5, fan=2)
+    want = [s for s in range(0, 20_000, 97)]
+    sent, at = [], -3600
+    for s in want:
+        if s >= at + 3600:
+            sent.append(s)
+            at = s
+    assert got.groupBy("alert_key", "channel").count().collect() and {r["count"] for r in got.groupBy("alert_key", "channel").count().collect()} == {len(sent)}
+    assert got.count() == 4 * len(sent)
 
-def test_block_steps_shrink_when_chains_merge():
-    import pyarrow as pa
 
+def test_steps_shrink_when_chains_merge():
     us = np.unique(np.random.default_rng(0).integers(0, 48 * 3_600_000_000, 200_000))
-    key = (pa.scalar("k"), pa.scalar("c"), pa.scalar(0))
-    steps = A._block_steps(3_600_000_000, 48 * 3_600_000_000)(key, pa.table({"us": us}))
-    assert steps.num_rows < len(us) / 150
+    at, _ = A._steps(us, 3_600_000_000)
+    assert len(at) < len(us) / 150
 
 
 def test_routing_and_alert_rows(spark):

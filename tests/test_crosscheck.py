@@ -66,6 +66,13 @@ def test_growth_halves(spark):
     assert (g["rows_now"], g["rows_before"]) == (109, 104)
 
 
+def test_growth_compares_the_same_tables(spark):
+    """More tables than runs: every table stands in both halves, one with a single run in none."""
+    rows = [("a", f"t{i}", d, 100 * (i + 1) + d) for i in range(25) for d in range(4)] + [("a", "single", 3, 9999)]
+    g = X.source_growth(snaps(spark, *rows)).first()
+    assert (g["rows_now"], g["rows_before"]) == (sum(100 * (i + 1) + 2 for i in range(25)), sum(100 * (i + 1) for i in range(25)))
+
+
 @pytest.mark.parametrize(
     ("a", "b", "found"), [((100, 130), (100, 90), 1), ((100, 110), (100, 90), 0), ((100, 111), (100, 90), 1), ((100, 150), (100, 101), 0)]
 )

@@ -209,6 +209,17 @@ def test_chart_lines_come_from_the_first_snapshot(spark):
     assert not any(m == "null_pct.late" for _, m in got) and len(got) == 6
 
 
+def test_large_runs_are_whole(spark):
+    from pyspark.sql import functions as F
+
+    snaps = spark.range(3000).selectExpr(
+        "concat('s', id % 3) source", "concat('t', id % 750) table_name", "timestamp '2026-03-01 00:00:00' + make_interval(0, 0, 0, 0, id div 750) profiled_at", "id row_count"
+    )
+    runs = R.run_history(snaps).collect()
+    assert [(r["table_count"], r["source_count"], r["row_count"]) for r in runs] == [(750, 3, sum(range(750 * k, 750 * k + 750))) for k in (3, 2, 1, 0)]
+    assert R.run_tables(snaps, per_run=1000, runs=2).groupBy("run_at").agg(F.count("*").alias("n")).where("n = 750").count() == 2
+
+
 def test_runs(spark):
     import datetime as dt
 
@@ -217,7 +228,7 @@ def test_runs(spark):
     snaps = spark.createDataFrame(rows, "source string, table_name string, profiled_at timestamp, row_count long")
     runs = R.run_history(snaps).collect()
     assert [(r["table_count"], r["source_count"], r["row_count"]) for r in runs] == [(1, 1, 4), (2, 2, 3)]
-    assert R.run_history(snaps, runs=1).count() == 1 and R.run_history(snaps, rows=2).count() == 2
+    assert R.run_history(snaps, runs=1).count() == 1 and R.run_tables(snaps, runs=1).count() == 1
     assert R.run_tables(snaps, per_run=1).count() == 2
     log = spark.createDataFrame([(t, "slack", "CRITICAL"), (t, "email", "HIGH")], "sent_at timestamp, channel string, severity string")
     assert tuple(R.run_totals(snaps, log).first()) == (2, 3, 2, 2)

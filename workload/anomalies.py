@@ -177,7 +177,7 @@ def alert_suppression(spark, sf_dir):
 def alert_suppression_hot(spark, sf_dir):
     """One key per event type: all keys are heavy and run through the block plan."""
     hot = event_alerts(spark, sf_dir).withColumn("alert_key", F.split("summary", " ")[0]).withColumn("channel", F.lit("slack"))
-    return A.suppress(hot, minutes=60, light_limit=100)
+    return A.suppress(hot, minutes=60)
 
 
 def not_recently_sent(spark, sf_dir):

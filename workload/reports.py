@@ -271,8 +271,8 @@ _X3 = (
     f"SELECT source, CAST(sum(c) FILTER (newer) AS BIGINT) AS rows_now, CAST(sum(c) FILTER (NOT newer) AS BIGINT) AS rows_before, "
     f"{settle('(sum(c) FILTER (newer) - sum(c) FILTER (NOT newer)) * 1E0 / sum(c) FILTER (NOT newer) * 100', 1)} AS growth_pct "
     "FROM (SELECT source, table_name, rn <= n // 2 AS newer, arg_max(row_count, rn) AS c FROM "
-    "(SELECT *, count(*) OVER (PARTITION BY source) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source "
-    "ORDER BY profiled_at DESC, table_name) AS rn FROM snaps) WHERE rn <= 10) WHERE n >= 2 GROUP BY 1, 2, 3) GROUP BY 1 "
+    "(SELECT *, count(*) OVER (PARTITION BY source, table_name) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source, table_name "
+    "ORDER BY profiled_at DESC) AS rn FROM snaps) WHERE rn <= 10) WHERE n >= 2 GROUP BY 1, 2, 3) GROUP BY 1 "
     "HAVING sum(c) FILTER (NOT newer) > 0",
 )
 _X3_ISSUE = (
@@ -342,7 +342,7 @@ _RUNS = (
     "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'web' ELSE 'shop' END AS source, event_type AS table_name, "
     "date_trunc('hour', ts) AS profiled_at, count(*) AS row_count FROM events GROUP BY 1, 2, 3",
 )
-_RECENT = ("recent", "SELECT * FROM runs ORDER BY profiled_at DESC, source, table_name LIMIT 500")
+_RECENT = ("recent", "SELECT * FROM runs WHERE profiled_at IN (SELECT DISTINCT profiled_at FROM runs ORDER BY 1 DESC LIMIT 50)")
 _CHANNEL = "CASE WHEN event_id % 2 = 0 THEN 'slack' ELSE 'email' END"
 
 ORACLE = {
@@ -401,9 +401,9 @@ ORACLE = {
     "WHERE h2.source = h1.source AND h2.table_name = h1.table_name)) k ON r.source = k.source AND r.table_name = k.table_name "
     "LEFT JOIN hist h ON h.source = r.source AND h.table_name = r.table_name AND h.profiled_at = r.profiled_at AND h.metric = k.metric "
     "WHERE r.metric = 'row_count'",
-    "run_history": ctes(_RUNS, _RECENT)
+    "run_history": ctes(_RUNS)
     + "SELECT date_trunc('minute', profiled_at) AS run_at, count(*) AS table_count, count(DISTINCT source) AS source_count, "
-    "CAST(sum(row_count) AS BIGINT) AS row_count FROM recent GROUP BY 1 ORDER BY 1 DESC LIMIT 50",
+    "CAST(sum(row_count) AS BIGINT) AS row_count FROM runs GROUP BY 1 ORDER BY 1 DESC LIMIT 50",
     "run_tables": ctes(_RUNS, _RECENT)
     + "SELECT profiled_at AS run_at, CAST(row_number() OVER (PARTITION BY profiled_at ORDER BY source, table_name) AS INTEGER) AS rn, "
     "source, table_name, row_count FROM recent QUALIFY rn <= 3",
