@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,30 +42,33 @@ PACKED = "part int, slice long, ids array<long>, ranks array<int>, sizes array<l
 LOW48 = np.uint64((1 << 48) - 1)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packer(slice_bytes: int):
     """Rows in doc_id order to slices; ``ranks`` number the different ids of a slice."""
-    from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    count, held, rows = 0, 0, []
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        count, held, rows = 0, 0, []
 
-    def row() -> pa.RecordBatch:
-        ids, ranks, texts = [r[0] for r in rows], [], [r[1] for r in rows]
-        for i, x in enumerate(ids):
-            ranks.append(0 if not i else ranks[-1] + (x != ids[i - 1]))
-        values = [[part], [(part << 32) + count], [ids], [ranks], [list(map(len, texts))], [[hashlib.sha256(t).digest() for t in texts]], [b"".join(texts)]]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
-        return pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in PACKED.split(", ")])
+        def row() -> pa.RecordBatch:
+            ids, ranks, texts = [r[0] for r in rows], [], [r[1] for r in rows]
+            for i, x in enumerate(ids):
+                ranks.append(0 if not i else ranks[-1] + (x != ids[i - 1]))
+            digests = [hashlib.sha256(t).digest() for t in texts]
+            values = [[part], [(part << 32) + count], [ids], [ranks], [list(map(len, texts))], [digests], [b"".join(texts)]]
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
+            return pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in PACKED.split(", ")])
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
-            if rows and held + len(text) > SLICE and doc_id != rows[-1][0]:
-                yield row()
-                count, held, rows = count + 1, 0, []
-            rows.append((doc_id, text))
-            held += len(text)
-    if rows:
-        yield row()
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
+                if rows and held + len(text) > slice_bytes and doc_id != rows[-1][0]:
+                    yield row()
+                    count, held, rows = count + 1, 0, []
+                rows.append((doc_id, text))
+                held += len(text)
+        if rows:
+            yield row()
+
+    return pack
 
 
 _VALUE = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(RADIX))
@@ -427,7 +431,7 @@ def _place_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("part"), batch.column("slice"), pa.array(places, pa.binary())], names=["part", "slice", "copies"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): every text, as UTF-8, without the bytes of 50-byte strings that
     also start in a document of smaller doc_id.
 
@@ -438,7 +442,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lpf")
     order = ["no_id", "doc_id"]
     ordered = docs.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = scratch.keep(ordered.select("doc_id", "text").mapInArrow(_pack, PACKED))
+    packed = scratch.keep(ordered.select("doc_id", "text").mapInArrow(_packer(slice_bytes), PACKED))
     total = packed.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
     buckets = max(12, -(-total // BUCKET_BYTES))
 

@@ -6,7 +6,8 @@ COORDINATES - MATCHES + 1 rarest pairs of either (prefix), so only those are pos
 ones are skipped and counted later from the two signatures. Candidates are confirmed on full sets.
 
 A posting list with thousands of near copies is not turned into all its pairs: its most central
-member is compared with the others first, then only members of different components with each other.
+member is compared with the others first, then only members of different components with each other, as far as they
+share a rare shingle.
 """
 
 from __future__ import annotations
@@ -113,6 +114,26 @@ def _rare_posts(reps: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(met.select(F.col("post.pair").alias("pair"), "node", "n", "weight"))
 
 
+def _sharing_rare_shingles(apart: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the rarest shingles of both.
+
+    Sets of the similarity share at least ``percent`` of the shingles of either, so they meet among its rarest rest and one more. A passage
+    that many texts hold is not among these, unless it is nearly all of a text.
+    """
+    words = apart.join(sets, "node").select("node", "n", "root", F.explode("shingles").alias("shingle"))
+    shared = words.groupBy("shingle").agg(F.count("*").alias("freq")).where("freq > 1")
+    met = words.join(shared, "shingle").groupBy("node", "n", "root").agg(F.collect_list(F.struct("freq", "shingle")).alias("met"))
+    # shingles that nobody shares are the rarest
+    rest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("met"))).cast("int")
+    posts = met.where(rest > 0).select("node", "n", "root", F.explode(F.slice(F.sort_array("met"), F.lit(1), rest)).alias("post"))
+    posts = scratch.keep(posts.select("node", "n", "root", F.col("post.shingle").alias("shingle")))
+    other = posts.select("shingle", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    return posts.join(
+        other,
+        (posts.shingle == other.shingle) & (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _similar(F.col("n"), F.col("n2"), percent),
+    ).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
 def _confirmed(candidates: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ``candidates`` that agree in enough coordinates and whose sets are similar."""
     sign = lambda s: reps.select(F.col("node").alias(s), F.col("signature").alias(f"sig_{s}"))
@@ -144,15 +165,11 @@ def links(docs: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, D
     found = scratch.keep(_confirmed(candidates, reps, sets, percent))
     roots = contract(found, scratch)
 
-    # then members of different components, all of them
+    # then members of different components, all of them that can be similar
     placed = posts.join(roots, "node", "left").select("pair", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed_lists = placed.groupBy("pair").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("pair")
-    placed = scratch.keep(placed.join(mixed_lists, "pair"))
-    other = placed.select("pair", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = placed.join(
-        other, (placed.pair == other.pair) & (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _similar(F.col("n"), F.col("n2"), percent)
-    ).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    more = scratch.keep(_confirmed(rest, reps, sets, percent))
+    open_lists = placed.groupBy("pair").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("pair")
+    apart = scratch.keep(placed.join(open_lists, "pair", "left_semi").select("node", "n", "root").distinct())
+    more = scratch.keep(_confirmed(_sharing_rare_shingles(apart, sets, scratch, percent), reps, sets, percent))
     if not more.isEmpty():
         roots = contract(found.unionAll(more), scratch)
     # a class of equal sets keeps the hash of its first row as mark
