@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from plumbline.llm import linededup, lpf, minhash, recipes
@@ -86,8 +88,6 @@ def test_near_duplicates(spark, seed):
 
 def test_large_group_of_near_copies_without_their_centre(spark):
     """Copies of one text that are not alike enough among each other in all pairs, and chains of small steps."""
-    import random
-
     rng = random.Random(5)
     base = sentence(rng, 300).split(" ")
     rows = []
@@ -164,21 +164,18 @@ def bytes_rows(df):
     return sorted(((a, b, c, d, bytes(e)) for a, b, c, d, e in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("size, segment", [(1 << 21, 1 << 20), (3000, 700)])
-def test_repeated_bytes(spark, monkeypatch, size, segment):
-    """Also with slices and segments that cut through the corpus. Workers take the sizes from the closure of the module."""
+@pytest.mark.parametrize("slice_bytes", [lpf.SLICE, 1500])
+def test_repeated_bytes(spark, slice_bytes):
+    """Also with slices that hold only a few documents."""
     rows = corpus(6)
-    monkeypatch.setattr(lpf, "SLICE", size)
-    monkeypatch.setattr(lpf, "SEGMENT", segment)
-    assert bytes_rows(lpf.remove_repeats(documents(spark, rows, 4))) == repeats(rows)
+    assert bytes_rows(lpf.remove_repeats(documents(spark, rows, 4), slice_bytes)) == repeats(rows)
 
 
 def test_slices_and_segments_agree():
     """The samples of a slice do not depend on how it is cut into segments."""
-    import numpy as np
-
-    text = "".join(sentence(__import__("random").Random(9), 2000)).encode()
+    text = sentence(random.Random(9), 2000).encode()
     body, ends, skip = np.frombuffer(text, np.uint8), np.array([3000, 3100, len(text)]), np.zeros(3, bool)
+
     def sampled(step):
         found = {}
         for start in range(0, len(body) - 49, step):
@@ -187,6 +184,7 @@ def test_slices_and_segments_agree():
             for at, k, c in zip((s.at + s.base).tolist(), s.key.tolist(), s.context(which).tolist() if len(which) else []):
                 found[at] = (k, c)
         return found
+
     assert sampled(1 << 20) == sampled(500)
 
 
