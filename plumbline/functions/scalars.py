@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +29,17 @@ def text_literal(value: str) -> str:
 
 
 def literal(value) -> str:
-    """SQL literal of a Python string, number or boolean; floats become DOUBLE."""
+    """SQL literal of a Python value; floats become DOUBLE, None is NULL."""
+    if value is None:
+        return "NULL"
     if isinstance(value, str):
         return text_literal(value)
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP {text_literal(value.isoformat(' '))}"
+    if isinstance(value, dt.date):
+        return f"DATE {text_literal(value.isoformat())}"
+    if isinstance(value, Decimal):
+        return f"{value:f}BD"
     return f"{value!r}D" if isinstance(value, float) else str(value)
 
 

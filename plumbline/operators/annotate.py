@@ -1,170 +1,146 @@
-"""Plain-language notes on findings, built from templates as column expressions.
+"""Plain-language notes on findings, derived from what the same snapshot shows.
 
-The sentences are our own; which template applies and which figures it shows follow the
-metric kind and direction of the finding.
+The fact is put together from metric, figures and direction. Its causes are hypotheses about the
+table: each one earns points from the finding itself and from the other findings of the table, the best
+three are named. Points are conditions over the evidence columns, written in SQL.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import DASH, plain_number, settle, table_key
 from plumbline.operators.report import expected_text
-
-# Templates by kind. {table} is source.table, {name} the bare table, {column} the column.
-SENTENCES = {
-    "row_count_low": "{table} has {pct}% fewer rows than its average ({today} instead of about {expected}); "
-    "suspect a pipeline failure, a load cut short or a deletion.",
-    "row_count_high": "{table} is {pct}% above its average row count ({today} instead of about {expected}); "
-    "suspect a duplicate load or a pipeline that ran twice.",
-    "row_count_low_bare": "{table} has far fewer rows than usual; suspect a pipeline failure or a deletion.",
-    "row_count_high_bare": "{table} has far more rows than usual; suspect a duplicate load.",
-    "null_high": "{today}% of {table}.{column} is null (usual: {expected}%); "
-    "upstream data may be incomplete, a join may miss or a source may be gone.",
-    "null_low": "Only {today}% of {table}.{column} is null now (usual: {expected}%); values missing before are filled.",
-    "mean": "The average of {table}.{column} is {today}, well {side} the usual {expected}; "
-    "check for wrong values, a changed unit or currency, or typing errors.",
-    "std": "The spread (std) of {table}.{column} is {today}, well {side} the usual {expected}; "
-    "outliers may have been loaded or the distribution has shifted.",
-    "distinct": "{table}.{column} holds {today} distinct values instead of about {expected}; "
-    "categories may have been added, merged or removed.",
-    "forest": "The metrics of {table} taken together are anomalous, led by {leader}; "
-    "it is their multivariate combination that differs from the past, not one of them.",
-    "other": "{severity} anomaly in {table}.{metric}: {today} is well {side} the usual {expected}; "
-    "look at the latest pipeline runs.",
+from plumbline.operators.snapshots import SERIES
+
+# what the findings of one table say together: aggregates over its rows
+EVIDENCE = {
+    "rows_up": "max(CASE WHEN metric = 'row_count' AND direction = 'HIGH' THEN 1 ELSE 0 END)",
+    "rows_down": "max(CASE WHEN metric = 'row_count' AND direction = 'LOW' THEN 1 ELSE 0 END)",
+    "row_ratio": "max(CASE WHEN metric = 'row_count' AND expected > 0 THEN today / expected END)",
+    "nulls_up": "sum(CASE WHEN metric LIKE 'null%' AND direction = 'HIGH' THEN 1 ELSE 0 END)",
+    "distinct_up": "sum(CASE WHEN metric LIKE 'distinct%' AND direction = 'HIGH' THEN 1 ELSE 0 END)",
+    "distinct_down": "sum(CASE WHEN metric LIKE 'distinct%' AND direction = 'LOW' THEN 1 ELSE 0 END)",
+    "means": "sum(CASE WHEN metric LIKE 'mean.%' THEN 1 ELSE 0 END)",
+    "spreads": "sum(CASE WHEN metric LIKE 'std.%' THEN 1 ELSE 0 END)",
 }
+# how a metric is spoken of, by what stands before its column
+LABELS = {"row_count": "row count", "null_pct": "null share of", "mean": "mean of", "std": "std of", "distinct_count": "distinct count of"}
+
+
+@dataclass(frozen=True)
+class Hypothesis:
+    """A cause, what would confirm it, what removes it, and the points that evidence gives it."""
+
+    cause: str
+    check: str
+    remedy: str
+    points: tuple[tuple[int, str], ...]
 
-# what_happened, causes[3], what_to_check[3], how_to_fix by kind.
-ROOT_CAUSES = {
-    "row_count_low": (
-        "{table} fell to {today} rows where about {expected} were expected.",
-        ("The pipeline stopped before the load was complete",
-         "The source delivered little or no data",
-         "Rows were deleted or the table was truncated"),
-        ("Read the load logs around the last run",
-         "Count the rows at the source: SELECT COUNT(*) FROM {name}",
-         "Search recent clean-up scripts and migrations for deletes"),
-        "Repair the failing step, restore what was lost and load again.",
+
+HYPOTHESES = (
+    Hypothesis(
+        "duplicate load: rows arrived again", "compare row count and distinct keys of the last load", "delete the second copy and make the load idempotent",
+        ((4, "metric = 'row_count' AND direction = 'HIGH'"), (3, "row_ratio BETWEEN 1.8 AND 2.2"), (2, "rows_up > 0 AND distinct_up = 0"), (1, "rows_up > 0")),
     ),
-    "row_count_high": (
-        "{table} rose to {today} rows where about {expected} were expected.",
-        ("The load ran twice and stored duplicate rows",
-         "A de-duplication step is missing from the pipeline",
-         "A join multiplies rows"),
-        ("Look for double runs in the scheduler log",
-         "Compare SELECT COUNT(*) with COUNT(DISTINCT id) on {name}",
-         "Review recent pipeline changes for a lost DISTINCT"),
-        "Remove the duplicates by primary key and make the load repeatable.",
+    Hypothesis(
+        "partial load after a pipeline failure", "compare the row count with that of the source for the same period", "rerun the load for the missing period",
+        ((5, "metric = 'row_count' AND direction = 'LOW'"), (2, "rows_down > 0"), (1, "rows_down > 0 AND distinct_down > 0")),
     ),
-    "null_high": (
-        "{column} of {table} is null in {today}% of rows where about {expected}% was expected.",
-        ("The upstream source no longer sends {column}",
-         "The join that supplies {column} finds no partner",
-         "The step that fills {column} was skipped"),
-        ("Ask the source whether {column} is still delivered",
-         "Count the gaps: SELECT COUNT(*) FROM {name} WHERE {column} IS NULL",
-         "Review recent changes to the step that fills {column}"),
-        "Repair the source or the join, backfill {column} and guard it with a not-null rule.",
+    Hypothesis(
+        "rows removed or filtered out on purpose", "look for retention jobs and new filter conditions since the last snapshot", "confirm the rule with its owner, or restore the rows",
+        ((3, "metric = 'row_count' AND direction = 'LOW'"), (2, "rows_down > 0 AND distinct_down > 0")),
     ),
-    "std": (
-        "The spread of {column} in {table} is {today} where about {expected} was expected.",
-        ("A few outlier rows with extreme {column} were loaded",
-         "Part of the rows carries {column} in another unit",
-         "Corrupt values passed validation"),
-        ("Look at SELECT MIN({column}), MAX({column}), AVG({column}) FROM {name}",
-         "List the rows of {name} whose {column} is more than ten times the average",
-         "Ask whether the source changed its value ranges"),
-        "Correct or remove the outliers and add a range rule for {column}.",
+    Hypothesis(
+        "join without partners upstream", "count the keys of the joined tables that have no match", "repair the join keys and backfill the columns",
+        ((3, "metric LIKE 'null%' AND direction = 'HIGH'"), (3, "nulls_up > 0 AND distinct_down > 0"), (2, "nulls_up > 1"), (1, "nulls_up > 0 AND rows_up + rows_down = 0")),
     ),
-    "other": (
-        "{metric} of {table} is {today}, well {side} the expected {expected}.",
-        ("A recent pipeline change alters how the value is built",
-         "The source changed its output",
-         "Invalid values passed validation"),
-        ("Review recent deployments of the pipeline",
-         "Look for changes at the source",
-         "Inspect recent rows of {name}"),
-        "Find what changed, repair it and validate again.",
+    Hypothesis(
+        "upstream source stopped sending the column", "look at the newest rows of the source itself", "have the source deliver it again and guard it with a not-null rule",
+        ((4, "metric LIKE 'null%' AND direction = 'HIGH'"), (2, "metric LIKE 'null%' AND today >= 90"), (1, "nulls_up = 1")),
     ),
-}
-
-
-def metric_kind() -> Column:
-    m, low = F.col("metric"), F.col("direction") == "LOW"
-    return (
-        F.when(m == "row_count", F.when(low, "row_count_low").otherwise("row_count_high"))
-        .when(m.startswith("null_pct."), F.when(F.col("direction") == "HIGH", "null_high").otherwise("null_low"))
-        .when(m.startswith("mean."), "mean")
-        .when(m.startswith("std."), "std")
-        .when(m.startswith("distinct_count."), "distinct")
-        .when(F.col("detector") == "isolation_forest", "forest")
-        .otherwise("other")
-    )
-
-
-def _with_marks(findings: DataFrame) -> DataFrame:
-    """Add the figures and names that templates refer to as columns ``_m_<mark>``."""
-    change = F.abs(F.try_divide(F.col("today"), F.col("expected")) - 1) * 100
-    return findings.withColumns(
-        {
-            "_m_table": table_key(F.col("source"), F.col("table_name")),
-            "_m_name": F.col("table_name"),
-            "_m_column": F.regexp_replace("metric", "^[a-z_]+\\.", ""),
-            "_m_metric": F.col("metric"),
-            "_m_severity": F.col("severity"),
-            "_m_side": F.when(F.col("direction") == "HIGH", "above").otherwise("below"),
-            "_m_leader": F.coalesce(F.get(F.col("top_contributors"), F.lit(0))["metric"], F.lit("several metrics")),
-            "_m_pct": F.coalesce(settle(change, 1).cast("decimal(38,1)").cast("string"), F.lit(DASH)),
-            "_m_today": F.coalesce(plain_number(F.col("today")), F.lit(DASH)),
-            "_m_expected": expected_text(),
-            "_kind": metric_kind(),
-        }
-    )
-
-
-def _fill(template: Column, texts: Iterable[str]) -> Column:
-    """Replace the marks that occur in ``texts``."""
-    marks = sorted({m for text in texts for m in re.findall(r"{(\w+)}", text)})
-    for mark in marks:
-        template = F.replace(template, F.lit("{" + mark + "}"), F.col(f"_m_{mark}"))
-    return template
-
-
-def _pick(kind: Column, texts: dict[str, str]) -> Column:
-    """The text of a kind with its marks filled in."""
-    out = F.lit(texts["other"])
-    for name, text in texts.items():
-        out = F.when(kind == name, F.lit(text)).otherwise(out)
-    return _fill(out, texts.values())
-
-
-def _without_marks(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_m_")], "_kind")
+    Hypothesis(
+        "gaps were filled by a default or a backfill", "group the column by value and look for a new frequent one", "keep real values apart from defaults",
+        ((5, "metric LIKE 'null%' AND direction = 'LOW'"), (1, "metric LIKE 'distinct%' AND direction = 'LOW'")),
+    ),
+    Hypothesis(
+        "unit or currency changed", "compare a few keys before and after: is the ratio constant?", "convert the affected rows and agree on the unit",
+        ((4, "metric LIKE 'mean.%'"), (3, "means > 0 AND spreads > 0"), (2, "metric LIKE 'std.%'")),
+    ),
+    Hypothesis(
+        "outliers entered", "list the rows with the largest and smallest values", "correct or reject them and add a range rule",
+        ((4, "metric LIKE 'std.%'"), (2, "spreads > 0 AND means = 0"), (2, "metric LIKE 'mean.%'")),
+    ),
+    Hypothesis(
+        "mix of rows changed", "compare the shares of the main categories with the snapshot before", "split the metric by category, then decide",
+        ((2, "metric LIKE 'mean.%'"), (2, "metric LIKE 'std.%'"), (2, "metric LIKE 'distinct%'"), (1, "distinct_up + distinct_down > 0")),
+    ),
+    Hypothesis(
+        "new or misspelt categories", "list the values that the snapshot before did not have", "map them or extend the accepted values",
+        ((4, "metric LIKE 'distinct%' AND direction = 'HIGH'"), (1, "distinct_up > 0")),
+    ),
+    Hypothesis(
+        "categories lost or merged", "list the values that are gone since the snapshot before", "restore the mapping or update the accepted values",
+        ((4, "metric LIKE 'distinct%' AND direction = 'LOW'"), (1, "distinct_down > 0")),
+    ),
+    Hypothesis(
+        "several columns moved together", "start with the metric that deviates most", "treat the findings of the single metrics first",
+        ((4, "detector = 'isolation_forest'"),),
+    ),
+    Hypothesis("a change in the pipeline code", "read what was deployed since the snapshot before", "revert or adapt the change", ((1, "1 = 1"),)),
+    Hypothesis("a change at the source", "ask the owner of the source", "adapt the load to it", ((1, "1 = 1"),)),
+)
+NAMED = 3
+
+
+def points_sql(hypothesis: Hypothesis) -> str:
+    return " + ".join(f"(CASE WHEN {c} THEN {p} ELSE 0 END)" for p, c in hypothesis.points)
+
+
+def _with_causes(findings: DataFrame) -> DataFrame:
+    """``_ranked``: the NAMED hypotheses with most points, ties in their listed order."""
+    evidence = findings.groupBy(*SERIES).agg(*(F.expr(e).alias(f"_e_{n}") for n, e in EVIDENCE.items()))
+    joined = findings.join(evidence, SERIES)
+    scored = []
+    for i, h in enumerate(HYPOTHESES):
+        points = points_sql(h)
+        points = re.sub(rf"\b({'|'.join(EVIDENCE)})\b", r"_e_\1", points)
+        scored.append(F.struct((-F.expr(points)).alias("points"), F.lit(i).alias("i"), F.lit(h.cause).alias("cause"), F.lit(h.check).alias("check"), F.lit(h.remedy).alias("remedy")))
+    return joined.withColumn("_ranked", F.slice(F.array_sort(F.array(*scored)), 1, NAMED))
+
+
+def fact() -> Column:
+    """The finding in one clause: what it is today and what it usually is."""
+    table, column = table_key(F.col("source"), F.col("table_name")), F.regexp_replace("metric", "^[a-z_]+\\.", "")
+    label = F.col("metric")
+    for prefix, text in LABELS.items():
+        spoken = F.lit(text) if prefix == "row_count" else F.concat(F.lit(f"{text} "), column)
+        label = F.when(F.col("metric") == prefix if prefix == "row_count" else F.col("metric").startswith(f"{prefix}."), spoken).otherwise(label)
+    side = F.when(F.col("direction") == "HIGH", " above").otherwise(" below")
+    change = settle(F.abs(F.try_divide(F.col("today"), F.col("expected")) - 1) * 100, 1).cast("decimal(38,1)").cast("string")
+    away = F.coalesce(F.concat(F.lit(", "), change, F.lit("%"), side, F.lit(" the usual ")), F.concat(F.lit(","), side, F.lit(" the usual ")))
+    figures = F.concat(table, F.lit(": "), label, F.lit(" is "), F.coalesce(plain_number(F.col("today")), F.lit(DASH)), away, expected_text())
+    leader = F.coalesce(F.get(F.col("top_contributors"), F.lit(0))["metric"], F.lit("no single one"))
+    joint = F.concat(table, F.lit(": its metrics together are anomalous, most of all "), leader)
+    return F.when(F.col("detector") == "isolation_forest", joint).otherwise(figures)
 
 
 def explain(findings: DataFrame) -> DataFrame:
-    """Add ``explanation``: one sentence per finding."""
-    kind = F.col("_kind")
-    no_figures = F.col("expected").isNull() | (F.col("expected") == 0)
-    kind = F.when(kind.startswith("row_count") & no_figures, F.concat(kind, F.lit("_bare"))).otherwise(kind)
-    return _without_marks(_with_marks(findings).withColumn("explanation", _pick(kind, SENTENCES)))
+    """Add ``explanation``: the fact and its most likely cause in one sentence."""
+    text = F.concat(fact(), F.lit("; most likely "), F.col("_ranked")[0]["cause"], F.lit("."))
+    return _with_causes(findings).withColumn("explanation", text).select(*findings.columns, "explanation")
 
 
 def root_cause(findings: DataFrame) -> DataFrame:
-    """Add ``what_happened``, ``causes``, ``what_to_check`` and ``how_to_fix``."""
-    part = lambda pick: _pick(F.col("_kind"), {k: pick(v) for k, v in ROOT_CAUSES.items()})
-    three = lambda i: F.array(*[part(lambda v, j=j: v[i][j]) for j in range(3)])
-    return _without_marks(
-        _with_marks(findings).withColumns(
-            {
-                "what_happened": part(lambda v: v[0]),
-                "causes": three(1),
-                "what_to_check": three(2),
-                "how_to_fix": part(lambda v: v[3]),
-            }
-        )
+    """Add ``what_happened``, ``causes`` and ``what_to_check`` (NAMED each, most likely first) and ``how_to_fix``."""
+    return _with_causes(findings).select(
+        *findings.columns,
+        F.concat(fact(), F.lit(".")).alias("what_happened"),
+        F.col("_ranked.cause").alias("causes"),
+        F.col("_ranked.check").alias("what_to_check"),
+        F.col("_ranked")[0]["remedy"].alias("how_to_fix"),
     )

@@ -1,9 +1,9 @@
 """Isolation forest over all metrics of a table at once (Liu, Ting and Zhou, 2008).
 
-Spark prepares standardised vectors, splits each table into chunks and joins the trained
-forest to them; the per-chunk work is numpy. Training needs at most ``POOL`` rows per table
-because every tree looks at 256 of them by definition, so a long history neither reaches
-one task for training nor for scoring.
+Spark prepares standardised vectors once and draws a sample of the history for every tree by
+hash; each tree of a table grows in a group of its own. A forest, which has a bounded size, is
+joined to chunks of the history for scoring; the per-chunk work is numpy. A tree sees ``subsample`` rows
+by the algorithm's definition, however long the history is.
 """
 
 from __future__ import annotations
@@ -13,19 +13,21 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ladder, settle
 from plumbline.operators.detect import as_findings
 from plumbline.operators.snapshots import SERIES
+from plumbline.session import stored
 
 MIN_ROWS = 10
 CONTAMINATION = 0.05
 TREES = 100
 SUBSAMPLE = 256
 SEED = 42
-POOL = 4 * TREES * SUBSAMPLE
+# a row is offered to a tree with a probability that makes 2 * subsample offers likely; too few have a chance of 1e-30
+OFFERS = 2
 CHUNK_ROWS = 50_000
 # Severity steps on the negated score (a lower score is worse).
 SCORE_STEPS = ((-0.2, "MEDIUM"), (-0.3, "HIGH"))
@@ -62,13 +64,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
     return np.array(nodes)
 
 
-def train_forest(x: np.ndarray, n_rows: int | None = None, seed: int = SEED) -> tuple[list[np.ndarray], int]:
-    """Forest on the rows of ``x`` and the subsample size it used."""
-    rng = np.random.default_rng(seed)
-    size = min(SUBSAMPLE, len(x))
-    limit = max(1, math.ceil(math.log2(max(size, 2))))
-    trees = [_grow(x[rng.choice(len(x), size, replace=False)], rng, limit) for _ in range(TREES)]
-    return trees, size
+def grow_tree(x: np.ndarray, seed: int) -> np.ndarray:
+    """One tree on all rows of ``x``, as deep as a balanced tree of them."""
+    return _grow(x, np.random.default_rng(seed), max(1, math.ceil(math.log2(max(len(x), 2)))))
 
 
 def score_forest(trees: list[np.ndarray], size: int, x: np.ndarray) -> np.ndarray:
@@ -90,23 +88,26 @@ def score_forest(trees: list[np.ndarray], size: int, x: np.ndarray) -> np.ndarra
 
 
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The tree of one group: rows of one table drawn for one tree."""
     pdf = pdf.sort_values("profiled_at")
-    forest = train_forest(np.stack(pdf["x"].to_numpy()))
     first = pdf.iloc[0]
+    tree = grow_tree(np.stack(pdf["x"].to_numpy()), SEED + int(first["tree"]))
     return pd.DataFrame(
-        {"source": [first["source"]], "table_name": [first["table_name"]], "forest": [pickle.dumps(forest)]}
+        {"source": [first["source"]], "table_name": [first["table_name"]], "tree": [pickle.dumps(tree)], "size": [len(pdf)]}
     )
 
 
 def _score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     if rows.empty or model.empty:
         return pd.DataFrame({"source": [], "table_name": [], "is_today": [], "score": []})
-    trees, size = pickle.loads(model["forest"].iloc[0])
-    scores = score_forest(trees, size, np.stack(rows["x"].to_numpy()))
+    trees = [pickle.loads(t) for t in model["trees"].iloc[0]]
+    scores = score_forest(trees, int(model["size"].iloc[0]), np.stack(rows["x"].to_numpy()))
     return rows[["source", "table_name", "is_today"]].assign(score=scores)
 
 
-def isolation_forest(history: DataFrame, min_rows: int = MIN_ROWS, contamination: float = CONTAMINATION) -> DataFrame:
+def isolation_forest(
+    history: DataFrame, min_rows: int = MIN_ROWS, contamination: float = CONTAMINATION, subsample: int = SUBSAMPLE
+) -> DataFrame:
     """At most one finding per table: today's combined metrics are unusually easy to isolate."""
     per_table = history.groupBy(*SERIES).agg(
         F.count_distinct("profiled_at").alias("n_rows"), F.max("profiled_at").alias("today_at")
@@ -161,17 +162,24 @@ def isolation_forest(history: DataFrame, min_rows: int = MIN_ROWS, contamination
             F.col("_xs.x").alias("x"),
         )
     )
+    vectors = stored(vectors, "forest_vectors")
     spot = F.xxhash64(F.col("profiled_at").cast("string"), F.lit(SEED))
-    share = F.lit(1_000_000.0) * POOL / F.greatest(F.col("n_rows"), F.lit(POOL))
-    models = (
-        vectors.filter(~F.col("is_today") & (F.pmod(spot, F.lit(1_000_000)) < share))
-        .groupBy(*SERIES)
-        .applyInPandas(_train, "source string, table_name string, forest binary")
+    draw = lambda t: F.pmod(F.xxhash64(F.col("profiled_at").cast("string"), t), F.lit(1 << 30))
+    offered = F.filter(F.sequence(F.lit(1), F.lit(TREES)), lambda t: draw(t) * F.col("n_rows") < float(OFFERS * subsample) * (1 << 30))
+    drawn = vectors.filter(~F.col("is_today")).select(*SERIES, "profiled_at", "x", F.explode(offered).alias("tree"))
+    place = F.row_number().over(Window.partitionBy(*SERIES, "tree").orderBy(draw(F.col("tree")), "profiled_at"))
+    trees = (
+        drawn.withColumn("place", place)
+        .filter(F.col("place") <= subsample)
+        .groupBy(*SERIES, "tree")
+        .applyInPandas(_train, "source string, table_name string, tree binary, size int")
     )
+    # TREES trees of at most 2 * subsample nodes per table
+    models = trees.groupBy(*SERIES).agg(F.sort_array(F.collect_list("tree")).alias("trees"), F.max("size").alias("size"))
     n_chunks = F.ceil(F.col("n_rows") / F.lit(CHUNK_ROWS)).cast("int")
     chunked = vectors.withColumn("chunk", F.pmod(spot, n_chunks).cast("int"))
     copies = models.join(tables.select(*SERIES, n_chunks.alias("n_chunks")), SERIES).select(
-        *SERIES, "forest", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk")
+        *SERIES, "trees", "size", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk")
     )
     scored = (
         chunked.select(*SERIES, "chunk", "is_today", "x")

@@ -63,7 +63,9 @@ def condition_sql(rule: Rule) -> str:
     if rule.kind == "between":
         return f"{c} BETWEEN {literal(rule.low)} AND {literal(rule.high)}"
     if rule.kind == "in_set":
-        return f"{c} IN ({', '.join(literal(v) for v in rule.values)})"
+        allowed = [literal(v) for v in rule.values if v is not None]
+        # without allowed values none complies; NULL is never compared
+        return f"{c} IN ({', '.join(allowed)})" if allowed else f"IF({c} IS NULL, NULL, FALSE)"
     if rule.kind == "matches":
         return f"{c} RLIKE {literal(rule.pattern)}"
     raise ValueError(f"{rule.kind} is not a row rule")

@@ -36,14 +36,10 @@ def fingerprint(schema_rows: DataFrame, keys: list[str] | None = None) -> DataFr
     """md5 of the name-ordered JSON object ``{"column": "type", ...}`` per table."""
     keys = keys or SERIES
     pairs = F.array_sort(F.collect_list(F.struct("column", "type")))
-    text = F.concat(
-        F.lit("{"),
-        F.array_join(
-            F.transform("_pairs", lambda p: F.concat(F.lit('"'), p["column"], F.lit('": "'), p["type"], F.lit('"'))),
-            ", ",
-        ),
-        F.lit("}"),
-    )
+    # names and types as JSON strings, whatever they hold; a comma and a colon are followed by a space
+    quote = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("s"))), r"^\{\"s\":(.*)\}$", 1)
+    entries = F.transform("_pairs", lambda p: F.concat(quote(p["column"]), F.lit(": "), quote(p["type"])))
+    text = F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
     return (
         schema_rows.groupBy(*keys)
         .agg(pairs.alias("_pairs"))
@@ -76,6 +72,12 @@ def drift(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Data
     )
 
 
+def schema_rows(stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``columns_json`` of stored schemas back to (keys, column, type) rows."""
+    keys = keys or SERIES
+    return stored.select(*keys, F.explode(F.from_json("columns_json", "map<string,string>")).alias("column", "type"))
+
+
 def last_fingerprint(snapshots: DataFrame) -> DataFrame:
     """Fingerprint of the latest stored snapshot per (source, table)."""
     return latest_snapshot(snapshots).select(*SERIES, "profiled_at", "schema_fingerprint")

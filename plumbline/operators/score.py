@@ -67,7 +67,9 @@ def table_scores(
         ),
     ]
     if rule_summary is not None:
-        parts.append(rows(rule_summary, F.col("failed") * RULE_POINTS, no_issue))
+        # tables that were never profiled have no score, whatever rules say about them
+        known = rule_summary.join(history.select(*SERIES).distinct(), SERIES, "left_semi")
+        parts.append(rows(known, F.col("failed") * RULE_POINTS, no_issue))
     total = (
         reduce(DataFrame.unionByName, parts)
         .groupBy(*SERIES)

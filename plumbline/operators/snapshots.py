@@ -117,7 +117,8 @@ def newest(df: DataFrame, keys: list[str], n: int, *tiebreak: str) -> DataFrame:
 
 
 def latest_snapshot(snapshots: DataFrame, *tiebreak: str) -> DataFrame:
-    """Latest row per (source, table); ``tiebreak`` columns settle equal times."""
+    """Latest row per (source, table); ``tiebreak`` columns settle equal times, by default the batch and the row count."""
+    tiebreak = tiebreak or [c for c in ("batch", "row_count") if c in snapshots.columns]
     return newest(snapshots, SERIES, 1, *tiebreak).drop("rn")
 
 

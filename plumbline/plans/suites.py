@@ -178,26 +178,21 @@ def strict_catalogue(
     }
 
 
+def bound_test(model: str, value: str, keeps: str, *keys: str, total: bool = False) -> SqlTest:
+    """Rows of a model, or with ``total`` sums by ``keys``, whose value does not keep a bound such as ``>= 0``."""
+    shown = f"sum({value})" if total else value
+    broken = f"GROUP BY {', '.join(keys)} HAVING NOT {shown} {keeps}" if total else f"WHERE NOT {value} {keeps}"
+    return SqlTest(
+        f"{model}.{value} {keeps}",
+        f"{shown} {keeps} for every {', '.join(keys)}",
+        f"SELECT {', '.join(keys)}, {shown} AS {value} FROM {model} {broken}",
+    )
+
+
+# The bounds that models have to keep.
 MODEL_SQL_TESTS = (
-    SqlTest(
-        "no negative order totals",
-        "order_total must never be < 0",
-        "SELECT order_id, order_total FROM stg_orders WHERE order_total < 0",
-    ),
-    SqlTest(
-        "daily revenue always positive",
-        "every day must have total_revenue > 0",
-        "SELECT order_date, sum(total_revenue) AS day_revenue FROM mart_orders_summary "
-        "GROUP BY order_date HAVING sum(total_revenue) <= 0",
-    ),
-    SqlTest(
-        "no suspicious order volumes",
-        "no user should have more than 500 orders",
-        "SELECT user_id, total_orders FROM mart_user_activity WHERE total_orders > 500",
-    ),
-    SqlTest(
-        "price always positive",
-        "product price must be > 0",
-        "SELECT product_id, price FROM stg_products WHERE price <= 0",
-    ),
+    bound_test("stg_orders", "order_total", ">= 0", "order_id"),
+    bound_test("mart_orders_summary", "total_revenue", "> 0", "order_date", total=True),
+    bound_test("mart_user_activity", "total_orders", "<= 500", "user_id"),
+    bound_test("stg_products", "price", "> 0", "product_id"),
 )

@@ -81,12 +81,24 @@ def jdbc_options(source: Source, table: str) -> dict[str, str]:
     }
 
 
+# The schema whose tables need no qualified name.
+DEFAULT_SCHEMAS = {"postgresql": "public"}
+
+
 def _jdbc_catalogue(url: str) -> tuple[str, str, str]:
-    """Where a database lists its tables: catalogue table, name column, row condition."""
+    """Where a database lists its tables: catalogue table, name expression, row condition.
+
+    Names carry their schema, but for the default one, so equal names of two schemas stay two tables. A
+    MySQL schema is the database of the URL, others are not listed.
+    """
     if url.startswith("jdbc:sqlite:"):
         return "sqlite_master", "name", "type = 'table' AND NOT startswith(name, 'sqlite_')"
-    system = "'information_schema', 'pg_catalog', 'mysql', 'performance_schema', 'sys'"
-    return "information_schema.tables", "table_name", f"lower(table_schema) NOT IN ({system})"
+    if url.startswith("jdbc:mysql:"):
+        database = url.split("?")[0].rstrip("/").rsplit("/", 1)[-1]
+        return "information_schema.tables", "table_name", f"table_schema = '{database}'"
+    default = DEFAULT_SCHEMAS.get(url.split(":")[1], "")
+    name = f"CASE WHEN table_schema = '{default}' THEN table_name ELSE concat(table_schema, '.', table_name) END"
+    return "information_schema.tables", name, "lower(table_schema) NOT IN ('information_schema', 'pg_catalog', 'sys')"
 
 
 def list_tables(spark: SparkSession, source: Source) -> list[str]:
@@ -98,12 +110,13 @@ def list_tables(spark: SparkSession, source: Source) -> list[str]:
     if source.kind == "jdbc":
         table, name, condition = _jdbc_catalogue(source.url)
         rows = spark.read.format("jdbc").options(**jdbc_options(source, table)).load().filter(condition)
-        return sorted(r[0] for r in rows.select(name).distinct().collect())  # names only
+        return sorted(r[0] for r in rows.selectExpr(name).distinct().collect())  # names only
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(source.path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     entries = [s.getPath().getName() for s in fs.listStatus(jvm_path)]
     suffix = f".{source.kind}"
-    return sorted(e.removesuffix(suffix) for e in entries if e.endswith(suffix) or "." not in e)
+    # names with _ or . in front are markers and logs of writers, not tables
+    return sorted(e.removesuffix(suffix) for e in entries if e[0] not in "_." and (e.endswith(suffix) or "." not in e))
 
 
 def read_table(spark: SparkSession, source: Source, table: str) -> DataFrame:

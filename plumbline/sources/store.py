@@ -28,7 +28,10 @@ class Store:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
-        except AnalysisException:  # nothing stored yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # nothing stored yet
             return self.spark.createDataFrame([], schema)
 
     def put_snapshots(self, snapshots: DataFrame, batch: str | None = None) -> None:

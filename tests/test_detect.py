@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from plumbline.operators import detect as D
-from plumbline.operators.iforest import isolation_forest, score_forest, train_forest
+from plumbline.operators.iforest import grow_tree, isolation_forest, score_forest
 from plumbline.operators.report import best_findings, detect_all
 from tests.helpers import by, clean_days, final_plan, history, with_today
 
@@ -203,13 +203,18 @@ def test_forest_skips_metrics_with_gaps(spark):
 
 
 def test_forest_scores_outliers_lower():
-    x = np.random.default_rng(0).normal(size=(500, 3))
-    trees, size = train_forest(x)
-    assert size == 256 and len(trees) == 100
-    inner, outer = score_forest(trees, size, np.array([[0.0, 0, 0], [6.0, -6, 6]]))
+    x = np.random.default_rng(0).normal(size=(256, 3))
+    trees = [grow_tree(x, seed) for seed in range(100)]
+    inner, outer = score_forest(trees, 256, np.array([[0.0, 0, 0], [6.0, -6, 6]]))
     assert outer < -0.6 < inner < 0
-    again, _ = train_forest(x)
-    assert all(np.array_equal(a, b) for a, b in zip(trees, again))
+    assert all(np.array_equal(a, grow_tree(x, seed)) for seed, a in enumerate(trees))
+
+
+def test_every_tree_draws_its_own_rows_of_a_long_history(spark):
+    """With 700 rows of history and trees of 64: the outlier is found whatever is drawn, and twice alike."""
+    h = history(spark, forest_series(n=700, row_count=50, null_pct__total=40, mean__total=5000))
+    rows = isolation_forest(h, subsample=64).collect()
+    assert len(rows) == 1 and rows[0]["severity"] == "CRITICAL" and isolation_forest(h, subsample=64).collect() == rows
 
 
 def test_forest_chunks_give_the_same_result(spark, monkeypatch):

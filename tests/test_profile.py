@@ -133,3 +133,24 @@ def test_column_named_like_a_key(spark):
         df, source=F.lit("s"), table_name=F.lit("t"), profiled_at=F.col("d"), distinct_of=["table_name"]
     )
     assert {r["metric"]: r["value"] for r in h.collect()}["distinct_count.table_name"] == 2
+
+
+def test_fingerprints_are_json_and_come_back(spark):
+    import json
+
+    from plumbline.operators.schema import drift, fingerprint, schema_rows
+
+    rows = spark.createDataFrame([("s", "t", 'a"b\\c', "INT"), ("s", "t", "ü,:", "STRING")], "source string, table_name string, column string, type string")
+    stored = fingerprint(rows)
+    assert json.loads(stored.first()["columns_json"]) == {'a"b\\c': "INT", "ü,:": "STRING"}
+    assert sorted(map(tuple, schema_rows(stored).collect())) == sorted(map(tuple, rows.collect()))
+    later = spark.createDataFrame([("s", "t", 'a"b\\c', "BIGINT"), ("s", "t", "new", "INT")], rows.schema)
+    changes = {r["change"] for r in drift(schema_rows(stored), schema_rows(fingerprint(later)), ["source", "table_name"]).collect()}
+    assert changes == {"ADDED", "DROPPED", "TYPE CHANGED"}
+
+
+def test_equal_times_are_settled(spark):
+    from plumbline.operators.snapshots import latest_snapshot
+
+    rows = spark.createDataFrame([("s", "t", "2026-01-01", 5, "b1"), ("s", "t", "2026-01-01", 4, "b2")], "source string, table_name string, profiled_at string, row_count int, batch string")
+    assert latest_snapshot(rows).first()["batch"] == "b2" and latest_snapshot(rows.drop("batch")).first()["row_count"] == 5

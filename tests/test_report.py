@@ -147,19 +147,19 @@ def test_row_count_sentences(spark):
     high = sentence(spark, today=9000.0, expected=1000.0, direction="HIGH")
     assert "800.0%" in high and "above" in high and "duplicate" in high
     bare = sentence(spark, today=9.0, lower_fence=1.0, upper_fence=2.0, detector="iqr")
-    assert "fewer rows" in bare and "%" not in bare
+    assert "row count is 9.0, below the usual 1.0–2.0" in bare and "%" not in bare
 
 
 @pytest.mark.parametrize(
     ("metric", "direction", "words"),
     [
-        ("null_pct.total", "HIGH", ["null", "45.2%", "upstream", "shop.orders.total"]),
-        ("null_pct.total", "LOW", ["null", "45.2%"]),
-        ("mean.price", "HIGH", ["average", "above", "shop.orders.price"]),
+        ("null_pct.total", "HIGH", ["null share of total is 45.2", "upstream", "shop.orders"]),
+        ("null_pct.total", "LOW", ["null", "45.2", "default"]),
+        ("mean.price", "HIGH", ["mean of price", "2160.0% above the usual 2.0", "unit"]),
         ("mean.price", "LOW", ["below"]),
-        ("std.price", "HIGH", ["spread", "std", "price"]),
-        ("distinct_count.status", "HIGH", ["distinct", "status"]),
-        ("unknown_metric", "HIGH", ["CRITICAL", "unknown_metric", "above"]),
+        ("std.price", "HIGH", ["std of price", "outliers"]),
+        ("distinct_count.status", "HIGH", ["distinct", "status", "categories"]),
+        ("unknown_metric", "HIGH", ["unknown_metric", "above", "pipeline"]),
     ],
 )
 def test_sentences(spark, metric, direction, words):
@@ -171,13 +171,13 @@ def test_forest_sentence_names_the_leader(spark):
     kw = dict(metric="all_metrics_combined", detector="isolation_forest", direction="MULTIVARIATE")
     assert "row_count" in sentence(spark, top_contributors=[("row_count", 3.5)], **kw)
     text = sentence(spark, **kw)
-    assert "several metrics" in text and "anomalous" in text and "multivariate" in text
+    assert "no single one" in text and "anomalous" in text and "moved together" in text
 
 
 @pytest.mark.parametrize(
     ("metric", "direction", "word"),
     [("row_count", "LOW", "pipeline"), ("row_count", "HIGH", "duplicate"), ("null_pct.email", "HIGH", "upstream"),
-     ("null_pct.email", "LOW", "pipeline"), ("std.price", "HIGH", "outlier"), ("mean.x", "LOW", "source")],
+     ("null_pct.email", "LOW", "pipeline"), ("std.price", "HIGH", "outlier"), ("mean.x", "LOW", "unit")],
 )
 def test_root_causes(spark, metric, direction, word):
     r = N.root_cause(findings(spark, dict(metric=metric, direction=direction, today=9.0, expected=2.0))).first()
@@ -186,6 +186,16 @@ def test_root_causes(spark, metric, direction, word):
     assert not any("{" in t for t in [*r["causes"], *r["what_to_check"], r["how_to_fix"], r["what_happened"]])
 
 
+def test_causes_follow_the_other_findings_of_the_table(spark):
+    """Nulls alone point at the source; with fewer distinct values beside them, at a join."""
+    nulls = dict(metric="null_pct.country", direction="HIGH", today=40.0, expected=2.0)
+    alone = N.root_cause(findings(spark, nulls)).first()
+    beside = by(N.root_cause(findings(spark, nulls, dict(metric="distinct_count.country", direction="LOW", today=2.0, expected=5.0))), "metric")
+    assert "source stopped" in alone["causes"][0] and "join" in beside["null_pct.country"]["causes"][0]
+    twice = N.root_cause(findings(spark, dict(direction="HIGH", today=2000.0, expected=1000.0))).first()
+    assert twice["causes"][0].startswith("duplicate load") and "second copy" in twice["how_to_fix"]
+
+
 # -- roll-ups ---------------------------------------------------------------------------------------
 
 

@@ -195,9 +195,9 @@ def test_duplicates_count_values(spark):
 def test_sql_tests(spark, shop):
     as_views(M.build_models(*shop))
     got = by(R.sql_tests(spark, S.MODEL_SQL_TESTS), "test")
-    assert got["no negative order totals"]["detail"].startswith("1 failing row(s): ")
-    assert not got["daily revenue always positive"]["passed"]
-    assert got["no suspicious order volumes"]["passed"] and not got["price always positive"]["passed"]
+    assert got["stg_orders.order_total >= 0"]["detail"].startswith("1 failing row(s): ")
+    assert not got["mart_orders_summary.total_revenue > 0"]["passed"]
+    assert got["mart_user_activity.total_orders <= 500"]["passed"] and not got["stg_products.price > 0"]["passed"]
     assert R.failing_rows(spark, S.MODEL_SQL_TESTS[0], 5).count() == 1
     report = R.tests_report(R.sql_tests(spark, S.MODEL_SQL_TESTS)).first()
     assert tuple(report) == (4, 1, 3, False)
@@ -211,3 +211,17 @@ def test_value_between(spark):
 def test_user_mart_shuffles_orders_once_per_key(shop):
     text = final_plan(M.mart_user_activity(M.stg_users(shop[1]), M.stg_orders(shop[0])))
     assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
+
+
+def test_rules_on_dates_decimals_and_empty_sets(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    df = spark.sql("SELECT * FROM VALUES (DATE'2024-01-01', TIMESTAMP'2024-01-01 10:00:00', 1.50BD, 'a'), (DATE'2025-01-01', NULL, 9.99BD, NULL) AS t(d, ts, n, s)")
+    rules = [
+        R.between("d", dt.date(2024, 1, 1), dt.date(2024, 12, 31)), R.between("ts", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 10)),
+        R.between("n", Decimal("1.5"), Decimal("2")), R.in_set("s", []), R.in_set("s", [None]), R.in_set("s", ["a", None]),
+    ]
+    assert [r["observed"] for r in R.evaluate(df, "s", "t", rules).collect()] == [1, 0, 1, 1, 1, 0]
+    broken = [len(r["broken"]) for r in R.split_rows(df, rules).orderBy("d").collect()]
+    assert broken == [2, 2]

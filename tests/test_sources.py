@@ -103,12 +103,12 @@ def test_table_that_breaks_while_reading_does_not_stop_others(spark, tmp_path):
     assert {r["table_name"]: r["row_count"] for r in store.snapshots().collect()} == {"a": 5, "b": 6}
 
 
-@pytest.mark.parametrize(("url", "table"), [("jdbc:sqlite:x", "sqlite_master"), ("jdbc:mysql://h/d", "information_schema.tables")])
+@pytest.mark.parametrize(("url", "table"), [("jdbc:sqlite:x", "sqlite_master"), ("jdbc:postgresql://h/d", "information_schema.tables")])
 def test_jdbc_catalogue(spark, url, table):
     name, column, condition = P._jdbc_catalogue(url)
     assert name == table
     df = spark.createDataFrame([("table", "t", "t", "public"), ("index", "i", "i", "sys")], "type string, name string, table_name string, table_schema string")
-    assert [r[0] for r in df.filter(condition).select(column).collect()] == ["t"]
+    assert [r[0] for r in df.filter(condition).selectExpr(column).collect()] == ["t"]
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -195,3 +195,30 @@ def test_monitoring_runs_end_to_end(spark, tmp_path):
     monitor.analyse(spark, store, out, START + dt.timedelta(days=9, minutes=30), with_forest=False)
     # the first alert is still inside its window, so the table's next finding is sent
     assert store.alerts().count() == store.alerts().select("alert_key").distinct().count() == 2
+
+
+def test_markers_of_writers_are_no_tables(spark, tmp_path):
+    from plumbline.sources.specs import Source, list_tables
+
+    for name in ("orders.parquet", "users", "_SUCCESS", "_delta_log", "_temporary", ".hidden", "notes.txt"):
+        (tmp_path / name).mkdir()
+    assert list_tables(spark, Source("s", "parquet", str(tmp_path))) == ["orders", "users"]
+
+
+def test_an_unreadable_log_is_no_empty_log(spark, tmp_path):
+    from plumbline.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    assert store.alerts().count() == 0
+    (tmp_path / "alert_log" / "batch=1").mkdir(parents=True)
+    (tmp_path / "alert_log" / "batch=1" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        store.alerts().collect()
+
+
+def test_jdbc_names_carry_their_schema():
+    from plumbline.sources.specs import _jdbc_catalogue
+
+    _, name, condition = _jdbc_catalogue("jdbc:postgresql://h:5432/db")
+    assert "'public'" in name and "table_schema" in name and "pg_catalog" in condition
+    assert _jdbc_catalogue("jdbc:mysql://h:3306/shop?x=1")[2] == "table_schema = 'shop'"

@@ -253,47 +253,32 @@ _DET = "CASE detector WHEN 'zscore' THEN 1 ELSE 2 END"
 _EXPECTED = f"coalesce({number('expected')}, {number('lower_fence')} || '–' || {number('upper_fence')}, '—')"
 
 
-def _fill_sql(template: str) -> str:
-    """The template with its marks replaced, as one SQL expression."""
-    marks = {
-        "{table}": "source || '.' || table_name",
-        "{name}": "table_name",
-        "{column}": "regexp_replace(metric, '^[a-z_]+\\.', '')",
-        "{metric}": "metric",
-        "{severity}": "severity",
-        "{side}": "CASE WHEN direction = 'HIGH' THEN 'above' ELSE 'below' END",
-        "{leader}": "'several metrics'",
-        "{pct}": f"CAST(CAST({settle('abs(today / expected - 1) * 100', 1)} AS DECIMAL(38, 1)) AS VARCHAR)",
-        "{today}": number("today"),
-        "{expected}": _EXPECTED,
-    }
-    out = "'" + template.replace("'", "''") + "'"
-    for mark, value in marks.items():
-        if mark in template:
-            out = f"replace({out}, '{mark}', coalesce({value}, '—'))"
-    return out
-
-
-_KIND = (
-    "CASE WHEN metric = 'row_count' AND direction = 'LOW' THEN 'row_count_low' WHEN metric = 'row_count' THEN 'row_count_high' "
-    "WHEN metric LIKE 'null\\_pct.%' ESCAPE '\\' AND direction = 'HIGH' THEN 'null_high' "
-    "WHEN metric LIKE 'null\\_pct.%' ESCAPE '\\' THEN 'null_low' WHEN metric LIKE 'mean.%' THEN 'mean' "
-    "WHEN metric LIKE 'std.%' THEN 'std' WHEN metric LIKE 'distinct\\_count.%' ESCAPE '\\' THEN 'distinct' ELSE 'other' END"
+_PCT = f"CAST(CAST({settle('abs(today / expected - 1) * 100', 1)} AS DECIMAL(38, 1)) AS VARCHAR)"
+_SIDE = "CASE WHEN direction = 'HIGH' THEN ' above' ELSE ' below' END"
+_SPOKEN = (
+    "CASE WHEN metric = 'row_count' THEN 'row count' "
+    + " ".join(f"WHEN starts_with(metric, '{k}.') THEN '{v} ' || regexp_replace(metric, '^[a-z_]+\\.', '')" for k, v in N.LABELS.items() if k != "row_count")
+    + " ELSE metric END"
+)
+_FACT = (
+    f"source || '.' || table_name || ': ' || {_SPOKEN} || ' is ' || coalesce({number('today')}, '—') || "
+    f"coalesce(', ' || CASE WHEN expected <> 0 THEN {_PCT} END || '%' || {_SIDE} || ' the usual ', ',' || {_SIDE} || ' the usual ') || {_EXPECTED}"
+)
+# evidence of the table beside every finding, then one row per finding and hypothesis
+_CAUSES = (
+    ("evidence", "SELECT source, table_name, " + ", ".join(f"{e} AS {n}" for n, e in N.EVIDENCE.items()) + " FROM best GROUP BY 1, 2"),
+    (
+        "hypotheses",
+        " UNION ALL ".join(
+            f"SELECT *, {i} AS i, {N.points_sql(h)} AS points, '{h.cause}' AS cause, '{h.check}' AS chk, '{h.remedy}' AS remedy FROM best JOIN evidence USING (source, table_name)"
+            for i, h in enumerate(N.HYPOTHESES)
+        ),
+    ),
+    (
+        "ranked",
+        f"SELECT *, row_number() OVER (PARTITION BY source, table_name, metric ORDER BY points DESC, i) AS rn FROM hypotheses QUALIFY rn <= {N.NAMED}",
+    ),
 )
-
-
-def _by_kind(texts: dict[str, str], kind: str = "kind") -> str:
-    cases = " ".join(f"WHEN '{k}' THEN {_fill_sql(t)}" for k, t in texts.items() if k != "other")
-    return f"CASE {kind} {cases} ELSE {_fill_sql(texts['other'])} END"
-
-
-_BARE = "CASE WHEN kind LIKE 'row_count%' AND (expected IS NULL OR expected = 0) THEN kind || '_bare' ELSE kind END"
-_CAUSE = {
-    "what_happened": lambda v: v[0],
-    "causes": lambda v: " | ".join(v[1]),
-    "what_to_check": lambda v: " | ".join(v[2]),
-    "how_to_fix": lambda v: v[3],
-}
 _ALERTS_CTE = (
     "alerts",
     "SELECT md5(event_type || '|' || user_id || '|' || severity) AS alert_key, channel, ts AS sent_at, severity, "
@@ -351,13 +336,11 @@ ORACLE = {
     + f"SELECT {_COLS} FROM best WHERE severity IN ('CRITICAL', 'HIGH') AND table_name IN ('click', 'error', 'view') AND source = 'web'",
     "severity_counts": ctes(*DETECT_CTES) + "SELECT severity, count(*) AS n FROM best GROUP BY 1",
     "table_counts": ctes(*DETECT_CTES) + "SELECT source, table_name, count(*) AS n FROM best GROUP BY 1, 2",
-    "explain_findings": ctes(*DETECT_CTES)
-    + f"SELECT source, table_name, metric, {_by_kind(N.SENTENCES)} AS explanation FROM "
-    f"(SELECT * REPLACE ({_BARE} AS kind) FROM (SELECT *, {_KIND} AS kind FROM best))",
-    "root_cause": ctes(*DETECT_CTES)
-    + "SELECT source, table_name, metric, "
-    + ", ".join(f"{_by_kind({k: pick(v) for k, v in N.ROOT_CAUSES.items()})} AS {name}" for name, pick in _CAUSE.items())
-    + f" FROM (SELECT *, {_KIND} AS kind FROM best)",
+    "explain_findings": ctes(*DETECT_CTES, *_CAUSES)
+    + f"SELECT source, table_name, metric, {_FACT} || '; most likely ' || cause || '.' AS explanation FROM ranked WHERE rn = 1",
+    "root_cause": ctes(*DETECT_CTES, *_CAUSES)
+    + f"SELECT source, table_name, metric, max({_FACT}) || '.' AS what_happened, string_agg(cause, ' | ' ORDER BY rn) AS causes, "
+    "string_agg(chk, ' | ' ORDER BY rn) AS what_to_check, max(remedy) FILTER (rn = 1) AS how_to_fix FROM ranked GROUP BY 1, 2, 3",
     "alert_routing": ctes(*DETECT_CTES)
     + f"SELECT {_KEY} AS alert_key, 'slack' AS channel, severity, metric || ' in ' || {_TABLE_KEY} AS summary "
     "FROM best WHERE severity IN ('CRITICAL', 'HIGH')",

@@ -251,10 +251,10 @@ def _schema_tests_sql(catalogue) -> str:
 
 def _custom_sql() -> str:
     failing = {
-        "no negative order totals": "SELECT 1 FROM stg_orders WHERE order_total < 0",
-        "daily revenue always positive": "SELECT order_date FROM mart_orders_summary GROUP BY order_date HAVING sum(total_revenue) <= 0",
-        "no suspicious order volumes": "SELECT 1 FROM mart_user_activity WHERE total_orders > 500",
-        "price always positive": "SELECT 1 FROM stg_products WHERE price <= 0",
+        "stg_orders.order_total >= 0": "SELECT 1 FROM stg_orders WHERE order_total < 0",
+        "mart_orders_summary.total_revenue > 0": "SELECT order_date FROM mart_orders_summary GROUP BY order_date HAVING sum(total_revenue) <= 0",
+        "mart_user_activity.total_orders <= 500": "SELECT 1 FROM mart_user_activity WHERE total_orders > 500",
+        "stg_products.price > 0": "SELECT 1 FROM stg_products WHERE price <= 0",
     }
     return " UNION ALL ".join(
         f"SELECT 'custom' AS model, '—' AS \"column\", '{t.name}' AS test, n = 0 AS passed, "
