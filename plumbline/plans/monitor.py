@@ -93,7 +93,7 @@ def analyse(
 ) -> tuple[str, int]:
     """Everything after the profiles: reports and exports below ``out``, alerts into the store."""
     snapshots = store.snapshots()
-    history = stored(decode_history(snapshots), "history")
+    history = store.history()
     # findings feed six outputs; they are one row per flagged series, written once and read back
     path = f"{out}/findings"
     explain(best_findings(detect_all(history, with_forest))).write.mode("overwrite").parquet(path)
@@ -110,7 +110,8 @@ def analyse(
     write_json(run_history(snapshots), f"{out}/run_history")
 
     candidates = A.to_alerts(A.route(findings), channel, F.lit(at))
-    recent = store.alerts(without_batch=batch).filter(F.col("sent_at") > F.lit(at - dt.timedelta(minutes=A.WINDOW_MINUTES)))
+    since = at - dt.timedelta(minutes=A.WINDOW_MINUTES)
+    recent = store.alerts(without_batch=batch, since=since).filter(F.col("sent_at") > F.lit(since))
     store.put_alerts(A.first_per_table(A.not_recently_sent(candidates, recent)), batch)
     totals = report_totals(findings).first()
     return totals["overall_status"], totals["total_anomalies"]

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.operators.profile import profile_table
 from plumbline.operators.snapshots import to_snapshots
 from plumbline.plans.monitor import analyse
+from plumbline.session import stored
 from plumbline.sources.store import Store
 
 
@@ -34,6 +35,7 @@ def incremental_monitor(
     trigger = trigger or {"availableNow": True}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = stored(batch, "micro_batch")  # read several times below
         if batch.isEmpty():
             return
         now = dt.datetime.now(dt.timezone.utc)

@@ -21,7 +21,7 @@ def window_profile(
     stats_of: Sequence[str] = (),
     distinct_of: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per closed window and key; distinct counts are approximate on a stream."""
+    """One row per closed window and key; ``distinct_of`` counts are approximate, ``window_distinct`` counts exactly."""
     at = F.col(time).cast("timestamp")
     rows_in = F.count(F.lit(1))
     aggs = [rows_in.alias("row_count")]
@@ -43,3 +43,19 @@ def window_profile(
         .withColumn("profiled_at", F.col("window.start"))
         .drop("window")
     )
+
+
+def window_distinct(stream: DataFrame, time: str, window: str, delay: str, column: str, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Exact distinct non-null values of ``column`` per closed window and key.
+
+    Values are de-duplicated by window first, with state until the window closes, and counted then.
+    """
+    once = (
+        stream.withColumn("_at", F.col(time).cast("timestamp"))
+        .withWatermark("_at", delay)
+        .select(F.window("_at", window).alias("window"), *keys, F.col(quoted(column)).alias("_value"))
+        .filter(F.col("_value").isNotNull())
+        .dropDuplicates(["window", *keys, "_value"])
+    )
+    counted = once.groupBy("window", *keys).agg(F.count("_value").alias(f"distinct_count_{column}"))
+    return counted.withColumn("profiled_at", F.col("window.start")).drop("window")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators.alerts import KEY, WINDOW_MINUTES, not_recently_sent, suppress
+from plumbline.session import stored
 from plumbline.sources.store import Store
 
 OUTPUT = "alert_key string, channel string, sent_at timestamp, severity string, summary string"
@@ -19,39 +21,43 @@ OUTPUT = "alert_key string, channel string, sent_at timestamp, severity string,
 
 def _keep_first(window_us: int):
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
         # only this trigger's alerts of one key; the source's rate limit bounds them
         chunks = list(batches)
         pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
         us = pdf["sent_at"].to_numpy().astype("datetime64[us]").astype("int64")
-        if len(us) > 1:
-            order = np.argsort(us, kind="stable")
-            if (np.diff(us[order]) == 0).any():
-                order = np.lexsort((pdf["summary"].to_numpy(str), pdf["severity"].to_numpy(str), us))
-        else:
-            order = [0]
-        sent = []
-        for i in order:
-            t = int(us[i])
-            if last is None or t >= last + window_us:
-                sent.append(i)
-                last = t
-        state.update((last,))
-        yield pdf.take(sent) if len(sent) < len(pdf) else pdf
+        order = np.lexsort((pdf["summary"].to_numpy(str), pdf["severity"].to_numpy(str), us)) if len(us) > 1 else np.zeros(1, int)
+        us, sent = us[order], []
+        at = int(np.searchsorted(us, state.get[0] + window_us)) if state.exists else 0
+        while at < len(us):
+            sent.append(at)
+            at += int(np.searchsorted(us[at:], us[at] + window_us))
+        if sent:
+            last = int(us[sent[-1]])
+            state.update((last,))
+        last = state.get[0]
+        # the key is forgotten once the watermark says that nothing can fall into its window any more
+        state.setTimeoutTimestamp(max((last + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if sent:
+            yield pdf.take(order[sent])
 
     return keep
 
 
-def suppress_stream(alerts: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
-    """Alerts that are sent. State holds one time per key and channel.
+def suppress_stream(alerts: DataFrame, minutes: int = WINDOW_MINUTES, delay: str = "1 hour") -> DataFrame:
+    """Alerts that are sent. State holds one time per key and channel, until the watermark has passed its window.
 
-    Alerts are judged in arrival order between triggers and in time order within one.
+    Alerts are judged in arrival order between triggers and in time order within one; those more than ``delay`` behind the
+    newest are too late.
     """
     return (
         alerts.select(*KEY, F.col("sent_at").cast("timestamp").alias("sent_at"), "severity", "summary")
+        .withWatermark("sent_at", delay)
         .groupBy(*KEY)
         .applyInPandasWithState(
-            _keep_first(minutes * 60_000_000), OUTPUT, "last_us long", "append", GroupStateTimeout.NoTimeout
+            _keep_first(minutes * 60_000_000), OUTPUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
@@ -66,8 +72,13 @@ def suppress_to_log(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        name = f"stream-{batch_id}"
-        fresh = not_recently_sent(batch, store.alerts(without_batch=name), minutes)
+        name, batch = f"stream-{batch_id}", stored(batch, "micro_batch")
+        first = batch.agg(F.min(F.col("sent_at").cast("timestamp"))).first()[0]
+        if first is None:
+            return
+        # of the log only the days that can still matter
+        log = store.alerts(without_batch=name, since=first - dt.timedelta(minutes=minutes))
+        fresh = not_recently_sent(batch, log, minutes)
         store.put_alerts(suppress(fresh, minutes), name)
 
     trigger = trigger or {"availableNow": True}

@@ -132,6 +132,10 @@ def test_snapshot_store(spark, tmp_path):
     store.put_snapshots(snapshot_rows(spark, "b", 0, 2), "batch-1")
     store.put_snapshots(snapshot_rows(spark, "b", 0, 3), "batch-1")
     assert sorted(r["row_count"] for r in store.snapshots().collect()) == [1, 3]
+    # the long history is stored beside, only for what is new, and replaced with its batch
+    assert sorted((r["source"], r["metric"], r["value"]) for r in store.history().collect()) == [
+        ("a", "null_pct.a", 1.5), ("a", "row_count", 1.0), ("b", "null_pct.a", 1.5), ("b", "row_count", 3.0)
+    ]
     only = store.snapshots(["b"])
     assert only.count() == 1 and re.search(r"PartitionFilters: \[[^]]*source", plan(only))
 
@@ -143,6 +147,8 @@ def test_alert_and_run_logs(spark, tmp_path):
     store.put_alerts(rows, "b1")
     store.put_alerts(rows, "b1")
     assert store.alerts().count() == 2 and store.alerts(without_batch="b1").count() == 1
+    assert store.alerts(since=START).count() == 2 and store.alerts(since=START + dt.timedelta(days=1)).count() == 0
+    assert re.search(r"PartitionFilters: \[[^]]*sent_date", plan(store.alerts(since=START)))
     for i in range(4):
         store.append_run((START + dt.timedelta(hours=i), 1.0, "CLEAN", i, ["a"], []))
     assert [r["anomalies"] for r in store.runs(2).collect()] == [3, 2]

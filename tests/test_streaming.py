@@ -9,7 +9,7 @@ from plumbline.operators.rules import between, not_null
 from plumbline.operators.snapshots import decode_history
 from plumbline.sources.store import Store
 from plumbline.streaming.incremental import incremental_monitor
-from plumbline.streaming.profile import window_profile
+from plumbline.streaming.profile import window_distinct, window_profile
 from plumbline.streaming.quarantine import quarantine
 from plumbline.streaming.suppression import suppress_approx, suppress_stream, suppress_to_log
 from tests.helpers import START
@@ -101,3 +101,21 @@ def test_incremental_monitor_adds_one_snapshot_per_batch(spark, tmp_path):
     query.awaitTermination()
     counts = decode_history(store.snapshots()).filter("metric = 'row_count'").orderBy("profiled_at")
     assert [r["value"] for r in counts.collect()] == [5.0, 6.0, 7.0]
+
+
+def test_exact_distinct_values_of_closed_windows(spark, tmp_path):
+    """Over several triggers, with values that come again, nulls, and a row that is too late."""
+    at = lambda h: START.replace(hour=0) + dt.timedelta(hours=h)
+    batches = [[(at(1), 1, "a"), (at(2), 1, "a"), (at(3), 2, "b")], [(at(4), 2, "a"), (at(5), None, "a"), (at(30), 9, "a")], [(at(80), 7, "a")], [(at(2), 99, "a")]]
+    stream = write_batches(spark, tmp_path / "in", "ts timestamp_ntz, v int, k string", batches)
+    df = window_distinct(stream, "ts", "1 day", "1 hour", "v", keys=["k"])
+    got = {(r["profiled_at"].day, r["k"]): r["distinct_count_v"] for r in drain(df, tmp_path).collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 1}
+
+
+def test_stream_suppression_forgets_keys_and_stays_right(spark, tmp_path):
+    """Many triggers over hours: a key that has been forgotten starts anew, one inside its window does not."""
+    hours = [0, 0.5, 1.0, 1.2, 5, 5.5, 30, 30.2, 31]
+    stream = write_batches(spark, tmp_path / "in", ALERTS, [[alert("a", int(h * 60))] for h in hours])
+    sent = sorted(int(r["summary"][1:]) for r in drain(suppress_stream(stream), tmp_path).collect())
+    assert sent == [0, 60, 300, 1800, 1860]

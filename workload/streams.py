@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.rules import between, in_set, not_null
 from plumbline.session import shared_dir
-from plumbline.operators.snapshots import decode_history
 from plumbline.sources.store import Store
 from plumbline.streaming.incremental import incremental_monitor
-from plumbline.streaming.profile import window_profile
+from plumbline.streaming.profile import window_distinct, window_profile
 from plumbline.streaming.quarantine import quarantine
 from plumbline.streaming.suppression import suppress_stream, suppress_to_log
 from workload.anomalies import DAY, event_alerts, greedy_sql
@@ -54,9 +53,9 @@ def stream_daily_profile(spark, sf_dir):
 
 
 def stream_distinct_users(spark, sf_dir):
-    """Approximate distinct users per closed day."""
+    """Exact distinct users per closed day and event type."""
     events = project(stream_of(spark, sf_dir, "events"), FEED)
-    rows = window_profile(events, "ts", "1 day", "1 hour", distinct_of=["user_id"])
+    rows = window_distinct(events, "ts", "1 day", "1 hour", "user_id", keys=["table_name"])
     return drain(rows, "stream_distinct_users").withColumn("profiled_at", F.col("profiled_at").cast("date"))
 
 
@@ -88,7 +87,7 @@ def stream_incremental(spark, sf_dir):
         batch_time=F.max("created_at").cast("timestamp"),
         with_forest=False,
     ).awaitTermination()
-    return decode_history(store.snapshots()).select("table_name", "metric", "value")
+    return store.history().select("table_name", "metric", "value")
 
 
 RULES = [not_null("user_id"), not_null("total"), between("total", 0, 50_000), in_set("status", STATUSES)]
@@ -128,6 +127,9 @@ ORACLE = {
     f"{settle('min(value)', 4)} AS min_value, {settle('max(value)', 4)} AS max_value, {settle('avg(value)', 4)} AS mean_value, "
     f"{settle('stddev_samp(value)', 4)} AS std_value FROM feed "
     "WHERE profiled_at + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2",
+    "stream_distinct_users": ctes(("feed", sql_project("events", FEED)))
+    + "SELECT table_name, profiled_at, count(DISTINCT user_id) AS distinct_count_user_id FROM feed "
+    "WHERE profiled_at + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2",
     "stream_alert_suppression": greedy_sql("SELECT * FROM alerts", "INTERVAL 24 HOUR"),
     "stream_suppression_log": greedy_sql("SELECT * FROM alerts", "INTERVAL 24 HOUR"),
     "stream_incremental": history_sql("raw_orders", "orders"),
