@@ -13,7 +13,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ladder, settle
@@ -105,10 +105,15 @@ def _score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "table_name", "is_today"]].assign(score=scores)
 
 
-def isolation_forest(
-    history: DataFrame, min_rows: int = MIN_ROWS, contamination: float = CONTAMINATION, subsample: int = SUBSAMPLE
-) -> DataFrame:
-    """At most one finding per table: today's combined metrics are unusually easy to isolate."""
+def forest_severity(score: Column) -> Column:
+    return ladder(score, SCORE_STEPS, "CRITICAL")
+
+
+def eligible_tables(history: DataFrame, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Tables that a forest can judge, with today's three metrics furthest from their past, and the metrics it may use.
+
+    A metric counts if every snapshot of the table has it; a table needs ``min_rows`` snapshots and two such metrics.
+    """
     per_table = history.groupBy(*SERIES).agg(
         F.count_distinct("profiled_at").alias("n_rows"), F.max("profiled_at").alias("today_at")
     )
@@ -144,6 +149,14 @@ def isolation_forest(
             ).alias("top_contributors"),
         )
     )
+    return tables, stats
+
+
+def isolation_forest(
+    history: DataFrame, min_rows: int = MIN_ROWS, contamination: float = CONTAMINATION, subsample: int = SUBSAMPLE
+) -> DataFrame:
+    """At most one finding per table: today's combined metrics are unusually easy to isolate."""
+    tables, stats = eligible_tables(history, min_rows)
     unit = F.when(F.col("spread") > 0, F.col("spread")).otherwise(F.lit(1.0))
     vectors = (
         history.join(stats.select(*SERIES, "metric", "n_rows", "today_at", "mean", unit.alias("unit")), [*SERIES, "metric"])
@@ -199,7 +212,7 @@ def isolation_forest(
             F.col("today_at").alias("profiled_at"),
             F.lit("isolation_forest").alias("detector"),
             F.lit("all_metrics_combined").alias("metric"),
-            ladder(F.col("score"), SCORE_STEPS, "CRITICAL").alias("severity"),
+            forest_severity(F.col("score")).alias("severity"),
             F.lit("MULTIVARIATE").alias("direction"),
             settle(F.col("score"), 4).alias("anomaly_score"),
             "top_contributors",

@@ -9,7 +9,7 @@ from plumbline.operators import alerts as A
 from plumbline.operators import annotate as N
 from plumbline.operators import detect as D
 from plumbline.operators import report as P
-from plumbline.operators.iforest import isolation_forest
+from plumbline.operators.iforest import eligible_tables, forest_severity, isolation_forest
 from plumbline.operators.profile import bucket_history
 from plumbline.session import stored
 from workload.inputs import (
@@ -84,6 +84,20 @@ def iforest_events(spark, sf_dir):
     return isolation_forest(stored_feed_history(spark, sf_dir))
 
 
+def forest_contributors(spark, sf_dir):
+    """Tables that the forest judges, with the metrics that move it most."""
+    tables, _ = eligible_tables(stored_feed_history(spark, sf_dir))
+    return tables.select("source", "table_name", "n_rows", F.posexplode("top_contributors").alias("rank", "top")).select(
+        "source", "table_name", "n_rows", "rank", "top.metric", "top.z_score"
+    )
+
+
+def forest_severities(spark, sf_dir):
+    """Severity of scores spread over the range that a forest can give: one for each event."""
+    scores = table(spark, sf_dir, "events").select((F.lit(-1.0) * F.pmod("event_id", F.lit(1000)) / 1000).alias("score"))
+    return scores.groupBy(forest_severity(F.col("score")).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"))
+
+
 def findings_all(spark, sf_dir):
     history = stored_feed_history(spark, sf_dir)
     return P.merge_findings(D.zscore(history), D.iqr(history)).select(*SHOWN)
@@ -206,6 +220,8 @@ QUERIES = {
     "iqr_all_metrics": iqr_all_metrics,
     "iqr_lines": iqr_lines,
     "iforest_events": iforest_events,
+    "forest_contributors": forest_contributors,
+    "forest_severities": forest_severities,
     "findings_all": findings_all,
     "findings_dedup": findings_dedup,
     "report_severity": report_severity,
@@ -319,6 +335,18 @@ ORACLE = {
     "WHERE n >= 7 AND m = m2 AND today <> m",
     "iqr_all_metrics": ctes(*FEED_CTES, LATEST_CTE, IQR_CTE) + f"SELECT {_COLS} FROM iqr",
     "iqr_lines": ctes(*LINES_CTES, LATEST_CTE, IQR_CTE) + f"SELECT {_COLS} FROM iqr",
+    "forest_contributors": ctes(*FEED_CTES, LATEST_CTE)
+    + "SELECT source, table_name, n_rows, CAST(rn - 1 AS INTEGER) AS rank, metric, "
+    + settle("z", 2)
+    + " AS z_score FROM (SELECT *, row_number() OVER (PARTITION BY source, table_name ORDER BY z DESC, metric) AS rn FROM "
+    "(SELECT *, abs((now - m) / s) AS z, count(*) OVER (PARTITION BY source, table_name) AS n_metrics FROM "
+    "(SELECT h.source, h.table_name, h.metric, any_value(r.n_rows) AS n_rows, count(value) AS n_values, "
+    "avg(value) FILTER (profiled_at < today_at) AS m, stddev_samp(value) FILTER (profiled_at < today_at) AS s, "
+    "max(value) FILTER (profiled_at = today_at) AS now FROM hist h JOIN last_at USING (source, table_name) JOIN "
+    "(SELECT source, table_name, count(DISTINCT profiled_at) AS n_rows FROM hist GROUP BY 1, 2) r USING (source, table_name) GROUP BY 1, 2, 3) "
+    "WHERE n_values = n_rows AND n_rows >= 10) WHERE n_metrics >= 2 AND s > 0) WHERE rn <= 3",
+    "forest_severities": "SELECT severity, count(*) AS n, min(score) AS lowest FROM (SELECT *, CASE WHEN score >= -0.2 THEN 'MEDIUM' "
+    "WHEN score >= -0.3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM (SELECT -1.0E0 * (event_id % 1000) / 1000 AS score FROM events)) GROUP BY 1",
     "findings_all": ctes(*DETECT_CTES) + f"SELECT {_COLS} FROM zscore UNION ALL SELECT {_COLS} FROM iqr",
     "findings_dedup": ctes(*DETECT_CTES) + f"SELECT {_COLS} FROM best",
     "report_severity": ctes(*DETECT_CTES) + _TOTALS,

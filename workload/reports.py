@@ -161,10 +161,10 @@ def null_heatmap_last(spark, sf_dir):
 
 
 def null_heatmap_grid(spark, sf_dir):
-    grid = R.heatmap_grid(R.null_heatmap(feed_history(spark, sf_dir)), ["2024-01-28", "2024-01-29", "2024-01-30"])
-    return grid.select(
-        "source", "column", F.col("`2024-01-28`").alias("d28"), F.col("`2024-01-29`").alias("d29"), F.col("`2024-01-30`").alias("d30")
-    )
+    """The whole heatmap, a column for each day that the feed has."""
+    heat = R.null_heatmap(stored_feed_history(spark, sf_dir))
+    days = [str(r[0]) for r in heat.select("date").distinct().orderBy("date").collect()]
+    return R.heatmap_grid(heat, days)
 
 
 def worst_null_columns(spark, sf_dir):
@@ -388,9 +388,7 @@ ORACLE = {
     + "SELECT source, table_name || '.' || replace(metric, 'null_pct.', '') AS \"column\", CAST(date_trunc('year', profiled_at) AS DATE) AS date, "
     "round(avg(value), 4) AS null_pct FROM hist WHERE starts_with(metric, 'null_pct.') GROUP BY 1, 2, 3",
     "null_heatmap_last": ctes(*FEED_CTES, _HEAT) + "SELECT * FROM heat",
-    "null_heatmap_grid": ctes(*FEED_CTES, _HEAT)
-    + "SELECT source, \"column\", max(null_pct) FILTER (date = DATE '2024-01-28') AS d28, max(null_pct) FILTER (date = DATE '2024-01-29') AS d29, "
-    "max(null_pct) FILTER (date = DATE '2024-01-30') AS d30 FROM heat GROUP BY 1, 2",
+    "null_heatmap_grid": ctes(*FEED_CTES, _HEAT) + "SELECT * FROM (PIVOT heat ON date USING max(null_pct) GROUP BY source, \"column\")",
     "worst_null_columns": ctes(*FEED_CTES, _HEAT)
     + f"SELECT source, \"column\", {settle('avg(null_pct)', 2)} AS avg_null_pct FROM heat GROUP BY 1, 2 "
     "ORDER BY avg_null_pct DESC, source, \"column\" LIMIT 10",
