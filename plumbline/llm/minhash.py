@@ -6,8 +6,8 @@ COORDINATES - MATCHES + 1 rarest pairs of either (prefix), so only those are pos
 ones are skipped and counted later from the two signatures. Candidates are confirmed on full sets.
 
 A posting list with thousands of near copies is not turned into all its pairs: its most central
-member is compared with the others first, then only members of different components with each other, as far as they
-share a rare shingle.
+member is compared with the others first, then another one, then only members of different components with each other, as
+far as they share a shingle that is rare enough in both.
 """
 
 from __future__ import annotations
@@ -124,13 +124,17 @@ def _sharing_rare_shingles(apart: DataFrame, sets: DataFrame, scratch: Scratch,
     shared = words.groupBy("shingle").agg(F.count("*").alias("freq")).where("freq > 1")
     met = words.join(shared, "shingle").groupBy("node", "n", "root").agg(F.collect_list(F.struct("freq", "shingle")).alias("met"))
     # shingles that nobody shares are the rarest
-    rest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("met"))).cast("int")
-    posts = met.where(rest > 0).select("node", "n", "root", F.explode(F.slice(F.sort_array("met"), F.lit(1), rest)).alias("post"))
-    posts = scratch.keep(posts.select("node", "n", "root", F.col("post.shingle").alias("shingle")))
-    other = posts.select("shingle", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    alone = F.col("n") - F.size("met")
+    rest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone).cast("int")
+    posts = met.where(rest > 0).select("node", "n", "root", alone.alias("alone"), F.posexplode(F.slice(F.sort_array("met"), F.lit(1), rest)).alias("i", "post"))
+    posts = posts.select("node", "n", "root", F.col("post.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("i")).alias("left"))
+    posts = scratch.keep(posts)
+    other = posts.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "left")))
+    # if this is the first shingle that both have, no more than ``left`` of either can be shared
+    enough = F.least("left", "left2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
     return posts.join(
         other,
-        (posts.shingle == other.shingle) & (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _similar(F.col("n"), F.col("n2"), percent),
+        (posts.shingle == other.shingle) & (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _similar(F.col("n"), F.col("n2"), percent) & enough,
     ).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
@@ -157,16 +161,19 @@ def links(docs: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, D
     sets = texts.join(posted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
     sets = scratch.keep(sets.mapInArrow(_sets, "node struct<doc:long,mark:long>, shingles array<long>"))
 
-    # the most central member of each list against the others
-    lead = posts.groupBy("pair").agg(F.max(F.struct("weight", F.struct("node", "n").alias("who"))).alias("lead"), F.count("*").alias("size"))
-    lead = lead.where("size > 1").select("pair", F.col("lead.who.node").alias("leader"), F.col("lead.who.n").alias("m"))
-    candidates = posts.join(lead, (posts.pair == lead.pair) & (F.col("node") != F.col("leader")) & _similar(F.col("n"), F.col("m"), percent))
-    candidates = candidates.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    found = scratch.keep(_confirmed(candidates, reps, sets, percent))
-    roots = contract(found, scratch)
+    # one member of each list against those of other components: first the most central one, then another of each list
+    found, placed = None, posts.withColumn("root", F.col("node"))
+    for chosen in (F.col("weight"), F.xxhash64("pair", "node.doc", "node.mark")):
+        lead = placed.groupBy("pair").agg(F.max(F.struct(chosen.alias("by"), F.struct("node", "n", "root").alias("who"))).alias("lead"))
+        lead = lead.select("pair", F.col("lead.who.node").alias("leader"), F.col("lead.who.n").alias("m"), F.col("lead.who.root").alias("led"))
+        candidates = placed.join(lead, (placed.pair == lead.pair) & (F.col("root") != F.col("led")) & _similar(F.col("n"), F.col("m"), percent))
+        candidates = candidates.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        new = scratch.keep(_confirmed(candidates, reps, sets, percent))
+        found = new if found is None else found.unionAll(new)
+        roots = contract(found, scratch)
+        placed = scratch.keep(posts.join(roots, "node", "left").select("pair", "node", "n", "weight", F.coalesce("root", "node").alias("root")))
 
     # then members of different components, all of them that can be similar
-    placed = posts.join(roots, "node", "left").select("pair", "node", "n", F.coalesce("root", "node").alias("root"))
     open_lists = placed.groupBy("pair").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("pair")
     apart = scratch.keep(placed.join(open_lists, "pair", "left_semi").select("node", "n", "root").distinct())
     more = scratch.keep(_confirmed(_sharing_rare_shingles(apart, sets, scratch, percent), reps, sets, percent))
