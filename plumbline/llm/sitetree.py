@@ -47,8 +47,10 @@ NOISE_NAMES = set(
     "ad ads adsense advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promotion promos cookie cookies consent gdpr notice "
     "notices newsletter subscribe subscription paywall popup modal overlay sidebar sidenav rail widget widgets related recommended recommendations comment comments commentlist "
     "disqus respond replies discussion menu nav navbar navigation navbox breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer share sharing social "
-    "login signin signup skip skiplink".split()
+    "login signin signup skip skiplink aside alert alerts announcement announcements search searchbox searchform".split()
 )
+# a name made of these alone, such as site-header, is the head of the page
+HEADER_NAMES = set("header site page top main global masthead wrapper container".split())
 MAIN = {"article", "main"}
 
 TOKEN = re.compile(
@@ -127,8 +129,11 @@ def _is_noise(tag: str, given: dict[str, str], in_main: bool) -> bool:
         return True
     if "display:none" in given.get("style", "").replace(" ", "").lower():
         return True
-    names = re.split(r"[\s_-]+", f"{given.get('class', '')} {given.get('id', '')}".lower())
-    return not NOISE_NAMES.isdisjoint(names)
+    for name in [*given.get("class", "").split(), given.get("id", "")]:
+        parts = set(re.split(r"[\s_:-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+        if not NOISE_NAMES.isdisjoint(parts) or not in_main and "header" in parts and parts <= HEADER_NAMES:
+            return True
+    return False
 
 
 def clean(text: str) -> str:

@@ -86,6 +86,7 @@ def test_a_wrong_place_is_an_error():
         ("<!-- c --><p>a<!-- <p>x --></p></i></b><p>unclosed &amp", "a\n\nunclosed &"),
         ("<article><header><h1>Kept</h1></header>x</article><header>gone</header>", "Kept\n\nx"),
         ("<p>a < b and c <3</p><P CLASS=AD>no</P>", "a < b and c <3"),
+        ("<div class='site-header'>no</div><div id=readerComments>no</div><div class='post-header'>t</div><div class='commentary'>yes</div>", "t\n\nyes"),
         ("<title>t</title><style>p{}</style><p>" + "<div>" * 3000 + "deep", "deep"),
     ],
 )
