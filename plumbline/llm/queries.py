@@ -124,10 +124,14 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
 FROM f""",
     "op8_previous_factors": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), w AS (
-  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)
-), m AS (SELECT md5(s) AS s, min(doc_id) AS first, max(doc_id) AS last FROM w GROUP BY md5(s) HAVING min(doc_id) < max(doc_id)
-), c AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN m ON m.s = md5(w.s) WHERE m.first < w.doc_id
+), b AS (
+  SELECT doc_id, start, substr(h, 2 * start + 1, 2 * (1000 + 49)) AS block
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 1000)) AS start FROM d)
+), w AS MATERIALIZED (
+  SELECT doc_id, start + i AS i, hash(substr(block, 2 * i + 1, 100)) AS s
+  FROM (SELECT doc_id, start, block, unnest(range(0, length(block) // 2 - 49)) AS i FROM b)
+), m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), c AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN m ON m.s = w.s WHERE m.first < w.doc_id
 ), g AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM c
 ), r AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run, i FROM g
 ), spans AS (SELECT doc_id, run, min(i) AS low, max(i) + 50 AS high FROM r GROUP BY doc_id, run
