@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import quoted
-from plumbline.operators.snapshots import SERIES, latest_snapshot
+from plumbline.operators.snapshots import SERIES, latest_snapshot, newest
 
 
 def declared_schema(spark: SparkSession, df: DataFrame, source: str, table_name: str) -> DataFrame:
@@ -78,6 +78,16 @@ def schema_rows(stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return stored.select(*keys, F.explode(F.from_json("columns_json", "map<string,string>")).alias("column", "type"))
 
 
+def stored_drift(snapshots: DataFrame) -> DataFrame:
+    """Drift of every table between its last two stored schemas; a table with one schema has none."""
+    tiebreak = [c for c in ("batch",) if c in snapshots.columns]
+    two = newest(snapshots.filter(F.col("schema_fingerprint").isNotNull()), SERIES, 2, *tiebreak)
+    two = two.withColumn("columns_json", F.col("schema_fingerprint"))
+    before = two.filter("rn = 2")
+    now = two.filter("rn = 1").join(before.select(*SERIES), SERIES, "left_semi")
+    return drift(schema_rows(before), schema_rows(now), SERIES)
+
+
 def last_fingerprint(snapshots: DataFrame) -> DataFrame:
     """Fingerprint of the latest stored snapshot per (source, table)."""
     return latest_snapshot(snapshots).select(*SERIES, "profiled_at", "schema_fingerprint")

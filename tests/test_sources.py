@@ -228,3 +228,28 @@ def test_jdbc_names_carry_their_schema():
     _, name, condition = _jdbc_catalogue("jdbc:postgresql://h:5432/db")
     assert "'public'" in name and "table_schema" in name and "pg_catalog" in condition
     assert _jdbc_catalogue("jdbc:mysql://h:3306/shop?x=1")[2] == "table_schema = 'shop'"
+
+
+def test_run_with_suites_and_drift(spark, tmp_path):
+    """Two sources with several tables: rules feed scores, summary and report alerts, and a changed schema shows as drift."""
+    from plumbline.operators.rules import between, in_set
+
+    store, out = Store(spark, f"{tmp_path}/store"), f"{tmp_path}/out"
+    suites = {("a", "t"): [between("v", 0, 10), in_set("k", ["x"])], ("b", "u"): [between("w", 0, 5)], ("b", "unknown"): [between("z", 0, 1)]}
+    sources = [P.Source("a", "parquet", f"{tmp_path}/a"), P.Source("b", "parquet", f"{tmp_path}/b")]
+    for day in range(2):
+        late = day == 1
+        t = spark.range(50).selectExpr("id v", "'x' k", *(["1 extra"] if late else ["'gone' old"]))
+        t.write.mode("overwrite").parquet(f"{tmp_path}/a/t.parquet")
+        spark.range(5).selectExpr("id w").write.mode("overwrite").parquet(f"{tmp_path}/b/u.parquet")
+        spark.range(3).selectExpr("CAST(id AS DOUBLE) q" if late else "id q").write.mode("overwrite").parquet(f"{tmp_path}/b/plain.parquet")
+        result = monitor.run(spark, sources, store, out, START + dt.timedelta(days=day), with_forest=False, suites=suites)
+        assert result.errors == [] and result.anomalies == 0
+    read = lambda name: spark.read.json(f"{out}/{name}").collect()
+    scores = {(r["source"], r["table_name"]): r["score"] for r in read("scores")}
+    assert scores == {("a", "t"): 90, ("b", "u"): 100, ("b", "plain"): 100}
+    overall = read("summary")[0]
+    assert (overall["checks_passed"], overall["checks_failed"], overall["total_snapshots"]) == (2, 1, 6)
+    assert {(r["table_name"], r["column"], r["change"]) for r in read("drift")} == {("t", "extra", "ADDED"), ("t", "old", "DROPPED"), ("plain", "q", "TYPE CHANGED")}
+    assert [r["severity"] for r in read("alert_history")] == ["HIGH", "HIGH"] and store.alerts().count() == 2
+    assert len(read("run_tables")) == 6 and len(read("run_history")) == 2
