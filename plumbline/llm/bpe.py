@@ -26,7 +26,7 @@ from plumbline.llm.common import carried, slices
 # white space of the tokenizer's regular expressions: the Unicode property White_Space
 WHITE = "\t-\r \x85\xa0  -     　"
 ONLY_PYTHON_WHITE = re.compile("[\x1c-\x1f]")  # str.split takes these for white space too
-MEMORY = 250_000  # entries of one generation of a worker's memory
+MEMORY = 150_000  # entries of one generation of a worker's memory
 LONG = 64  # characters; longer pieces are not remembered, and merged with a queue
 NO_RANK = 1 << 40
 
