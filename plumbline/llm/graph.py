@@ -27,11 +27,8 @@ def contract(edges: DataFrame, scratch: Scratch) -> DataFrame:
             up = hooks.select(F.col("child").alias("c2"), F.col("parent").alias("p2"))
             jumped = scratch.keep(hooks.join(up, hooks.parent == up.c2).select("child", F.col("p2").alias("parent"), (F.col("p2") != F.col("parent")).alias("moved")))
             scratch.drop(hooks)
-            hooks = jumped.select("child", "parent")
-            moved = not jumped.where("moved").isEmpty()
-            hooks = scratch.keep(hooks)
-            scratch.drop(jumped)
-            if not moved:
+            hooks = jumped
+            if jumped.where("moved").isEmpty():
                 break
         new_labels = labels.join(hooks, labels.root == hooks.child, "left").select("node", F.coalesce("parent", "root").alias("root"))
         to = hooks.select(F.col("child").alias("c2"), F.col("parent").alias("p2"))
