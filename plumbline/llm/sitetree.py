@@ -2,9 +2,10 @@
 
 The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids are one node of the
 tree. A node that lays out its children in many ways is important by presentation, one whose texts differ
-from page to page by content; both are entropies over the pages that have the node. A branch without any
-important node is template and is cut from every page of the host. What markup itself names as
-navigation, advert, form or comments goes as well, also on hosts with too few pages to tell.
+from page to page by content; both are entropies over the different pages that have the node. A branch without any
+important node is template and is cut from every page of the host, inside the main element too; the fewer pages have
+it, the nearer its importance is moved to that of what stays. What markup itself names as navigation, advert, form or
+comments goes as well, whatever the number of pages.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch
 
 LEAST_IMPORTANCE = 0.4  # of the most important node of a branch that stays
-LEAST_PAGES = 20  # of a host before its tree decides; entropies of fewer pages tell little
+FEW_PAGES = 4  # a branch's importance counts as that of its pages and of so many more where it is 1: entropies of few pages tell little
 DAMPING = 0.9  # the share of content in a node's importance is DAMPING ** (number of its layouts' children)
 
 # HTML's own sets of elements
@@ -52,6 +53,10 @@ NOISE_NAMES = set(
 # a name made of these alone, such as site-header, is the head of the page
 HEADER_NAMES = set("header site page top main global masthead wrapper container".split())
 MAIN = {"article", "main"}
+# what may be cut as a branch of its own: an item, row or heading goes with its box, a word within a sentence stays
+BOXES = BLOCK - set("h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead tfoot option legend figcaption summary html body head".split())
+HOLDERS = BOXES - {"p", "pre", "address"} | {"body", "html", ""}
+PART, BOX, ROOT = 0, 1, 2  # of a branch: goes with its box, may be cut, main element of the page and always important
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S
@@ -136,6 +141,16 @@ def _is_noise(tag: str, given: dict[str, str], in_main: bool) -> bool:
     return False
 
 
+def _is_main(tag: str, given: dict[str, str]) -> bool:
+    return tag in MAIN or given.get("role", "").lower() == "main"
+
+
+def _role(tag: str, parent: str, in_main: bool, is_main: bool) -> int:
+    if is_main and not in_main:
+        return ROOT
+    return BOX if tag in BOXES or not in_main and (tag in BLOCK or parent in HOLDERS) else PART
+
+
 def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
@@ -143,7 +158,7 @@ def clean(text: str) -> str:
 def main_text(page: str, noisy: set[int]) -> str:
     """Blocks of the page outside noise and the branches ``noisy`` of its host, joined by an empty line.
 
-    Where the page has an article or main element only those count, and the tree cuts nothing inside them.
+    Where the page has an article or main element only those count.
     """
     blocks: dict[bool, list[str]] = {True: [], False: []}
     run: list[str] = []
@@ -168,9 +183,9 @@ def main_text(page: str, noisy: set[int]) -> str:
                 run.append(" ")
             own = path_of(path, label(value, given))
             out = dropped or _is_noise(value, given, in_main)
-            inside = in_main or not out and (value in MAIN or given.get("role", "").lower() == "main")
+            inside = in_main or not out and _is_main(value, given)
             has_main |= inside and not in_main
-            stack.append((own, out or own in noisy and not inside, inside))
+            stack.append((own, out or own in noisy, inside))
         else:
             if value in BLOCK:
                 flush(in_main)
@@ -179,39 +194,44 @@ def main_text(page: str, noisy: set[int]) -> str:
     return "\n\n".join(blocks[True] if has_main else blocks[False])
 
 
-STATS = "host string, path long, above array<long>, kind string, value long"
+STATS = "host string, page long, path long, above array<long>, role int, kind string, value long"
 
 
 def page_nodes(host: str, page: str) -> list[tuple]:
-    """(host, path, ancestors, kind, value) of a page: ``layout`` for the children of each node, ``text`` for each text in it.
+    """(host, page, path, ancestors, role, kind, value): ``layout`` for the children of each node, ``text`` for each text in it.
 
-    Elements with the same path in a page are one node. What markup names as noise needs no statistics.
+    Elements with the same path in a page are one node. What markup names as noise needs no statistics. ``page`` is a
+    hash of all the rest: pages that differ in noise only are the same page.
     """
-    layouts, texts, above = defaultdict(list), defaultdict(set), {}
-    stack = [(0, [], False)]
+    layouts, texts, above, roles = defaultdict(list), defaultdict(set), {}, {}
+    stack = [(0, "", [], False, False)]  # path, tag, children, dropped, in main
     for kind, value, given_text in events(page):
-        path, children, dropped = stack[-1]
+        path, tag, children, dropped, in_main = stack[-1]
         if kind == "open":
             given = attributes(given_text)
             name = label(value, given)
             own = path_of(path, name)
-            out = dropped or _is_noise(value, given, False) or value in MAIN
+            out = dropped or _is_noise(value, given, in_main)
+            is_main = not out and _is_main(value, given)
             if not out:
                 children.append(name)
                 above[own] = [own, *above.get(path, [])]
-            stack.append((own, [], out))
+                roles[own] = _role(value, tag, in_main, is_main)
+            stack.append((own, value, [], out, in_main or is_main))
         elif kind == "close":
             if not dropped:
                 layouts[path].append(" ".join(children))
             stack.pop()
         elif not dropped and path and (text := clean(value)):
             texts[path].add(xxhash.xxh3_64_intdigest(text) - (1 << 63))
-    rows = [(host, p, above[p], "layout", xxhash.xxh3_64_intdigest("|".join(x)) - (1 << 63)) for p, x in layouts.items() if p in above]
-    return rows + [(host, p, above[p], "text", t) for p, found in texts.items() if p in above for t in found]
+    rows = [(p, above[p], roles[p], "layout", xxhash.xxh3_64_intdigest("|".join(x)) - (1 << 63)) for p, x in layouts.items() if p in above]
+    rows += [(p, above[p], roles[p], "text", t) for p, found in texts.items() if p in above for t in sorted(found)]
+    same = xxhash.xxh3_64_intdigest(repr([(r[0], r[3], r[4]) for r in rows])) - (1 << 63)
+    return [(host, same, *r) for r in rows]
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.string(), pa.int64()]
     names = [x.split()[0] for x in STATS.split(", ")]
     for batch in batches:
         hosts, pages = batch.column("host").to_pylist(), batch.column("html").to_pylist()
@@ -225,12 +245,12 @@ def host_of(url_col: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def noisy_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def noisy_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, few: float = FEW_PAGES) -> DataFrame:
     """(host, noisy): the roots of the branches of each host's tree whose nodes all have low importance."""
-    stats = pages.select(host_of().alias("host"), "html").mapInArrow(_stats, STATS)
-    counts = stats.groupBy("host", "path", "above", "kind", "value").agg(F.count("*").alias("n"))
+    stats = pages.select(host_of().alias("host"), "html").mapInArrow(_stats, STATS).distinct()
+    counts = stats.groupBy("host", "path", "above", "role", "kind", "value").agg(F.count("*").alias("n"))
     layout = F.col("kind") == "layout"
-    nodes = counts.groupBy("host", "path", "above").agg(
+    nodes = counts.groupBy("host", "path", "above", "role").agg(
         F.sum(F.when(layout, F.col("n"))).alias("m"), F.sum(F.when(layout, F.col("n") * F.ln("n"))).alias("layout_ln"),
         F.count(F.when(layout, 1)).alias("layouts"), F.count(F.when(~layout, 1)).alias("texts"), F.sum(F.when(~layout, F.ln("n"))).alias("text_ln"),
     )
@@ -240,12 +260,14 @@ def noisy_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_page
     content = F.when(F.col("m") > 1, 1 - F.col("text_ln") / F.col("texts") / ln_m).otherwise(1.0)
     weight = F.pow(F.lit(DAMPING), F.greatest(F.col("layouts"), F.lit(1)) - 1)
     importance = F.when(F.col("texts") == 0, presentation).otherwise(F.greatest(content, (1 - weight) * presentation + weight * content))
-    spread = nodes.select("host", F.explode("above").alias("branch"), importance.alias("importance"), "m", "path", "above")
+    importance = F.when(F.col("role") == ROOT, 1.0).otherwise(importance)
+    spread = nodes.select("host", F.explode("above").alias("branch"), importance.alias("importance"), "m", "path", "above", "role")
     branches = spread.groupBy("host", "branch").agg(
-        F.max("importance").alias("most"), F.max(F.when(F.col("path") == F.col("branch"), F.col("m"))).alias("m"),
+        F.max("importance").alias("most"), *(F.max(F.when(F.col("path") == F.col("branch"), F.col(c))).alias(c) for c in ("m", "role")),
         F.max(F.when(F.col("path") == F.col("branch"), F.element_at("above", F.when(F.size("above") > 1, 2).otherwise(1)))).alias("parent"),
     )
-    noisy = branches.where((F.col("most") < least) & (F.col("m") >= least_pages))
+    shrunk = (F.col("most") * F.col("m") + few) / (F.col("m") + few)
+    noisy = branches.where((shrunk < least) & (F.col("role") == BOX))
     roots = noisy.join(noisy.select("host", F.col("branch").alias("parent")).withColumn("within", F.lit(True)), ["host", "parent"], "left")
     roots = roots.where(F.col("within").isNull() | (F.col("parent") == F.col("branch")))
     return roots.groupBy("host").agg(F.collect_set("branch").alias("noisy"))
@@ -263,8 +285,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text: the main text of every page.
 
     Null, empty and text-less html gives an empty text. Pages without a host in their url form one site. White space (as
-    Unicode has it) inside a block becomes one space; a line break is white space. Repeated rows get the same text and count as pages
-    each. Columns beside page_id, url and html are not read; an empty table gives an empty result. The
+    Unicode has it) inside a block becomes one space; a line break is white space. Repeated rows get the same text; pages that are equal
+    but for noise count as one. Columns beside page_id, url and html are not read; an empty table gives an empty result. The
     noisy branches of a host are a few numbers; their table is stored, so that Spark sees its size and broadcasts it only if it is small.
     """
     scratch = Scratch(pages.sparkSession, "sitetree")

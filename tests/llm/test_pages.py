@@ -106,3 +106,17 @@ def test_template_of_a_site_goes_without_any_hint(spark):
     assert found[5] == "Story 5 tells 85 things\n\nEnd 15" and found[102].startswith("Best offers 0\n\nStory 2")
     assert found[210] == "always the same words" and found[301] == "" and found[300].startswith("Best offers 1")
     assert sitetree.extract(pages(spark, rows)).count() == len(rows) and sitetree.extract(pages(spark, [])).count() == 0
+
+
+def test_template_inside_an_article_goes_by_one_rule_at_every_host_size(spark):
+    """A box with an opaque name in every article of a host is cut, also on a host of ten pages; copies, headings and words in sentences stay."""
+    def page(i):
+        box = "<div class='x7'><p>Our best offers</p><ul><li>of this week</li></ul></div>"
+        return f"<html><body><div class='c'><article><h2>Summary</h2><p>Story {i} does <em>not</em> tell {i * 17} things</p>{box}<p>End {i * 3}</p></article></div></body></html>"
+
+    rows = [(i, f"http://big.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://mid.example/{i}", page(i)) for i in range(10)]
+    rows += [(200 + i, f"http://two.example/{i}", page(i)) for i in range(2)]
+    rows += [(300 + i, f"http://copies.example/{i}", f"<html><!-- {i} --><script>{i}</script><body><div class='c'><p>The same words</p></div></body>") for i in range(40)]
+    found = {r.page_id: r.text for r in sitetree.extract(pages(spark, rows)).collect()}
+    assert found[5] == found[105] == "Summary\n\nStory 5 does not tell 85 things\n\nEnd 15"
+    assert "Our best offers" in found[201] and found[310] == "The same words"
