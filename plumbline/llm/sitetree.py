@@ -50,6 +50,14 @@ NOISE_NAMES = set(
     "disqus respond replies discussion menu nav navbar navigation navbox breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer share sharing social "
     "login signin signup skip skiplink aside alert alerts announcement announcements search searchbox searchform".split()
 )
+# words that are topics as well: inside the main element they tell only together with one of PIECES, such as related-posts
+TOPICS = set(
+    "notice notices related recommended recommendations respond replies discussion menu nav navigation search alert alerts announcement announcements "
+    "promotion promotions social share subscription login rail widget widgets consent banner banners footer toolbar skip aside overlay popup modal sponsor sponsors".split()
+)
+PIECES = set("list box area container wrapper wrap block posts articles links buttons bar button slot unit inner outer left right top bottom".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ANCHORED = {"div", "section", "ul", "ol"}  # whose id inside the main element names a container; those of others are anchors of the text
 # a name made of these alone, such as site-header, is the head of the page
 HEADER_NAMES = set("header site page top main global masthead wrapper container".split())
 MAIN = {"article", "main"}
@@ -129,16 +137,51 @@ def path_of(parent: int, own: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{parent} {own}") - (1 << 63)
 
 
-def _is_noise(tag: str, given: dict[str, str], in_main: bool) -> bool:
+def _named_noise(name: str, in_main: bool) -> bool:
+    """Outside the main element any part of a name tells; inside, where ids are made of headings, the whole name must be a known form."""
+    parts = set(re.split(r"[\s_:-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""}
+    if in_main:
+        known = parts & NOISE_NAMES
+        return parts <= NOISE_NAMES | PIECES and (not known <= TOPICS or bool(known) and not parts <= NOISE_NAMES)
+    return not NOISE_NAMES.isdisjoint(parts) or "header" in parts and parts <= HEADER_NAMES
+
+
+def _is_noise(tag: str, given: dict[str, str], in_main: bool, kept_form: bool = False) -> bool:
+    if kept_form:
+        return False
     if tag in NOISE_TAGS or tag == "header" and not in_main or "hidden" in given or given.get("role", "").lower() in NOISE_ROLES:
         return True
     if "display:none" in given.get("style", "").replace(" ", "").lower():
         return True
-    for name in [*given.get("class", "").split(), given.get("id", "")]:
-        parts = set(re.split(r"[\s_:-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
-        if not NOISE_NAMES.isdisjoint(parts) or not in_main and "header" in parts and parts <= HEADER_NAMES:
-            return True
-    return False
+    if tag in HEADINGS or tag in ("html", "body"):  # their names are those of the section or of the whole page
+        return False
+    names = given.get("class", "").split()
+    if not in_main or tag in ANCHORED:
+        names.append(given.get("id", ""))
+    return any(_named_noise(name, in_main) for name in names)
+
+
+def kept_forms(page: str) -> set[int]:
+    """Which forms of the page, by their number, hold most of its text: they are its layout, not a part to fill in."""
+    if "<form" not in page.lower():
+        return set()
+    texts: dict[int, int] = defaultdict(int)
+    whole, forms = 0, 0
+    stack: list[tuple[bool, bool, frozenset[int]]] = [(False, False, frozenset())]  # dropped, in main, forms around
+    for kind, value, given_text in events(page):
+        dropped, in_main, around = stack[-1]
+        if kind == "open":
+            given, form = attributes(given_text), value == "form"
+            out = dropped or _is_noise(value, given, in_main, form)
+            stack.append((out, in_main or not out and _is_main(value, given), around | {forms} if form else around))
+            forms += form
+        elif kind == "close":
+            stack.pop()
+        elif not dropped and (n := len(clean(value))):
+            whole += n
+            for form in around:
+                texts[form] += n
+    return {form for form, n in texts.items() if 2 * n > whole}
 
 
 def _is_main(tag: str, given: dict[str, str]) -> bool:
@@ -158,9 +201,11 @@ def clean(text: str) -> str:
 def main_text(page: str, noisy: set[int]) -> str:
     """Blocks of the page outside noise and the branches ``noisy`` of its host, joined by an empty line.
 
-    Where the page has an article or main element only those count.
+    Where the page has an article or main element only those count. A page of which ``noisy`` would leave nothing is all
+    the same text as others of its host; it stays as it is.
     """
     blocks: dict[bool, list[str]] = {True: [], False: []}
+    layout_forms, forms = kept_forms(page), 0
     run: list[str] = []
     stack = [(0, False, False)]  # path, dropped, in main
     has_main = False
@@ -182,7 +227,8 @@ def main_text(page: str, noisy: set[int]) -> str:
             elif value == "br":
                 run.append(" ")
             own = path_of(path, label(value, given))
-            out = dropped or _is_noise(value, given, in_main)
+            out = dropped or _is_noise(value, given, in_main, value == "form" and forms in layout_forms)
+            forms += value == "form"
             inside = in_main or not out and _is_main(value, given)
             has_main |= inside and not in_main
             stack.append((own, out or own in noisy, inside))
@@ -191,7 +237,8 @@ def main_text(page: str, noisy: set[int]) -> str:
                 flush(in_main)
             stack.pop()
     flush(False)
-    return "\n\n".join(blocks[True] if has_main else blocks[False])
+    text = "\n\n".join(blocks[True] if has_main else blocks[False])
+    return main_text(page, set()) if noisy and not text else text
 
 
 STATS = "host string, page long, path long, above array<long>, role int, kind string, value long"
@@ -204,6 +251,7 @@ def page_nodes(host: str, page: str) -> list[tuple]:
     hash of all the rest: pages that differ in noise only are the same page.
     """
     layouts, texts, above, roles = defaultdict(list), defaultdict(set), {}, {}
+    layout_forms, forms = kept_forms(page), 0
     stack = [(0, "", [], False, False)]  # path, tag, children, dropped, in main
     for kind, value, given_text in events(page):
         path, tag, children, dropped, in_main = stack[-1]
@@ -211,7 +259,8 @@ def page_nodes(host: str, page: str) -> list[tuple]:
             given = attributes(given_text)
             name = label(value, given)
             own = path_of(path, name)
-            out = dropped or _is_noise(value, given, in_main)
+            out = dropped or _is_noise(value, given, in_main, value == "form" and forms in layout_forms)
+            forms += value == "form"
             is_main = not out and _is_main(value, given)
             if not out:
                 children.append(name)

@@ -120,3 +120,29 @@ def test_template_inside_an_article_goes_by_one_rule_at_every_host_size(spark):
     found = {r.page_id: r.text for r in sitetree.extract(pages(spark, rows)).collect()}
     assert found[5] == found[105] == "Summary\n\nStory 5 does not tell 85 things\n\nEnd 15"
     assert "Our best offers" in found[201] and found[310] == "The same words"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><section id='discussion'><p>a</p></section><h2 id='related-work'>b</h2><div class='notice-board'>c</div><h3 id='search'>d</h3></main>", "a\n\nb\n\nc\n\nd"),
+        ("<article><h2 id='comments-on-method'>a</h2><section id='comments-on-method'>b</section><p id='ads'>c</p></article>", "a\n\nb\n\nc"),
+        ("<article><p>a</p><div class='comment-list'>no</div><div class='related-posts'>no</div><div id='comments'>no</div><div class='ad'>no</div></article>", "a"),
+        ("<body class='has-sidebar'><h2 id='search'>a</h2><p>b</p><div class='has-sidebar'>no</div>", "a\n\nb"),
+        ("<body><form id='aspnetForm'><div>all the text</div><p>of a page</p></form>", "all the text\n\nof a page"),
+        ("<body><p>a text that is longer</p><form>Your name <input></form><select><option>no</select>", "a text that is longer"),
+        ("<main><form class='search'><article>long text of it</article></form></main>", "long text of it"),
+    ],
+)
+def test_main_text_is_not_taken_for_noise(page, text):
+    assert sitetree.main_text(page, set()) == text
+
+
+def test_equal_copies_in_plain_divs_keep_their_text(spark):
+    """Copies count as one page; a page that the tree would empty stays."""
+    copy = "<html><body><div class='c'><p>The same words</p><p>and more</p></div></body></html>"
+    rows = [(i, f"http://copies.example/{i}", copy) for i in range(30)]
+    rows += [(100 + i, f"http://order.example/{i}", copy.replace("<p>and", f"<p>{'and ' * (i % 2)}and")) for i in range(30)]
+    found = {r.page_id: r.text for r in sitetree.extract(pages(spark, rows)).collect()}
+    assert found[3] == found[100] == "The same words\n\nand more" and found[101] == "The same words\n\nand and more"
+    assert sitetree.main_text(copy, {sitetree.path_of(0, "html.#")}) == "The same words\n\nand more"
