@@ -12,6 +12,7 @@ from plumbline.llm.common import Scratch, row_key
 from plumbline.llm.queries import MIN_DOCS, table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR = 80  # percent of shingles from which two documents are near duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id."""
-    kept = minhash.near_duplicates(docs, carry=["k1", "k2"]).where("kept").select("k1", "k2").distinct()
+    kept = minhash.near_duplicates(docs, NEAR, carry=["k1", "k2"]).where("kept").select("k1", "k2").distinct()
     keyed = docs.select("*", *row_key("doc_id", "text"))
     return keyed.join(kept, ["k1", "k2"], "left_semi").select(*docs.columns)
 

@@ -1,8 +1,8 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 Texts with the same set of shingles are one representative. Representatives are posted under their
-(coordinate, value) pairs. Two of them that agree in at least MATCHES of COORDINATES pairs share one of the
-COORDINATES - MATCHES + 1 rarest pairs of either (prefix), so only those are posted, and the frequent
+(coordinate, value) pairs. Two of them that agree in at least ``matches`` of COORDINATES pairs share one of the
+COORDINATES - matches + 1 rarest pairs of either (prefix), so only those are posted, and the frequent
 ones are skipped and counted later from the two signatures. Candidates are confirmed on full sets.
 
 A posting list with thousands of near copies is not turned into all its pairs: its most central
@@ -12,6 +12,7 @@ far as they share a shingle that is rare enough in both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,10 +27,20 @@ from plumbline.llm.wordhash import MIX, WordHashes, mixed, shingles
 
 WORDS = 5
 COORDINATES = 64
-MATCHES = 40  # a pair at similarity 0.85 agrees in fewer with probability 2e-6, at 0.9 with 1e-10
+MISS = 3e-6  # probability that a pair at the least similarity agrees in too few coordinates, at most: 40 at 0.85, 35 at 0.8
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: the largest
 
 
+def matches(percent: int) -> int:
+    """Coordinates in which a pair of the similarity agrees but for a probability of MISS."""
+    p, below = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if below > MISS:
+            return k
+    return COORDINATES
+
+
 _WORDS = WordHashes(SPACE.encode())
 
 
@@ -95,7 +106,7 @@ def _similar(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def _rare_posts(reps: DataFrame, scratch: Scratch) -> DataFrame:
+def _rare_posts(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(pair, node, n, weight): the posts of each representative under its rarest pairs that others have too.
 
     ``weight`` says how frequent a representative's shared pairs are altogether.
@@ -105,7 +116,7 @@ def _rare_posts(reps: DataFrame, scratch: Scratch) -> DataFrame:
     shared = pairs.groupBy("pair").agg(F.count("*").alias("freq")).where("freq > 1")
     met = pairs.join(shared, "pair").groupBy("node", "n_shingles").agg(F.collect_list(F.struct("freq", "pair")).alias("met"))
     # pairs that nobody shares are the rarest: they fill the prefix first and need no post
-    prefix = F.lit(COORDINATES - MATCHES + 1)
+    prefix = F.lit(COORDINATES - matches(percent) + 1)
     rest = prefix - (F.lit(COORDINATES) - F.size("met"))
     met = met.where(rest > 0).select(
         "node", F.col("n_shingles").alias("n"), F.aggregate("met", F.lit(0.0), lambda s, x: s + F.log(x["freq"].cast("double"))).alias("weight"),
@@ -143,7 +154,7 @@ def _confirmed(candidates: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     sign = lambda s: reps.select(F.col("node").alias(s), F.col("signature").alias(f"sig_{s}"))
     full = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    close = candidates.distinct().join(sign("a"), "a").join(sign("b"), "b").where(agree >= MATCHES).select("a", "b")
+    close = candidates.distinct().join(sign("a"), "a").join(sign("b"), "b").where(agree >= matches(percent)).select("a", "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
     return close.join(full("b"), "b").join(full("a"), "a").where(both * 100 >= union * percent).select("a", "b")
@@ -156,7 +167,7 @@ def links(docs: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, D
     first = F.min(F.struct(node(F.col("doc_id"), F.col("s1")).alias("node"), "k1", "k2"))
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(first.alias("first"), F.first("signature").alias("signature"))
     reps = scratch.keep(classes.select("first.*", "s1", "s2", "n_shingles", "signature"))
-    posts = _rare_posts(reps, scratch)
+    posts = _rare_posts(reps, scratch, percent)
     posted = posts.select("node").distinct().join(reps, "node").select("node", "k1", "k2")
     sets = texts.join(posted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
     sets = scratch.keep(sets.mapInArrow(_sets, "node struct<doc:long,mark:long>, shingles array<long>"))

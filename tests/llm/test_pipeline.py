@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import queries
+from plumbline.llm import minhash, queries
 from tests.compare import compare_df, duck
-from tests.llm.cases import corpus
+from tests.llm.cases import corpus, sentence
 from tests.llm.test_dedup import lines, near
 
 
@@ -57,3 +58,14 @@ def test_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_near_dedup_takes_pairs_from_80_percent_on(spark, sf_dir):
+    """Pairs at 0.77 to 0.88: 40 to 80 shingles of which a changed word takes five."""
+    rng, rows = random.Random(9), []
+    for i in range(40):
+        words = sentence(rng, 44 + i).split(" ")
+        rows += [(2 * i, " ".join(words), "en", "s"), (2 * i + 1, " ".join([*words[:20], "changed", *words[21:]]), "en", "s")]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), sf_dir).collect()}
+    assert kept == {r[0] for r in near(rows, 80) if r[3]} < {r[0] for r in near(rows, 85) if r[3]}
+    assert [minhash.matches(p) for p in (85, 80)] == [40, 35] and minhash.matches(100) == minhash.COORDINATES
