@@ -32,10 +32,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    kept = minhash.near_duplicates(docs, NEAR, carry=["k1", "k2"]).where("kept").select("k1", "k2").distinct()
-    keyed = docs.select("*", *row_key("doc_id", "text"))
-    return keyed.join(kept, ["k1", "k2"], "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates: that of the smallest doc_id, null last, and of the smallest key among those.
+
+    Rows with the same doc_id and text are one document, texts without words too: the least of them stays.
+    """
+    rows = minhash.near_duplicates(docs, NEAR, carry=["k1", "k2", "root"])
+    alone = F.col("root").isNull()
+    groups = rows.groupBy("root", F.when(alone, F.col("k1")).alias("g1"), F.when(alone, F.col("k2")).alias("g2"))
+    kept = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("least")).select("least.k1", "least.k2")
+    keyed = docs.select("*", *row_key("doc_id", "text")).join(kept, ["k1", "k2"], "left_semi")
+    return keyed.groupBy("k1", "k2").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, carry: Sequence[str] = (
     One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable, its own included), kept.
     Null, empty and wordless texts have no shingles and stand alone. A null doc_id is the
     largest, and a component of such rows alone has the component_id null; rows that repeat a doc_id are kept
-    when it is the component's. With ``carry`` of k1 and k2 the key of each row comes along. Equal sets are one class whatever its size. Columns beside doc_id and text are not
+    when it is the component's. With ``carry`` of k1 and k2 the key of each row comes along, with that of root what tells its component
+    from others, null for a text that stands alone for lack of shingles. Equal sets are one class whatever its size. Columns beside doc_id and text are not
     read; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, carry: Sequence[str] = (
     own = node(F.col("doc_id"), F.col("s1"))
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min(own).alias("first"))
     classes = classes.join(roots, ["s1", "s2", "n_shingles"], "left").select("s1", "s2", "n_shingles", F.coalesce("root", "first").alias("root"))
-    joined = signed.select("doc_id", "n_shingles", "s1", "s2", *carry).join(classes, ["s1", "s2", "n_shingles"], "left")
+    joined = signed.select("doc_id", "n_shingles", "s1", "s2", *(c for c in carry if c != "root")).join(classes, ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce(F.col("root.doc"), F.col("doc_id"), F.lit(NO_ID))
     component = F.when(component != NO_ID, component)
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *carry)

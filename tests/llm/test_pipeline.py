@@ -69,3 +69,16 @@ def test_near_dedup_takes_pairs_from_80_percent_on(spark, sf_dir):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), sf_dir).collect()}
     assert kept == {r[0] for r in near(rows, 80) if r[3]} < {r[0] for r in near(rows, 85) if r[3]}
     assert [minhash.matches(p) for p in (85, 80)] == [40, 35] and minhash.matches(100) == minhash.COORDINATES
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, sf_dir):
+    """Repeated rows, groups of null ids and different near-alike texts under one id leave one row each."""
+    rng = random.Random(4)
+    text, other, third = (sentence(rng, 100) for _ in range(3))
+    rows = [(i, sentence(rng, 30), "en", "s") for i in range(10)]
+    rows += [(None, text, "en", "s"), (None, text, "fr", "s"), (None, text + " more", "en", "s")]
+    rows += [(20, other, "en", "s"), (20, other + " more", "en", "s"), (20, "before " + other, "en", "s"), (None, other, "en", "s")]
+    rows += [(None, third, "en", "s"), (31, third, "en", "s"), (40, "", "en", "s"), (41, None, "en", "s")]
+    found = corpus_pipeline.near_dedup(spark, frame(spark, rows + rows), sf_dir).collect()
+    assert sorted((r.doc_id for r in found), key=str) == sorted([*range(10), None, 20, 31, 40, 41], key=str)
+    assert all((r.doc_id, r.text) in {x[:2] for x in rows} and (r.n_chars is None) == (r.text is None) for r in found)
