@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import minhash, queries
+from plumbline.llm import bpe, minhash, queries
 from tests.compare import compare_df, duck
 from tests.llm.cases import corpus, sentence
 from tests.llm.test_dedup import lines, near
@@ -82,3 +83,9 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, sf_dir):
     found = corpus_pipeline.near_dedup(spark, frame(spark, rows + rows), sf_dir).collect()
     assert sorted((r.doc_id for r in found), key=str) == sorted([*range(10), None, 20, 31, 40, 41], key=str)
     assert all((r.doc_id, r.text) in {x[:2] for x in rows} and (r.n_chars is None) == (r.text is None) for r in found)
+
+
+def test_tokens_are_decoded_again(spark, sf_dir):
+    rows = corpus_pipeline.tokens(spark, frame(spark, corpus(12, 20)), sf_dir).collect()
+    known = bpe.vocabulary(queries.tokenizer_path())
+    assert rows and all(r.decoded_sha256 == hashlib.sha256(known.decode(r.ids).encode()).hexdigest() for r in rows)
