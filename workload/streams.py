@@ -85,7 +85,6 @@ def stream_incremental(spark, sf_dir):
         f"{store.base}/out",
         f"{store.base}/checkpoint",
         batch_time=F.max("created_at").cast("timestamp"),
-        with_forest=False,
     ).awaitTermination()
     return store.history().select("table_name", "metric", "value")
 
