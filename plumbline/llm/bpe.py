@@ -26,7 +26,8 @@ from plumbline.llm.common import carried, slices
 # white space of the tokenizer's regular expressions: the Unicode property White_Space
 WHITE = "\t-\r \x85\xa0  -     　"
 ONLY_PYTHON_WHITE = re.compile("[\x1c-\x1f]")  # str.split takes these for white space too
-MEMORY = 150_000  # entries of one generation of a worker's memory
+MEMORY_BYTES = 24 << 20  # of one generation of a worker's memory
+ENTRY_BYTES = 200  # of an entry beside its key and value: two objects and a place in the table
 LONG = 64  # characters; longer pieces are not remembered, and merged with a queue
 NO_RANK = 1 << 40
 
@@ -53,11 +54,10 @@ class Vocabulary:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.tokens = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
-        for token, i in [*self.ids.items(), *self.special.items()]:
-            self.tokens[i] = token
+        self.tokens = token_list(spec)
+        # the two ids of a pair and the rank with the merged id, packed into an integer each
         self.rank = {
-            (self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+            self.ids[a] << 20 | self.ids[b]: r << 20 | self.ids[a + b] for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         }
         self.character = byte_characters()
         code = {c: b for b, c in self.character.items()}
@@ -68,8 +68,7 @@ class Vocabulary:
         self.cuts = {bytes(p) for p in np.argwhere(~self.inside).tolist()}
         self.starts = [self.ids[c] for _, c in sorted(self.character.items())]
         self.ends = [self.ids[c + self.suffix] for _, c in sorted(self.character.items())]
-        self.packed_rank = {pair: r << 20 | i for pair, (r, i) in self.rank.items()}
-        self.fragments, self.words, self.pieces = Memory(self.fragment), Memory(self.word), Memory(self.piece)
+        self.fragments, self.pieces = Memory(self.fragment), Memory(self.piece)
 
     def fragments_of(self, word: bytes) -> list[bytes]:
         """The word cut at every pair of bytes that no token holds."""
@@ -88,35 +87,35 @@ class Vocabulary:
             ids[-1] = self.ends[body[-1]]
         if len(ids) > LONG:
             return self.merge_queued(ids)
-        rank = self.packed_rank.get
-        ranks = [rank(p, NO_RANK) for p in zip(ids, ids[1:])]
+        rank = self.rank.get
+        ranks = [rank(a << 20 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) != NO_RANK:
             i = ranks.index(best)
             ids[i : i + 2] = (best & 0xFFFFF,)
             del ranks[i]
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), NO_RANK)
+                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], NO_RANK)
             if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), NO_RANK)
+                ranks[i] = rank(ids[i] << 20 | ids[i + 1], NO_RANK)
         return ids
 
     def merge_queued(self, ids: list[int | None]) -> list[int]:
         """The same merges for a long fragment, n log n."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        queue = [(*self.rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
+        queue = [(self.rank[p], i, p) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (p := a << 20 | b) in self.rank]
         heapq.heapify(queue)
         while queue:
-            _, merged, i, pair = heapq.heappop(queue)
+            rank, i, pair = heapq.heappop(queue)
             j = after[i]
-            if j >= len(ids) or (ids[i], ids[j]) != pair:
+            if j >= len(ids) or ids[i] is None or ids[i] << 20 | ids[j] != pair:
                 continue
-            ids[i], ids[j] = merged, None
+            ids[i], ids[j] = rank & 0xFFFFF, None
             after[i] = after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < len(ids) and (p := (ids[left], ids[right])) in self.rank:
-                    heapq.heappush(queue, (*self.rank[p], left, p))
+                if left >= 0 and right < len(ids) and (p := ids[left] << 20 | ids[right]) in self.rank:
+                    heapq.heappush(queue, (self.rank[p], left, p))
         return [i for i in ids if i is not None]
 
     def word(self, word: str) -> list[int]:
@@ -133,7 +132,7 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", piece)
             # character by character: str.lower has another form for a sigma at the end of a word
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [i for w in self.split.findall(text) for i in self.words[w]]) else b""
+        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [i for w in self.split.findall(text) for i in self.word(w)]) else b""
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; special tokens in it count as such."""
@@ -146,37 +145,62 @@ class Vocabulary:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> str:
-        """The tokens with a space between them, as a tokenizer without a decoder joins them."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decoded(self.tokens, ids)
+
+
+def token_list(spec: dict) -> list[str]:
+    """Token by id, those of the vocabulary and the special ones."""
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tokens = [""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        tokens[i] = token
+    return tokens
+
+
+def decoded(tokens: list[str], ids: bytes) -> str:
+    """The tokens with a space between them, as a tokenizer without a decoder joins them."""
+    return " ".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class Memory(dict):
-    """Results of a function in two generations: when the young one is full it becomes the old one, which is looked up on a miss."""
+    """Results of a function in two generations: when the young one holds its bytes it becomes the old one, which is looked up on a miss."""
 
-    def __init__(self, function):
-        self.function, self.old = function, {}
+    def __init__(self, function, most: int = MEMORY_BYTES):
+        self.function, self.most, self.held, self.old = function, most, 0, {}
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.function(key)
-        if len(key if isinstance(key, str) else key[0]) <= LONG:
-            if len(self) >= MEMORY:
+        # a fragment is named with whether it ends its word, and has its ids as a list
+        n = len(key) if isinstance(key, str) else len(key[0])
+        if n <= LONG:
+            if self.held >= self.most:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
+            self.held += ENTRY_BYTES + 2 * n + (len(value) if isinstance(value, bytes) else 8 * len(value) + 80)
             self[key] = value
         return value
 
 
-@lru_cache(2)
+@lru_cache(1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
+@lru_cache(1)
+def tokens_of(path: str) -> list[str]:
+    """All that decoding needs of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        return token_list(json.load(f))
+
+
+def encode(docs: DataFrame, path: str, *carry: str, decode: bool = False) -> DataFrame:
     """The columns ``carry`` with ids (binary, little-endian unsigned 32-bit) and n_tokens of every whole text.
 
-    Null counts as empty, which has no ids. Repeated rows get equal ids; an empty table gives an
-    empty result. ``path`` names a tokenizer file that every executor can read.
+    With ``decode`` also ``decoded``, the text that the ids give back, from the same worker. Null counts as empty, which has
+    no ids. Repeated rows get equal ids; an empty table gives an empty result. ``path`` names a tokenizer file that every
+    executor can read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,23 +208,25 @@ def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 ids = [known.encode(t or "") for t in part.column("text").to_pylist()]
-                yield pa.record_batch(
-                    [*(part.column(c) for c in names), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                    names=[*names, "ids", "n_tokens"],
-                )
+                found = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decode:
+                    found.append(pa.array([known.decode(x) for x in ids], pa.string()))
+                yield pa.record_batch([*(part.column(c) for c in names), *found], names=[*names, *added])
 
     columns, kinds, names = carried(docs, carry)
-    return docs.select("text", *columns).mapInArrow(run, kinds + "ids binary, n_tokens long").withColumnsRenamed(names)
+    added = ["ids", "n_tokens", "decoded"] if decode else ["ids", "n_tokens"]
+    schema = kinds + "ids binary, n_tokens long" + (", decoded string" if decode else "")
+    return docs.select("text", *columns).mapInArrow(run, schema).withColumnsRenamed(names)
 
 
 def decode(encoded: DataFrame, path: str, *carry: str) -> DataFrame:
-    """The columns ``carry`` with ``decoded``, the text of the column ``ids``; null ids are none."""
+    """The columns ``carry`` with ``decoded``, the text of the column ``ids``; null ids are none. Only the list of tokens is loaded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
+        tokens = tokens_of(path)
         for batch in batches:
             for part in slices(batch, "ids"):
-                texts = [known.decode(x or b"") for x in part.column("ids").to_pylist()]
+                texts = [decoded(tokens, x or b"") for x in part.column("ids").to_pylist()]
                 yield pa.record_batch([*(part.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     columns, kinds, names = carried(encoded, carry)

@@ -26,11 +26,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, "doc_id")
-    hashed = encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
-    decoded = bpe.decode(hashed, path, "doc_id", "n_tokens", "ids_sha256")
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), "doc_id", decode=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
