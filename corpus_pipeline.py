@@ -53,9 +53,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), decoded_sha256 (of the text decoded from the ids)."""
-    names = ["doc_id", "lang", "source", "n_tokens", "ids"]
-    encoded = bpe.encode(docs, tokenizer_path(), "doc_id", "lang", "source").select(*names)
-    return bpe.decode(encoded, tokenizer_path(), *names).select(*names, F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, tokenizer_path(), "doc_id", "lang", "source", decode=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
