@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontam, kdshards, langid, linededup, lpf, minhash, recipes, sitetree, warc
+from plumbline.llm import bpe, crosstok, decontam, fim, kdshards, langid, linededup, lpf, minhash, recipes, sitetree, warc
 
 SHARDS = 40
 MIN_DOCS = 10
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    aligned, _ = crosstok.cross_align(table(spark, sf_dir, "documents"), *paths, "doc_id", digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
+    done = fim.fill_in_middle(table(spark, sf_dir, "documents"), "doc_id")
+    hashed = done.select(*columns, "output", F.sha2("output", 256).alias("output_sha256"))
+    back = fim.restore(hashed, *columns, "output_sha256")
+    return back.select(*columns, "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_site_style_tree": op1,
     "op2_bpe_forced_boundaries": op2,
@@ -79,6 +93,8 @@ QUERIES = {
     "op8_previous_factors": op8,
     "op9_line_bitmaps": op9,
     "op10_simhash_windows": op10,
+    "op12_spill_counting": op12,
+    "op13_skip_list_fim": op13,
 }
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -156,4 +172,23 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op13_skip_list_fim": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACES}*[^\x20\x09-\x0D]+|{SPACES}+') AS u,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), c AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS a, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+         array_to_string(u[greatest(x, y) + 1:], '') AS z
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || m ELSE '<P>' || a || '<S>' || z || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""",
 }
