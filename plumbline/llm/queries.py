@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, crosstok, decontam, fim, kdshards, langid, linededup, lpf, minhash, recipes, sitetree, warc
+from plumbline.llm import bpe, crosstok, cws, decontam, fim, kdshards, langid, linededup, lpf, minhash, recipes, sitetree, warc
 
 SHARDS = 40
 MIN_DOCS = 10
@@ -68,6 +68,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
     aligned, _ = crosstok.cross_align(table(spark, sf_dir, "documents"), *paths, "doc_id", digest=True)
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_previous_factors": op8,
     "op9_line_bitmaps": op9,
     "op10_simhash_windows": op10,
+    "op11_weighted_sampling": op11,
     "op12_spill_counting": op12,
     "op13_skip_list_fim": op13,
 }
