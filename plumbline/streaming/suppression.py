@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.operators.alerts import KEY, WINDOW_MINUTES, not_recently_sent, suppress
@@ -62,6 +62,92 @@ def suppress_stream(alerts: DataFrame, minutes: int = WINDOW_MINUTES, delay: str
     )
 
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 64  # groups of keys that share a state, so that a trigger calls Python once for each and not once for each key
+
+
+class TimeOrdered(StatefulProcessor):
+    """Alerts wait in a list until the watermark has passed them and are then decided in time order, key by key."""
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "sent_us long, alert_key string, channel string, severity string, summary string")
+        self.sent = handle.getListState("sent", "alert_key string, channel string, last_us long")
+        self.wake = handle.getValueState("wake", "at_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = []
+        for pdf in rows:
+            us = pdf["sent_at"].to_numpy().astype("datetime64[us]").astype("int64")
+            columns = (pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("alert_key", "channel", "severity", "summary"))
+            self.waiting.appendList(list(zip(us.tolist(), *columns)))
+            earliest.append(int(us.min()))
+        self._wake_by(min(earliest))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.wake.clear()
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[3] or "", r[4] or ""))
+        n = sum(r[0] < passed for r in rows)
+        last = {(r[0], r[1]): r[2] for r in self.sent.get()}
+        chosen = []
+        for row in rows[:n]:
+            before = last.get((row[1], row[2]))
+            if before is None or row[0] >= before + self.window_us:
+                chosen.append(row)
+                last[row[1], row[2]] = row[0]
+        # a key is forgotten when nothing that can still come falls into its window
+        last = {k: us for k, us in last.items() if us + self.window_us > passed}
+        if n:
+            self.waiting.put(rows[n:]) if n < len(rows) else self.waiting.clear()
+        self.sent.put([(*k, us) for k, us in last.items()]) if last else self.sent.clear()
+        if n < len(rows):
+            self._wake_by(rows[n][0])
+        elif last:
+            self._wake_by(max(last.values()) + self.window_us)
+        if chosen:
+            us, alert_key, channel, severity, summary = zip(*chosen)
+            at = pd.Series(np.array(us, "datetime64[us]"))
+            yield pd.DataFrame({"alert_key": alert_key, "channel": channel, "sent_at": at, "severity": severity, "summary": summary})
+        else:
+            yield pd.DataFrame()
+
+    def _wake_by(self, us: int) -> None:
+        """One timer at most: at the earliest time that was asked for."""
+        at = us // 1000 + 1
+        if self.wake.exists():
+            before = self.wake.get()[0]
+            if before <= at:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.wake.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+def suppress_in_time_order(alerts: DataFrame, minutes: int = WINDOW_MINUTES, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
+    """Alerts that are sent, decided in the order of their times however they arrive between triggers.
+
+    An alert is decided once the watermark, ``delay`` behind the newest one, has passed it; what arrives later than that is left out. State
+    holds the undecided alerts and the time of every key's last one until that window is over, in ``buckets`` groups of keys:
+    more groups mean less state in one call. The session needs the state store ROCKS_DB
+    (``spark.sql.streaming.stateStore.providerClass``). Null keys are keys.
+    """
+    return (
+        alerts.select(*KEY, F.col("sent_at").cast("timestamp").alias("sent_at"), "severity", "summary")
+        .withWatermark("sent_at", delay)
+        .withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
+        .groupBy("bucket")
+        .transformWithStateInPandas(TimeOrdered(minutes * 60_000_000), OUTPUT, "append", "eventTime")
+    )
+
+
 def suppress_to_log(
     alerts: DataFrame, store: Store, checkpoint: str, minutes: int = WINDOW_MINUTES, **trigger
 ) -> StreamingQuery:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from plumbline.sources.store import Store
 from plumbline.streaming.incremental import incremental_monitor
 from plumbline.streaming.profile import window_distinct, window_profile
 from plumbline.streaming.quarantine import quarantine
-from plumbline.streaming.suppression import suppress_stream, suppress_to_log
+from plumbline.streaming.suppression import ROCKS_DB, suppress_in_time_order, suppress_stream, suppress_to_log
 from workload.anomalies import DAY, event_alerts, greedy_sql
 from workload.profiles import history_sql
 from workload.inputs import FEED, ORDERS, STATUSES, ctes, project, settle, sql_project, table
@@ -44,6 +47,31 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a query."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def disordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of several triggers, each with events of the next one's first day, and a last trigger ten days later that ends all windows."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    base = shared_dir(spark, "disordered_events")
+    days_late = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for trigger in range(4):
+        part = events.where(F.floor((F.dayofmonth("ts") - 1 + days_late) / 10) == trigger)
+        part.coalesce(1).write.mode("append").parquet(base)
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"))
+    ids = [F.lit(-1).cast("long").alias(c) for c in ("event_id", "user_id")]
+    end.select(ids[0], "ts", ids[1], F.lit("end").alias("event_type")).write.mode("append").parquet(base)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
 def stream_daily_profile(spark, sf_dir):
     events = project(stream_of(spark, sf_dir, "events"), FEED)
     rows = window_profile(
@@ -61,7 +89,17 @@ def stream_distinct_users(spark, sf_dir):
 
 def stream_alert_suppression(spark, sf_dir):
     alerts = event_alerts(spark, sf_dir, stream_of(spark, sf_dir, "events"))
-    kept = drain(suppress_stream(alerts, minutes=DAY), "stream_alert_suppression")
+    # a trigger without data would only forget keys, and nothing follows it here
+    with setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
+        kept = drain(suppress_stream(alerts, minutes=DAY), "stream_alert_suppression")
+    return kept.withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz"))
+
+
+def stream_suppression_in_time_order(spark, sf_dir):
+    """The same suppression over triggers that overlap in time."""
+    alerts = event_alerts(spark, sf_dir, disordered_events(spark, sf_dir))
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKS_DB):
+        kept = drain(suppress_in_time_order(alerts, minutes=DAY, delay="3 days"), "stream_suppression_in_time_order")
     return kept.withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz"))
 
 
@@ -108,6 +146,7 @@ QUERIES = {
     "stream_daily_profile": stream_daily_profile,
     "stream_distinct_users": stream_distinct_users,
     "stream_alert_suppression": stream_alert_suppression,
+    "stream_suppression_in_time_order": stream_suppression_in_time_order,
     "stream_suppression_log": stream_suppression_log,
     "stream_quarantine": stream_quarantine,
     "stream_incremental": stream_incremental,
@@ -130,6 +169,7 @@ ORACLE = {
     + "SELECT table_name, profiled_at, count(DISTINCT user_id) AS distinct_count_user_id FROM feed "
     "WHERE profiled_at + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2",
     "stream_alert_suppression": greedy_sql("SELECT * FROM alerts", "INTERVAL 24 HOUR"),
+    "stream_suppression_in_time_order": greedy_sql("SELECT * FROM alerts", "INTERVAL 24 HOUR"),
     "stream_suppression_log": greedy_sql("SELECT * FROM alerts", "INTERVAL 24 HOUR"),
     "stream_incremental": history_sql("raw_orders", "orders"),
     "stream_quarantine": ctes(("raw_orders", sql_project("orders", ORDERS)))
