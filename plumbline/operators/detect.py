@@ -7,6 +7,8 @@ series runs in one job and a series with very many snapshots is combined map-sid
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from plumbline.operators.snapshots import SERIES
 MIN_HISTORY = 7
 Z_FLAG = 3.0
 FENCE_WIDTH = 1.5
+BLOCK = "month"  # unit of time in which a series is looked back upon
 # Severity steps of the two detectors.
 Z_STEPS = ((6.0, "CRITICAL"), (4.0, "HIGH"))
 IQR_STEPS = ((4.0, "CRITICAL"), (2.0, "HIGH"))
@@ -108,34 +111,120 @@ def zscore(history: DataFrame, min_history: int = MIN_HISTORY, flag_constant_bre
     return _zscore_findings(stats.withColumnRenamed("today_at", "profiled_at"), min_history, flag_constant_break)
 
 
-def zscore_backtest(history: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
+def zscore_backtest(history: DataFrame, min_history: int = MIN_HISTORY, block: str = BLOCK) -> DataFrame:
     """Findings for every snapshot, each against the snapshots before it.
 
-    The running frame grows by one row per step, so a series costs one sorted pass. A series
-    holds one row per snapshot: its length is the number of runs, not the size of the table.
+    A prefix scan over (n, mean, M2): every ``block`` of a series (a unit of time) is reduced to one row, each block takes in the rows
+    of the blocks before it, and inside a block the running frame starts from what came before. A task holds the
+    snapshots of one block, or one row for each block of a series.
     """
-    before = (
-        Window.partitionBy(*SERIES, "metric")
-        .orderBy("profiled_at")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*SERIES, "metric", "block"]
+    rows = history.withColumn("block", F.date_trunc(block, "profiled_at"))
+    totals = rows.groupBy(*keys).agg(*_moments())
+    earlier = Window.partitionBy(*SERIES, "metric").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    past = totals.withColumn("past", F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "m2", "least", "most"))).over(earlier))
+    n0 = F.aggregate("past", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    mean0 = F.try_divide(F.aggregate("past", F.lit(0.0), lambda s, x: s + x["n"] * x["mean"]), F.col("n0"))
+    apart = F.aggregate("past", F.lit(0.0), lambda s, x: s + x["m2"] + x["n"] * F.pow(x["mean"] - F.col("mean0"), F.lit(2.0)))
+    carried = past.select(*keys, "past", n0.alias("n0")).withColumn("mean0", mean0).select(
+        *keys, "n0", "mean0", apart.alias("m20"), F.array_min("past.least").alias("least0"), F.array_max("past.most").alias("most0")
     )
-    stats = history.select(
+    before = Window.partitionBy(*keys).orderBy("profiled_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.select(*keys, "profiled_at", F.col("value").alias("now"), *_moments(before))
+    n, shift = F.col("n0") + F.col("n"), F.col("mean") - F.col("mean0")
+    # without values on one side the other side counts alone
+    mean = F.coalesce(F.col("mean0") + shift * F.col("n") / n, "mean", "mean0")
+    m2 = F.coalesce("m2", F.lit(0.0)) + F.col("m20") + F.coalesce(F.pow(shift, F.lit(2.0)) * F.col("n0") * F.col("n") / n, F.lit(0.0))
+    constant = F.least("least", "least0") == F.greatest("most", "most0")
+    stats = inside.join(carried, keys).select(
         *SERIES,
         "metric",
         "profiled_at",
-        F.col("value").alias("now"),
-        F.count("value").over(before).alias("n_prior"),
-        F.avg("value").over(before).alias("mean"),
-        F.stddev_samp("value").over(before).alias("std"),
+        "now",
+        n.alias("n_prior"),
+        mean.alias("mean"),
+        # the mean of equal doubles may be off in the last bit, their least and greatest are not
+        F.when(constant, 0.0).when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"),
     )
     return _zscore_findings(stats, min_history, False)
 
 
+def _moments(over=None) -> list[Column]:
+    """n, mean, M2 (sum of squared deviations), least and greatest of ``value``, of a group or a frame."""
+    framed = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    n = framed(F.count("value"))
+    return [
+        n.alias("n"),
+        framed(F.avg("value")).alias("mean"),
+        (framed(F.var_pop("value")) * n).alias("m2"),
+        framed(F.min("value")).alias("least"),
+        framed(F.max("value")).alias("most"),
+    ]
+
+
 def iqr(history: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
     """Findings outside ``1.5`` interquartile ranges; exact quartiles, linear between ranks."""
     quartiles = F.expr("percentile(prior, array(0.25D, 0.75D))").alias("q")
     stats = series_today(history, quartiles).withColumnRenamed("today_at", "profiled_at")
-    q1, q3 = F.col("q")[0], F.col("q")[1]
+    return _iqr_findings(stats.withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]}), min_history)
+
+
+def iqr_backtest(history: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
+    """IQR findings for every snapshot, each against the exact quartiles of the snapshots before it.
+
+    A series is one group; its values, one for each snapshot, are ranked once and counted in a tree by rank as time goes on, which
+    gives any order statistic of what came before in logarithmic time.
+    """
+    kind = history.schema["profiled_at"].dataType.simpleString()
+    shape = f"source string, table_name string, metric string, profiled_at {kind}, now double, n_prior long, q1 double, q3 double"
+    rows = history.select(*SERIES, "metric", "profiled_at", F.col("value").cast("double").alias("now"))
+    return _iqr_findings(rows.groupBy(*SERIES, "metric").applyInPandas(_prior_quartiles, shape), min_history)
+
+
+class RankCounts:
+    """Counts by rank in a Fenwick tree: a rank is added, and the k-th smallest of those added is found, in logarithmic time."""
+
+    def __init__(self, size: int):
+        self.counts, self.top = [0] * (size + 1), 1 << max(size.bit_length() - 1, 0)
+
+    def add(self, rank: int) -> None:
+        at = rank + 1
+        while at < len(self.counts):
+            self.counts[at] += 1
+            at += at & -at
+
+    def smallest(self, k: int) -> int:
+        """Rank of the k-th smallest, counted from 0."""
+        at, step = 0, self.top
+        while step:
+            if at + step < len(self.counts) and self.counts[at + step] <= k:
+                at += step
+                k -= self.counts[at]
+            step >>= 1
+        return at
+
+
+def _prior_quartiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["profiled_at", "now"], kind="stable")
+    now = pdf["now"].to_numpy(float, na_value=np.nan)
+    order = np.argsort(now, kind="stable")  # missing values come last
+    rank = np.empty(len(now), int)
+    rank[order] = np.arange(len(now))
+    ranked, ranks, known = now[order].tolist(), rank.tolist(), (~np.isnan(now)).tolist()
+    counts, n, found = RankCounts(len(now)), 0, []
+    for i, is_known in zip(ranks, known):
+        at = [(n - 1) * p for p in (0.25, 0.75)]
+        pairs = [(h - int(h), counts.smallest(int(h)), counts.smallest(min(int(h) + 1, n - 1))) for h in at] if n else []
+        found.append((n, *(ranked[a] + (ranked[b] - ranked[a]) * part for part, a, b in pairs)) if n else (0, None, None))
+        if is_known:
+            counts.add(i)
+            n += 1
+    stats = pd.DataFrame(found, columns=["n_prior", "q1", "q3"], index=pdf.index)
+    return pd.concat([pdf, stats.astype({"q1": float, "q3": float})], axis=1)
+
+
+def _iqr_findings(stats: DataFrame, min_history: int) -> DataFrame:
+    q1, q3 = F.col("q1"), F.col("q3")
     fenced = (
         stats.filter((F.col("n_prior") >= min_history) & F.col("now").isNotNull())
         .withColumn("width", q3 - q1)

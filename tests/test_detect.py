@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 import statistics
 
@@ -150,6 +151,54 @@ def test_backtest_agrees_with_today(spark):
     assert last == {m: f["z_score"] for m, f in metrics(D.zscore(h)).items()}
 
 
+def long_history(spark, rng, days=400):
+    """Series over many months with gaps, repeats, a constant part, jumps and missing values."""
+    rows, start = [], dt.date(2022, 1, 1)
+    for metric, level in (("mean.v", 1e9), ("row_count", 50.0), ("std.v", 0.1)):
+        for day in range(days):
+            value = level + (0 if metric == "std.v" and day < 90 else rng.choice([0.0, 1.0, 1.0, rng.gauss(0, 3), 40.0 if day % 97 == 0 else 2.0]))
+            if rng.random() < 0.9:
+                rows.append(("s", "t", start + dt.timedelta(days=day), metric, None if rng.random() < 0.05 else value))
+    return rows, spark.createDataFrame(rows, "source string, table_name string, profiled_at date, metric string, value double")
+
+
+def test_backtests_look_back_over_all_blocks(spark):
+    """Both against plain loops over every earlier value, with blocks of a month and of a week."""
+    rows, df = long_history(spark, random.Random(8))
+    z, fences = {}, {}
+    for metric in {r[3] for r in rows}:
+        past = []
+        for *_, day, _, value in sorted((r for r in rows if r[3] == metric), key=lambda r: r[2]):
+            if value is not None:
+                if len(past) >= 7:
+                    std = 0 if min(past) == max(past) else statistics.stdev(past)
+                    if std and abs(score := (value - statistics.fmean(past)) / std) >= 3:
+                        z[metric, day] = score
+                    q1, _, q3 = statistics.quantiles(past, n=4, method="inclusive")
+                    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+                    if q3 != q1 and not low <= value <= high:
+                        fences[metric, day] = (low, high)
+                past.append(value)
+    for block in ("month", "week"):
+        found = {(r["metric"], r["profiled_at"]): r["z_score"] for r in D.zscore_backtest(df, block=block).collect()}
+        assert found.keys() == z.keys() and len(z) > 5
+        assert all(found[k] == pytest.approx(z[k], abs=0.006) for k in z)
+    found = {(r["metric"], r["profiled_at"]): (r["lower_fence"], r["upper_fence"]) for r in D.iqr_backtest(df).collect()}
+    assert found.keys() == fences.keys() and len(fences) > 5
+    assert all(found[k] == pytest.approx(fences[k], abs=1e-3) for k in fences)
+    assert D.iqr_backtest(df.where("false")).count() == D.zscore_backtest(df.where("false")).count() == 0
+
+
+def test_rank_counts_find_every_order_statistic():
+    rng = random.Random(3)
+    for size in (1, 2, 3, 8, 50):
+        counts, added = D.RankCounts(size), []
+        for rank in rng.sample(range(size), size):
+            counts.add(rank)
+            added.append(rank)
+            assert [counts.smallest(k) for k in range(len(added))] == sorted(added)
+
+
 def test_detectors_stay_in_the_jvm(spark):
     h = history(spark, with_today(row_count=9))
     for df in (D.zscore(h), D.iqr(h), D.zscore_backtest(h)):

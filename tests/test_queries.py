@@ -28,7 +28,7 @@ def test_only_known_queries_lack_sql():
 
 
 PYTHON_NODES = re.compile(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMap\w*In\w+|MapInArrow")
-NEEDS_PYTHON = {"iforest_events", "alert_suppression", "alert_suppression_hot"}
+NEEDS_PYTHON = {"iforest_events", "iqr_backtest", "alert_suppression", "alert_suppression_hot"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

