@@ -24,8 +24,7 @@ SAMPLE_CHARS = 2048  # letters and spaces of each, at most
 LEVEL = 6
 BLOCK = 128 << 10  # bytes of a text compressed at a time; each block starts from the dictionary anew
 UNKNOWN = "und"
-MIN_MARGIN = 0.002  # saving over the second language below which a prediction is rejected
-MIN_LETTERS = 200  # bytes; sizes of shorter texts are too coarse to reject by
+MIN_MARGIN = 0.002  # saving over the second language below which a prediction is rejected, for texts of any length
 
 
 def letters(text: Column) -> Column:
@@ -50,10 +49,10 @@ def fit(labelled: DataFrame, samples: int = SAMPLES, sample_chars: int = SAMPLE_
         "lang", "text", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("text", F.lit(1)), F.lit(samples)).alias("bucket")
     )
     picked = rows.groupBy("lang", "bucket").agg(F.min("hash").alias("hash"), F.count("*").alias("n"))
-    # picked has at most ``samples`` rows for each language
-    texts = rows.join(picked, ["lang", "bucket", "hash"]).select(
-        "lang", "hash", F.substring(letters(F.col("text")), 1, sample_chars).alias("text"), "n", "bucket"
-    ).dropDuplicates(["lang", "bucket"])
+    # picked has at most ``samples`` rows for each language, so it goes to the texts and no text is shuffled but the picked ones
+    texts = rows.join(F.broadcast(picked), ["lang", "bucket", "hash"]).groupBy("lang", "bucket", "hash", "n").agg(
+        F.first(F.substring(letters(F.col("text")), 1, sample_chars)).alias("text")
+    )
     found, counts = defaultdict(list), defaultdict(int)
     for r in texts.collect():
         found[r["lang"]].append((r["hash"], r["text"]))
@@ -85,13 +84,13 @@ class Classifier:
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         second = min((s for i, s in enumerate(sizes) if i != best), default=None)
         score = 1.0 if second is None else 1 - sizes[best] / second
-        return self.names[best], score, score < MIN_MARGIN and len(text) >= MIN_LETTERS
+        return self.names[best], score, score < MIN_MARGIN
 
 
 def predict(docs: DataFrame, languages: Languages, *carry: str) -> DataFrame:
     """The columns ``carry`` of every document with lang_pred, score and rejected.
 
-    lang_pred is ``und`` for a null text and one without letters, which is also rejected, as is a text of at least MIN_LETTERS
+    lang_pred is ``und`` for a null text and one without letters, which is also rejected, as is a text of any length
     whose two best languages differ by less than MIN_MARGIN. Equal sizes go to the more frequent language. Whole texts are read;
     nothing beside ``text`` decides. Repeated rows get equal predictions; an empty table gives an empty result.
     """

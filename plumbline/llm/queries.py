@@ -43,7 +43,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = langid.learns(F.col("doc_id"))
     languages = langid.fit(docs.where(learned).select("text", "lang"))
-    return langid.predict(docs, languages, "doc_id").select("doc_id", (~learned).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, languages, "doc_id").select("doc_id", (~learned).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

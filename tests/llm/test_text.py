@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontam, kdshards, langid, queries
@@ -83,6 +84,48 @@ def test_narrow_margins_are_rejected():
     assert apart.predict(text)[0] == "a" and not apart.predict(text)[2] and apart.predict(b"") == ("und", 0.0, True)
 
 
+def test_one_margin_rule_for_texts_of_every_length():
+    text = sentence(random.Random(1), 400).encode()
+    same = langid.Classifier(langid.Languages({"a": text, "b": text}))
+    for size in (1, 30, 199, 200, 2000):
+        assert same.predict(text[:size]) == ("a", 0.0, True)
+
+
+def plain_sizes(content, text):
+    """Bytes of a text under one dictionary, block by block, without anything of the library."""
+    data = zstandard.ZstdCompressionDict(content.ljust(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    pack = zstandard.ZstdCompressor(compression_params=params, dict_data=data).compress
+    return sum(len(pack(text[i : i + langid.BLOCK])) for i in range(0, len(text), langid.BLOCK))
+
+
+def test_languages_equal_brute_force_compression(spark):
+    """The fewest bytes decide, also for texts of several blocks; the fit takes the text of the least hash in each bucket."""
+    rng = random.Random(9)
+    speech = {x: [f"{x}{sentence(rng, 3)[::step]}" for _ in range(40)] for x, step in (("en", 1), ("fr", -1), ("de", 2))}
+    speak = lambda x, n: " ".join(rng.choice(speech[x]) for _ in range(n))
+    rows = [(i, speak(x, n), x, "s") for i, (x, n) in enumerate((x, n) for n in (1, 2, 5, 20, 60) for x in speech for _ in range(4))]
+    rows += [(100 + i, speak(x, 40000), x, "s") for i, x in enumerate(speech)]
+    rows += [(200 + i, rows[5][1], rows[5][2], "s") for i in range(30)]
+    assert all(len(r[1].encode()) > 2 * langid.BLOCK for r in rows[60:63])
+    docs = documents(spark, rows)
+    languages = langid.fit(docs.where("length(text) < 200000").select("text", "lang"), samples=8, sample_chars=300)
+    hashed = docs.where("length(text) < 200000").selectExpr(
+        "lang", "xxhash64(text) AS h", "pmod(xxhash64(text, 1), 8) AS bucket", r"trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}]+', ' ')) AS t"
+    ).collect()
+    least = {}
+    for r in hashed:
+        least[r.lang, r.bucket] = min(least.get((r.lang, r.bucket), (r.h, r.t)), (r.h, r.t))
+    assert languages.content == {x: "\n".join(t[:300] for _, t in sorted(v for k, v in least.items() if k[0] == x)).encode() for x in speech}
+    assert next(iter(languages.content)) == rows[5][2]
+    order = list(languages.content)
+    for r in langid.predict(docs, languages, "doc_id", "text").withColumn("letters", langid.letters(F.col("text"))).collect():
+        sizes = [plain_sizes(languages.content[x], r.letters.encode()) for x in order]
+        first, second = sorted(sizes)[:2]
+        assert r.lang_pred == order[sizes.index(first)] and abs(r.score - (1 - first / second)) < 1e-12
+        assert r.rejected == (1 - first / second < langid.MIN_MARGIN)
+
+
 def words(text):
     return re.findall(r"\w+", text.lower())
 
