@@ -92,10 +92,12 @@ def test_one_margin_rule_for_texts_of_every_length():
 
 
 def plain_sizes(content, text):
-    """Bytes of a text under one dictionary, block by block, without anything of the library."""
+    """Bytes of a text under one dictionary, every block by a compressor of its own."""
     data = zstandard.ZstdCompressionDict(content.ljust(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
-    pack = zstandard.ZstdCompressor(compression_params=params, dict_data=data).compress
+    data.precompute_compress(level=langid.LEVEL)
+    pack = lambda b: zstandard.ZstdCompressor(
+        level=langid.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
+    ).compress(b)
     return sum(len(pack(text[i : i + langid.BLOCK])) for i in range(0, len(text), langid.BLOCK))
 
 
