@@ -44,7 +44,7 @@ class Hypothesis:
 
 HYPOTHESES = (
     Hypothesis(
-        "duplicate load: rows arrived again", "compare row count and distinct keys of the last load", "delete the second copy and make the load idempotent",
+        "duplicate rows from a repeated write", "compare row count and distinct keys of the last load", "delete the second copy and make the load idempotent",
         ((4, "metric = 'row_count' AND direction = 'HIGH'"), (3, "row_ratio BETWEEN 1.8 AND 2.2"), (2, "rows_up > 0 AND distinct_up = 0"), (1, "rows_up > 0")),
     ),
     Hypothesis(
@@ -60,7 +60,7 @@ HYPOTHESES = (
         ((3, "metric LIKE 'null%' AND direction = 'HIGH'"), (3, "nulls_up > 0 AND distinct_down > 0"), (2, "nulls_up > 1"), (1, "nulls_up > 0 AND rows_up + rows_down = 0")),
     ),
     Hypothesis(
-        "upstream source stopped sending the column", "look at the newest rows of the source itself", "have the source deliver it again and guard it with a not-null rule",
+        "the source leaves the field empty", "look at the newest rows of the source itself", "have the source deliver it again and guard it with a not-null rule",
         ((4, "metric LIKE 'null%' AND direction = 'HIGH'"), (2, "metric LIKE 'null%' AND today >= 90"), (1, "nulls_up = 1")),
     ),
     Hypothesis(

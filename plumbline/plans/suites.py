@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.rules import (
@@ -27,8 +27,11 @@ ORDER_STATUSES = ("paid", "pending", "cancelled", "refunded")
 CATEGORIES = ("Electronics", "Clothing", "Books", "Home", "Sports")
 COUNTRIES = ("LK", "US", "UK", "IN", "AU", "DE")
 EMAIL_PATTERN = r"^[^@]+@[^@]+\.[^@]+$"
+MIN_ORDERS = 100
+MAX_NULL_TOTALS = 0.10
 
 
+# Bounds and shares of the rules.
 def orders_rules(statuses=ORDER_STATUSES, rows=(100, 1_000_000)) -> list[Rule]:
     return [
         row_count_between(*rows),
@@ -42,6 +45,7 @@ def orders_rules(statuses=ORDER_STATUSES, rows=(100, 1_000_000)) -> list[Rule]:
     ]
 
 
+# Bounds and shares of the rules.
 def products_rules(categories=CATEGORIES, rows=(1, 10_000_000)) -> list[Rule]:
     return [
         row_count_between(*rows),
@@ -56,6 +60,7 @@ def products_rules(categories=CATEGORIES, rows=(1, 10_000_000)) -> list[Rule]:
     ]
 
 
+# Bounds and shares of the rules.
 def users_rules(countries=COUNTRIES, rows=(1, 50_000_000)) -> list[Rule]:
     return [
         row_count_between(*rows),
@@ -85,46 +90,37 @@ def shop_scalar_checks(
     statuses=ORDER_STATUSES,
     countries=COUNTRIES,
 ) -> DataFrame:
-    """The ten scalar checks; shares are taken of the real row count."""
-    none = lambda n, rows: n == 0
-    col = F.col
-    return reduce(
-        DataFrame.unionByName,
-        [
-            scalar_checks(
-                orders,
-                "orders",
-                [
-                    ScalarCheck("row_count > 100", None, lambda n, rows: n > 100),
-                    ScalarCheck(
-                        "total nulls < 10%", col("total").isNull(), lambda n, rows: F.try_divide(n, rows) < 0.10
-                    ),
-                    ScalarCheck("valid status values", ~col("status").isin(list(statuses)), none),
-                    ScalarCheck("order id not null", col("id").isNull(), none),
-                ],
-            ),
-            scalar_checks(
-                products,
-                "products",
-                [
-                    ScalarCheck("price always positive", col("price") <= 0, none),
-                    ScalarCheck("name not null", col("name").isNull(), none),
-                    ScalarCheck("price not null", col("price").isNull(), none),
-                ],
-            ),
-            scalar_checks(
-                users,
-                "users",
-                [
-                    ScalarCheck("email not null", col("email").isNull(), none),
-                    ScalarCheck("user id not null", col("id").isNull(), none),
-                    ScalarCheck("valid country code", ~col("country").isin(list(countries)), none),
-                ],
-            ),
-        ],
-    )
+    """Scalar checks of the shop tables, named after column and condition; shares are taken of the real row count."""
+    checks = (
+        ("orders", orders, [
+            ScalarCheck(f"rows: over {MIN_ORDERS}", None, lambda n, rows: n > MIN_ORDERS),
+            _null_share_below("total", MAX_NULL_TOTALS),
+            _only_codes("status", statuses),
+            _no_nulls("id"),
+        ]),
+        ("products", products, [_none("price: over 0", F.col("price") <= 0), _no_nulls("name"), _no_nulls("price")]),
+        ("users", users, [_no_nulls("email"), _no_nulls("id"), _only_codes("country", countries)]),
+    )
+    return reduce(DataFrame.unionByName, [scalar_checks(df, name, found) for name, df, found in checks])
+
+
+def _none(label: str, broken: Column) -> ScalarCheck:
+    return ScalarCheck(label, broken, lambda n, rows: n == 0)
+
+
+def _no_nulls(column: str) -> ScalarCheck:
+    return _none(f"{column}: no nulls", F.col(column).isNull())
+
+
+def _only_codes(column: str, codes) -> ScalarCheck:
+    return _none(f"{column}: one of {len(codes)} codes", ~F.col(column).isin(list(codes)))
+
+
+def _null_share_below(column: str, share: float) -> ScalarCheck:
+    return ScalarCheck(f"{column}: nulls under {share:.0%}", F.col(column).isNull(), lambda n, rows: F.try_divide(n, rows) < share)
 
 
+# Columns, shares and codes of the tests.
 def model_catalogue(
     statuses=ORDER_STATUSES, countries=COUNTRIES, categories=CATEGORIES
 ) -> dict[str, ModelTests]:
@@ -153,6 +149,7 @@ def model_catalogue(
     }
 
 
+# Columns, shares and codes of the tests.
 def strict_catalogue(
     statuses=ORDER_STATUSES, countries=COUNTRIES, categories=CATEGORIES
 ) -> dict[str, ModelTests]:

@@ -10,12 +10,13 @@ import pytest
 import __spark_entry__ as entry_module
 from tests.compare import compare_df, duck
 from tests.helpers import final_plan, plan
+from workload import merged
 
 # the operators for training data have tests of their own
 QUERIES = {n: q for m in entry_module.MODULES if m.__name__.startswith("workload.") for n, q in m.QUERIES.items()}
 ORACLE = {n: q for n, q in entry_module.oracle_sql().items() if n in QUERIES}
 # queries without a SQL form, with what stands in for it
-ROWS_ONLY = {"iforest_events": "tests/test_detect.py"}
+ROWS_ONLY = {"iforest_events": "tests/test_detect.py", **dict.fromkeys(merged.QUERIES, "tests/test_merged.py")}
 
 
 @pytest.fixture(scope="module")

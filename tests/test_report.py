@@ -191,9 +191,9 @@ def test_causes_follow_the_other_findings_of_the_table(spark):
     nulls = dict(metric="null_pct.country", direction="HIGH", today=40.0, expected=2.0)
     alone = N.root_cause(findings(spark, nulls)).first()
     beside = by(N.root_cause(findings(spark, nulls, dict(metric="distinct_count.country", direction="LOW", today=2.0, expected=5.0))), "metric")
-    assert "source stopped" in alone["causes"][0] and "join" in beside["null_pct.country"]["causes"][0]
+    assert "leaves the field empty" in alone["causes"][0] and "join" in beside["null_pct.country"]["causes"][0]
     twice = N.root_cause(findings(spark, dict(direction="HIGH", today=2000.0, expected=1000.0))).first()
-    assert twice["causes"][0].startswith("duplicate load") and "second copy" in twice["how_to_fix"]
+    assert twice["causes"][0].startswith("duplicate rows from a repeated write") and "second copy" in twice["how_to_fix"]
 
 
 # -- roll-ups ---------------------------------------------------------------------------------------

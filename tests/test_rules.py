@@ -88,12 +88,12 @@ def test_scalar_checks_use_the_real_row_count(spark):
     users = spark.createDataFrame([(1, "a@b.c", "LK"), (2, None, None)], "id int, email string, country string")
     got = by(S.shop_scalar_checks(orders, products, users), "table_name", "label")
     assert len(got) == 10
-    assert got["orders", "row_count > 100"]["passed"] and got["orders", "total nulls < 10%"]["passed"]
-    assert not got["orders", "valid status values"]["passed"]
-    assert not got["products", "price always positive"]["passed"] and not got["products", "price not null"]["passed"]
-    assert not got["users", "email not null"]["passed"] and got["users", "valid country code"]["passed"]
+    assert got["orders", "rows: over 100"]["passed"] and got["orders", "total: nulls under 10%"]["passed"]
+    assert not got["orders", "status: one of 4 codes"]["passed"]
+    assert not got["products", "price: over 0"]["passed"] and not got["products", "price: no nulls"]["passed"]
+    assert not got["users", "email: no nulls"]["passed"] and got["users", "country: one of 6 codes"]["passed"]
     more = S.shop_scalar_checks(orders.withColumn("total", F.expr("IF(id <= 20, NULL, 5.0)")), products, users)
-    assert not by(more, "table_name", "label")["orders", "total nulls < 10%"]["passed"]
+    assert not by(more, "table_name", "label")["orders", "total: nulls under 10%"]["passed"]
 
 
 # -- models ---------------------------------------------------------------------------------------

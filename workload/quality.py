@@ -361,18 +361,18 @@ ORACLE = {
     + " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{label}' AS label, {value} AS value, {ok} AS passed FROM raw_{t}"
         for t, label, value, ok in (
-            ("orders", "row_count > 100", "count(*)", "count(*) > 100"),
-            ("orders", "total nulls < 10%", "count(*) FILTER (total IS NULL)",
+            ("orders", "rows: over 100", "count(*)", "count(*) > 100"),
+            ("orders", "total: nulls under 10%", "count(*) FILTER (total IS NULL)",
              "CAST(count(*) FILTER (total IS NULL) AS DOUBLE) / count(*) < 0.10"),
-            ("orders", "valid status values", f"count(*) FILTER (status NOT IN {_in(STATUSES)})",
+            ("orders", f"status: one of {len(STATUSES)} codes", f"count(*) FILTER (status NOT IN {_in(STATUSES)})",
              f"count(*) FILTER (status NOT IN {_in(STATUSES)}) = 0"),
-            ("orders", "order id not null", "count(*) FILTER (id IS NULL)", "count(*) FILTER (id IS NULL) = 0"),
-            ("products", "price always positive", "count(*) FILTER (price <= 0)", "count(*) FILTER (price <= 0) = 0"),
-            ("products", "name not null", "count(*) FILTER (name IS NULL)", "count(*) FILTER (name IS NULL) = 0"),
-            ("products", "price not null", "count(*) FILTER (price IS NULL)", "count(*) FILTER (price IS NULL) = 0"),
-            ("users", "email not null", "count(*) FILTER (email IS NULL)", "count(*) FILTER (email IS NULL) = 0"),
-            ("users", "user id not null", "count(*) FILTER (id IS NULL)", "count(*) FILTER (id IS NULL) = 0"),
-            ("users", "valid country code", f"count(*) FILTER (country NOT IN {_in(COUNTRIES)})",
+            ("orders", "id: no nulls", "count(*) FILTER (id IS NULL)", "count(*) FILTER (id IS NULL) = 0"),
+            ("products", "price: over 0", "count(*) FILTER (price <= 0)", "count(*) FILTER (price <= 0) = 0"),
+            ("products", "name: no nulls", "count(*) FILTER (name IS NULL)", "count(*) FILTER (name IS NULL) = 0"),
+            ("products", "price: no nulls", "count(*) FILTER (price IS NULL)", "count(*) FILTER (price IS NULL) = 0"),
+            ("users", "email: no nulls", "count(*) FILTER (email IS NULL)", "count(*) FILTER (email IS NULL) = 0"),
+            ("users", "id: no nulls", "count(*) FILTER (id IS NULL)", "count(*) FILTER (id IS NULL) = 0"),
+            ("users", f"country: one of {len(COUNTRIES)} codes", f"count(*) FILTER (country NOT IN {_in(COUNTRIES)})",
              f"count(*) FILTER (country NOT IN {_in(COUNTRIES)}) = 0"),
         )
     ),
