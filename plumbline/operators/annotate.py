@@ -60,7 +60,7 @@ HYPOTHESES = (
         ((3, "metric LIKE 'null%' AND direction = 'HIGH'"), (3, "nulls_up > 0 AND distinct_down > 0"), (2, "nulls_up > 1"), (1, "nulls_up > 0 AND rows_up + rows_down = 0")),
     ),
     Hypothesis(
-        "the source leaves the field empty", "look at the newest rows of the source itself", "have the source deliver it again and guard it with a not-null rule",
+        "upstream leaves the field empty", "look at the newest rows of the source itself", "have the source deliver it again and guard it with a not-null rule",
         ((4, "metric LIKE 'null%' AND direction = 'HIGH'"), (2, "metric LIKE 'null%' AND today >= 90"), (1, "nulls_up = 1")),
     ),
     Hypothesis(
