@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ladder, settle
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.snapshots import SERIES
 
 MIN_HISTORY = 7
@@ -169,6 +170,16 @@ def iqr(history: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
     return _iqr_findings(stats.withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]}), min_history)
 
 
+def iqr_selected(history: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
+    """The findings of ``iqr`` with quartiles by distributed selection, for series too long for one task's buffer."""
+    key = [*SERIES, "metric"]
+    last = history.groupBy(*SERIES).agg(F.max("profiled_at").alias("today_at"))
+    past = history.join(last, SERIES).where("profiled_at < today_at")
+    quartiles = exact_quantiles(past, key, "value", (0.25, 0.75)).select(*key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    stats = series_today(history).withColumnRenamed("today_at", "profiled_at")
+    return _iqr_findings(stats.join(quartiles, key), min_history)
+
+
 def iqr_backtest(history: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
     """IQR findings for every snapshot, each against the exact quartiles of the snapshots before it.
 

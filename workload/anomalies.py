@@ -11,6 +11,7 @@ from plumbline.operators import detect as D
 from plumbline.operators import report as P
 from plumbline.operators.iforest import eligible_tables, forest_severity, isolation_forest
 from plumbline.operators.profile import bucket_history
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import stored
 from workload.inputs import (
     DETECT_CTES,
@@ -72,6 +73,24 @@ def zscore_constant_break(spark, sf_dir):
     return D.zscore(stored_feed_history(spark, sf_dir), flag_constant_break=True).select(*SHOWN)
 
 
+def iqr_selected(spark, sf_dir):
+    """The same findings with quartiles by distributed selection."""
+    return D.iqr_selected(stored_feed_history(spark, sf_dir)).select(*SHOWN)
+
+
+QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+def quantiles_lines(spark, sf_dir):
+    """Exact quantiles of three measures of all order lines, by return flag; a flag holds up to half of the rows."""
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in MEASURES])
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.inline(measures))
+    found = exact_quantiles(rows, ["l_returnflag", "measure"], "value", QUANTILES)
+    shown = [F.round(F.col("q")[i], 4).alias(f"p{round(100 * p)}") for i, p in enumerate(QUANTILES)]
+    return found.select("l_returnflag", "measure", "n", *shown)
+
+
 def iqr_all_metrics(spark, sf_dir):
     return D.iqr(stored_feed_history(spark, sf_dir)).select(*SHOWN)
 
@@ -223,6 +242,8 @@ QUERIES = {
     "zscore_backtest": zscore_backtest,
     "zscore_constant_break": zscore_constant_break,
     "iqr_all_metrics": iqr_all_metrics,
+    "iqr_selected": iqr_selected,
+    "quantiles_lines": quantiles_lines,
     "iqr_backtest": iqr_backtest,
     "iqr_lines": iqr_lines,
     "iforest_events": iforest_events,
@@ -352,6 +373,13 @@ ORACLE = {
     "max(value) FILTER (profiled_at = today_at) AS today FROM hist JOIN last_at USING (source, table_name) GROUP BY 1, 2, 3, 4) "
     "WHERE n >= 7 AND m = m2 AND today <> m",
     "iqr_all_metrics": ctes(*FEED_CTES, LATEST_CTE, IQR_CTE) + f"SELECT {_COLS} FROM iqr",
+    "iqr_selected": ctes(*FEED_CTES, LATEST_CTE, IQR_CTE) + f"SELECT {_COLS} FROM iqr",
+    "quantiles_lines": " UNION ALL ".join(
+        f"SELECT l_returnflag, '{m}' AS measure, count({m}) AS n, "
+        + ", ".join(f"round(quantile_cont(CAST({m} AS DOUBLE), {p}), 4) AS p{round(100 * p)}" for p in QUANTILES)
+        + " FROM lineitem GROUP BY l_returnflag"
+        for m in MEASURES
+    ),
     "iqr_backtest": ctes(*FEED_CTES) + _IQR_BACKTEST,
     "iqr_lines": ctes(*LINES_CTES, LATEST_CTE, IQR_CTE) + f"SELECT {_COLS} FROM iqr",
     "forest_contributors": ctes(*FEED_CTES, LATEST_CTE)
