@@ -117,7 +117,12 @@ ORACLE = {
     "refresh_roundtrip": ctes(*STG_CTES) + "SELECT order_date, order_status, total_orders FROM mart_orders_summary",
     "run_log": "SELECT CAST(ts AS DATE) AS day, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'CRITICAL' ELSE 'CLEAN' END AS status, "
     "count(*) FILTER (event_type = 'error') AS anomalies FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 10",
-    "drift_stored": "SELECT 'driver' AS source, 'orders' AS table_name, * FROM (VALUES ('o_orderpriority', 'DROPPED', 'DROPPED column: o_orderpriority'), "
-    "('o_comment', 'ADDED', 'ADDED column: o_comment'), ('o_totalprice', 'TYPE CHANGED', 'TYPE CHANGED: o_totalprice  DOUBLE -> DECIMAL(18,2)')) "
-    "AS t(\"column\", change, issue)",
+    "drift_stored": "WITH before AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE orders)), "
+    "later AS (SELECT c, CASE c WHEN 'o_totalprice' THEN 'DECIMAL(18,2)' ELSE t END AS t FROM before WHERE c <> 'o_orderpriority' "
+    "UNION ALL SELECT 'o_comment', t FROM before WHERE c = 'o_orderstatus'), "
+    "both_sides AS (SELECT coalesce(b.c, l.c) AS c, b.t AS was, l.t AS now FROM before b FULL JOIN later l ON b.c = l.c WHERE b.t IS DISTINCT FROM l.t) "
+    "SELECT 'driver' AS source, 'orders' AS table_name, c AS \"column\", "
+    "CASE WHEN now IS NULL THEN 'DROPPED' WHEN was IS NULL THEN 'ADDED' ELSE 'TYPE CHANGED' END AS change, "
+    "CASE WHEN now IS NULL THEN 'DROPPED column: ' || c WHEN was IS NULL THEN 'ADDED column: ' || c "
+    "ELSE 'TYPE CHANGED: ' || c || '  ' || was || ' -> ' || now END AS issue FROM both_sides",
 }
