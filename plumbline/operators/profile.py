@@ -5,9 +5,10 @@ A profile reads the moments of all columns once and every column once more for i
 * one wide aggregate for counts and moments (partial aggregation, one tiny
   shuffle of a single row per task);
 * one frequency table ``(column, value) -> n`` per data type for exact distinct counts
-  and, for text, top values. Unpivoting first keys the shuffle by column *and* value, so
+  and, for text, top values. Each reads its own columns alone, so none is read twice. Unpivoting first keys the shuffle by column *and* value, so
   neither a hot column nor a hot value lands in one task, and repeated values are combined
-  before they are shuffled.
+  before they are shuffled. A long text is counted under its first characters, a 128-bit digest and
+  its length; only the few long texts that a report shows are read again and moved whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import is_numeric, is_text, nan_to_null, percent, quoted, settle, text_literal
 
 METRICS_KEPT = ("null_pct", "mean", "std", "distinct_count")
+LONG_TEXT = 64  # bytes; a longer text is counted under a key of its own
+HEAD = 32  # its first characters, which lead the key
 
 
 def _as_text(name: str, dtype: T.DataType) -> str:
@@ -76,38 +79,88 @@ def _family(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
-def _count_values(frequencies: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    # reading n, although it is never zero, keeps this plan's exchange equal to that of top_values
-    return frequencies.groupBy(*keys, "column").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
+def text_key(text: str) -> str:
+    """SQL of the short text that stands for a text: itself, or for a long one its head, digest and length.
+
+    The key of a long text has more than LONG_TEXT bytes, so it is never equal to a short text.
+    """
+    return f"IF(octet_length({text}) > {LONG_TEXT}, concat(left({text}, {HEAD}), md5(CAST({text} AS BINARY)), octet_length({text})), {text})"
+
+
+def _typed_frequencies(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Frequency table ``(*keys, _slot, value, n)`` of ``columns``, all of one family; ``_slot`` is the place in ``columns``."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    family = _family(types[columns[0]])
+    values = [text_key(_as_text(c, types[c])) if family == "string" else f"CAST({quoted(c)} AS {family})" for c in columns]
+    rows = ", ".join(f"struct({i} AS _slot, {v} AS value)" for i, v in enumerate(values))
+    return (
+        df.selectExpr(*[quoted(k) for k in keys], f"inline(array({rows}))")
+        .filter("value IS NOT NULL")
+        .groupBy(*keys, "_slot", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _by_family(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        groups.setdefault(_family(types[c]), []).append(c)
+    return list(groups.values())
+
+
+def _named(slots: DataFrame, names: Sequence[str]) -> DataFrame:
+    shown = ", ".join(text_literal(n) for n in names)
+    return slots.withColumn("column", F.expr(f"get(array({shown}), _slot)")).drop("_slot")
+
+
+def _count_values(frequencies: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    # reading n, although it is never zero, keeps this plan's exchange equal to that of the top texts
+    counts = frequencies.groupBy(*keys, "_slot").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
+    return _named(counts, names).select(*keys, "column", "distinct_count")
 
 
 def distinct_counts(
     df: DataFrame, columns: Sequence[str] | Mapping[str, str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact ``(*keys, column, distinct_count)``; columns of one type share one shuffle."""
+    """Exact ``(*keys, column, distinct_count)``; long texts are told apart by 128-bit digests."""
     shown = columns if isinstance(columns, Mapping) else {c: c for c in columns}
-    types = {f.name: f.dataType for f in df.schema.fields}
-    families: dict[str, list[str]] = {}
-    for c in shown:
-        families.setdefault(_family(types[c]), []).append(c)
-    parts = []
-    for family, members in families.items():
-        typed = [_as_text(c, types[c]) if family == "string" else f"CAST({quoted(c)} AS {family})" for c in members]
-        parts.append(_count_values(_counted(df, typed, [shown[c] for c in members], keys), keys))
+    parts = [_count_values(_typed_frequencies(df, g, keys), [shown[c] for c in g], keys) for g in _by_family(df, list(shown))]
     return reduce(DataFrame.unionByName, parts)
 
 
-def top_values(frequencies: DataFrame, k: int = 5, keys: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` most frequent values per column, ties by value.
+def _top_texts(df: DataFrame, frequencies: DataFrame, columns: Sequence[str], text: Sequence[str], k: int) -> DataFrame:
+    """``(column, rank, value, count)``: the ``k`` most frequent texts per column, ties by their keys.
 
-    ``rank <= k`` lets Spark cut every task to ``k`` rows per column before the shuffle.
+    ``rank <= k`` lets Spark cut every task to ``k`` rows per column before the shuffle. The long
+    texts among them, at most ``k`` per column, are looked up in a second reading; without any, AQE leaves it out.
     """
-    w = Window.partitionBy(*keys, "column").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        frequencies.withColumn("rank", F.row_number().over(w))
+    slots = [i for i, c in enumerate(columns) if c in text]
+    w = Window.partitionBy("_slot").orderBy(F.desc("n"), F.asc("value"))
+    tops = (
+        # tests n, so that the condition stays above the exchange that the counts share
+        frequencies.filter(f"IF(_slot IN ({', '.join(map(str, slots))}), n, 0) > 0")
+        .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
-        .select(*keys, "column", "rank", "value", F.col("n").alias("count"))
+        .select("_slot", "rank", F.col("value").alias("key"), F.col("n").alias("count"))
+    )
+    texts = ", ".join(f"struct({i} AS _slot, CAST({quoted(columns[i])} AS STRING) AS value)" for i in slots)
+    long = F.octet_length("key") > LONG_TEXT
+    wanted = tops.filter(long).select("_slot", "key")
+    whole = (
+        df.selectExpr(f"inline(array({texts}))")
+        .filter(F.octet_length("value") > LONG_TEXT)
+        .withColumn("key", F.expr(text_key("value")))
+        .join(F.broadcast(wanted), ["_slot", "key"])  # k rows of about 100 bytes per text column
+        .groupBy("_slot", "key")
+        .agg(F.any_value("value").alias("value"))
     )
+    # two branches of k rows per column, put together by their common place
+    rows = tops.select("_slot", "key", "rank", "count", F.when(~long, F.col("key")).alias("value"))
+    merged = rows.unionByName(whole, allowMissingColumns=True).groupBy("_slot", "key").agg(
+        F.max("rank").alias("rank"), F.max("count").alias("count"), F.max("value").alias("value")
+    )
+    return _named(merged, columns).select("column", "rank", "value", "count")
 
 
 def _moments(df: DataFrame) -> DataFrame:
@@ -148,7 +201,6 @@ def profile_table(
     df = nan_to_null(df)
     at = F.current_timestamp() if profiled_at is None else profiled_at
     text = [f.name for f in df.schema.fields if is_text(f.dataType)]
-    other = [f.name for f in df.schema.fields if not is_text(f.dataType)]
     parts = [_moments(df)]
     if approx_distinct:
         fields = df.schema.fields
@@ -157,14 +209,13 @@ def profile_table(
         )
         pairs = [f"struct({text_literal(f.name)} AS column, _v{i} AS distinct_count)" for i, f in enumerate(fields)]
         parts.append(row.selectExpr(f"inline(array({', '.join(pairs)}))"))
-    if text:
+    for columns in _by_family(df, text if approx_distinct else df.columns):
         # both readers of this table share one exchange
-        freq = value_frequencies(df, text)
-        parts.append(top_values(freq, k).select("column", F.struct("rank", "value", "count").alias("top")))
+        freq = _typed_frequencies(df, columns)
+        if set(text) & set(columns):
+            parts.append(_top_texts(df, freq, columns, text, k).select("column", F.struct("rank", "value", "count").alias("top")))
         if not approx_distinct:
-            parts.append(_count_values(freq))
-    if other and not approx_distinct:
-        parts.append(distinct_counts(df, other))
+            parts.append(_count_values(freq, columns))
 
     # a handful of rows per column meet in one group-by instead of several joins
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,59 @@ def test_top_values_limit_before_shuffle(spark):
     assert final_plan(profile_table(df, "s", "t", at())).count("WindowGroupLimit") >= 2
 
 
+def run_nodes(df):
+    """Collect ``df`` and return the nodes of the plan that ran, each with its class name."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        found.append((name, node))
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_columns_are_read_once_beside_the_moments(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    scans = [n for name, n in run_nodes(profile_table(df, "s", "t", at())) if name == "FileSourceScanExec"]
+    counts = Counter(c for n in scans for c in n.requiredSchema().fieldNames())
+    # no text here is long, so the columns of text are not read for a third time
+    assert counts == dict.fromkeys(df.columns, 2)
+
+
+def long_texts(n):
+    head = "<html>" * 30
+    return [head + c * 5 for c in "aaaabbbcc" + "".join(chr(0x4E00 + i) for i in range(n))] + ["short", "short", None, "", head[:64], head[:65]]
+
+
+def test_top_values_of_long_texts_equal_brute_force(spark):
+    texts = long_texts(40)
+    rows = [(t, i % 2) for i, t in enumerate(texts)]
+    p = prof(spark.createDataFrame(rows, "s string, n int").repartition(5))
+
+    def key(t):
+        b = t.encode()
+        return (t[:32] + hashlib.md5(b).hexdigest() + str(len(b)) if len(b) > 64 else t).encode()
+
+    counts = Counter(t for t in texts if t is not None)
+    expected = sorted(counts.items(), key=lambda e: (-e[1], key(e[0])))[:5]
+    assert [(t["value"], t["count"]) for t in p["s"]["top_values"]] == expected
+    assert p["s"]["distinct_count"] == len(counts) and p["n"]["distinct_count"] == 2
+
+
+def test_long_texts_are_not_shuffled(spark):
+    """The texts are 20 times as large as all that the profile shuffles."""
+    df = spark.range(400).select(F.concat(F.repeat(F.lit("x"), 20_000), F.col("id").cast("string")).alias("s"))
+    frame = profile_table(df, "s", "t", at())
+    sizes = [n.metrics().apply("dataSize").value() for name, n in run_nodes(frame) if name == "ShuffleExchangeExec"]
+    assert frame.first()["distinct_count"] == 400 and sizes and sum(sizes) < 400 * 20_000 / 20
+
+
 def test_frequencies_rename(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "x string")
     assert [tuple(r) for r in value_frequencies(df, {"x": "shown"}).collect()] == [("shown", "a", 2)]

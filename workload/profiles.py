@@ -19,6 +19,7 @@ _TYPES = {
     "lineitem": dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey"), "bigint")
     | {"l_linenumber": "int"}
     | dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "double"),
+    "documents": dict.fromkeys(("doc_id", "n_chars"), "bigint"),
 }
 _COLUMNS = {
     "raw_orders": list(ORDERS),
@@ -28,6 +29,7 @@ _COLUMNS = {
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
 }
 _STAMPS = {"l_shipdate": "timestamp_ntz"}
 
@@ -75,6 +77,11 @@ def profile_lineitem(spark, sf_dir):
     return _profile(table(spark, sf_dir, "lineitem"), "lineitem")
 
 
+def profile_documents(spark, sf_dir):
+    """A table of long texts: they are counted under their digests."""
+    return _profile(table(spark, sf_dir, "documents"), "documents")
+
+
 def profile_all_tables(spark, sf_dir):
     """All shop tables profiled by one plan."""
     return (
@@ -84,13 +91,21 @@ def profile_all_tables(spark, sf_dir):
     )
 
 
-def top_values_orders(spark, sf_dir):
-    prof = profile_table(orders(spark, sf_dir), "driver", "orders", F.lit("2024-01-31").cast("timestamp"))
+def _tops(df, name):
+    prof = profile_table(df, "driver", name, F.lit("2024-01-31").cast("timestamp"))
     return prof.filter(F.col("top_values").isNotNull()).select(
         "column", F.posexplode("top_values").alias("pos", "t")
     ).select("column", (F.col("pos") + 1).alias("rank"), F.col("t.value").alias("value"), F.col("t.count").alias("n"))
 
 
+def top_values_orders(spark, sf_dir):
+    return _tops(orders(spark, sf_dir), "orders")
+
+
+def top_values_documents(spark, sf_dir):
+    return _tops(table(spark, sf_dir, "documents"), "documents")
+
+
 def value_frequencies_part(spark, sf_dir):
     return value_frequencies(products(spark, sf_dir), ["category", "name"])
 
@@ -211,8 +226,10 @@ QUERIES = {
     "profile_customer": profile_customer,
     "profile_part": profile_part,
     "profile_lineitem": profile_lineitem,
+    "profile_documents": profile_documents,
     "profile_all_tables": profile_all_tables,
     "top_values_orders": top_values_orders,
+    "top_values_documents": top_values_documents,
     "value_frequencies_part": value_frequencies_part,
     "daily_profile_events": daily_profile_events,
     "metric_history": metric_history,
@@ -222,22 +239,30 @@ QUERIES = {
     "last_fingerprints": last_fingerprints,
 }
 
-_TOPS = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INT) AS rank, {c} AS value, "
-    f"count(*) AS n FROM raw_orders WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY rank <= 5"
-    for c in ("status", "created_at")
-)
+
+
+def _tops_sql(rel: str, *columns: str) -> str:
+    """Ties go by the value, or for one of over 64 bytes by its first characters, digest and length."""
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY count(*) DESC, CASE WHEN strlen({c}) > 64 "
+        f"THEN left({c}, 32) || md5({c}) || strlen({c}) ELSE {c} END) AS INT) AS rank, {c} AS value, "
+        f"count(*) AS n FROM {rel} WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY rank <= 5"
+        for c in columns
+    )
+
 
 ORACLE = {
     "profile_orders": ctes(*SHOP_CTES) + _profile_sql("raw_orders", "orders"),
     "profile_customer": ctes(*SHOP_CTES) + _profile_sql("raw_users", "users"),
     "profile_part": ctes(*SHOP_CTES) + _profile_sql("raw_products", "products"),
     "profile_lineitem": _profile_sql("lineitem", "lineitem"),
+    "profile_documents": _profile_sql("documents", "documents"),
     "profile_all_tables": ctes(*SHOP_CTES)
     + " UNION ALL ".join(
         _profile_sql(r, n) for r, n in (("raw_orders", "orders"), ("raw_users", "users"), ("raw_products", "products"))
     ),
-    "top_values_orders": ctes(*SHOP_CTES) + _TOPS,
+    "top_values_orders": ctes(*SHOP_CTES) + _tops_sql("raw_orders", "status", "created_at"),
+    "top_values_documents": _tops_sql("documents", "text", "lang", "source"),
     "value_frequencies_part": ctes(*SHOP_CTES)
     + "SELECT 'category' AS \"column\", category AS value, count(*) AS n FROM raw_products GROUP BY category "
     "UNION ALL SELECT 'name', name, count(*) FROM raw_products GROUP BY name",
