@@ -77,6 +77,10 @@ def row_condition(rule: Rule) -> Column:
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with, per column ``i``: non-null rows, rows of duplicated values, duplicated values."""
+    return _duplicates(value_frequencies(df, columns), columns)
+
+
+def _duplicates(frequencies: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     aggs = []
     for i, name in enumerate(columns):
         mine = f"column = {literal(name)}"
@@ -85,7 +89,63 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             f"coalesce(sum(IF({mine} AND n > 1, n, 0)), 0) AS repeated{i}",
             f"count_if({mine} AND n > 1) AS values{i}",
         ]
-    return value_frequencies(df, columns).selectExpr(*aggs)
+    return frequencies.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+
+
+def row_rules(rules: Sequence[Rule]) -> list[Rule]:
+    """Rules that judge each row by itself."""
+    return [r for r in rules if r.kind not in ("unique", "row_count_between")]
+
+
+def unique_columns(rules: Sequence[Rule]) -> list[str]:
+    return [r.column for r in rules if r.kind == "unique"]
+
+
+def observed_totals(rules: Sequence[Rule]) -> dict[str, str]:
+    """SQL aggregates that the row rules need, by name: ``rows``, and per row rule ``i`` the values ``of`` which how many are ``ok``.
+
+    Totals of parts of a table add up to those of the table.
+    """
+    totals = {"rows": "count(1)"}
+    for i, r in enumerate(row_rules(rules)):
+        totals[f"ok{i}"] = f"count_if({condition_sql(r)})"
+        totals[f"of{i}"] = f"count({'1' if r.kind == 'not_null' else quoted(r.column)})"
+    return totals
+
+
+def _result(suite: str, table_name: str, rule: Rule, passed: str, observed: str, total: str) -> str:
+    detail = (
+        "'row count out of range'"
+        if rule.kind == "row_count_between"
+        else f"concat({observed}, ' of ', {total}, ' break the rule')"
+    )
+    return (
+        f"struct({literal(suite)} AS suite, {literal(table_name)} AS table_name, "
+        f"{literal(rule.column or 'TABLE')} AS column, {literal(rule.kind)} AS rule, {passed} AS passed, "
+        f"CAST({observed} AS BIGINT) AS observed, IF({passed}, NULL, {detail}) AS detail)"
+    )
+
+
+def row_results(totals: DataFrame, suite: str, table_name: str, rules: Sequence[Rule], keys: Sequence[str] = ()) -> DataFrame:
+    """Results of all but the unique rules, from rows of ``observed_totals``."""
+    structs = [
+        _result(suite, table_name, r, f"(rows BETWEEN {literal(r.low)} AND {literal(r.high)})", "rows", "rows")
+        for r in rules
+        if r.kind == "row_count_between"
+    ]
+    for i, r in enumerate(row_rules(rules)):
+        share = f"coalesce(try_divide(ok{i}, of{i}), 1D)"
+        structs.append(_result(suite, table_name, r, f"({share} >= {float(r.mostly)!r}D)", f"(of{i} - ok{i})", f"of{i}"))
+    return totals.selectExpr(*keys, f"inline(array({', '.join(structs)}))")
+
+
+def unique_results(frequencies: DataFrame, suite: str, table_name: str, rules: Sequence[Rule], keys: Sequence[str] = ()) -> DataFrame:
+    """Results of the unique rules, from the frequencies ``(column, value, n)`` of their columns."""
+    unique_rules = [r for r in rules if r.kind == "unique"]
+    structs = [
+        _result(suite, table_name, r, f"(repeated{i} = 0)", f"repeated{i}", f"filled{i}") for i, r in enumerate(unique_rules)
+    ]
+    return _duplicates(frequencies, unique_columns(rules), keys).selectExpr(*keys, f"inline(array({', '.join(structs)}))")
 
 
 def evaluate(df: DataFrame, suite: str, table_name: str, rules: Sequence[Rule]) -> DataFrame:
@@ -94,37 +154,12 @@ def evaluate(df: DataFrame, suite: str, table_name: str, rules: Sequence[Rule])
     ``observed`` is the row count for the row-count rule, else the number of rows that break
     the rule. Missing values count only in ``not_null``; an empty column passes.
     """
-    row_rules = [r for r in rules if r.kind != "unique"]
-    unique_rules = [r for r in rules if r.kind == "unique"]
-
-    def result(rule: Rule, passed: str, observed: str, total: str) -> str:
-        detail = (
-            "'row count out of range'"
-            if rule.kind == "row_count_between"
-            else f"concat({observed}, ' of ', {total}, ' break the rule')"
-        )
-        return (
-            f"struct({literal(suite)} AS suite, {literal(table_name)} AS table_name, "
-            f"{literal(rule.column or 'TABLE')} AS column, {literal(rule.kind)} AS rule, {passed} AS passed, "
-            f"CAST({observed} AS BIGINT) AS observed, IF({passed}, NULL, {detail}) AS detail)"
-        )
-
     parts = []
-    if row_rules:
-        aggs, structs = ["count(1) AS rows"], []
-        for i, r in enumerate(row_rules):
-            if r.kind == "row_count_between":
-                structs.append(result(r, f"(rows BETWEEN {literal(r.low)} AND {literal(r.high)})", "rows", "rows"))
-                continue
-            counted = "1" if r.kind == "not_null" else quoted(r.column)
-            aggs += [f"count_if({condition_sql(r)}) AS ok{i}", f"count({counted}) AS of{i}"]
-            share = f"coalesce(try_divide(ok{i}, of{i}), 1D)"
-            structs.append(result(r, f"({share} >= {float(r.mostly)!r}D)", f"(of{i} - ok{i})", f"of{i}"))
-        parts.append(df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(structs)}))"))
-    if unique_rules:
-        structs = [result(r, f"(repeated{i} = 0)", f"repeated{i}", f"filled{i}") for i, r in enumerate(unique_rules)]
-        counts = duplicate_rows(df, [r.column for r in unique_rules])
-        parts.append(counts.selectExpr(f"inline(array({', '.join(structs)}))"))
+    if any(r.kind != "unique" for r in rules):
+        totals = df.selectExpr(*[f"{e} AS {name}" for name, e in observed_totals(rules).items()])
+        parts.append(row_results(totals, suite, table_name, rules))
+    if columns := unique_columns(rules):
+        parts.append(unique_results(value_frequencies(df, columns), suite, table_name, rules))
     return reduce(DataFrame.unionByName, parts)
 
 

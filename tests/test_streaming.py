@@ -5,12 +5,13 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.rules import between, not_null
+from plumbline.operators.rules import between, evaluate, matches, not_null, row_count_between, unique
 from plumbline.operators.snapshots import decode_history
 from plumbline.sources.store import Store
 from plumbline.streaming.incremental import incremental_monitor
 from plumbline.streaming.profile import window_distinct, window_profile
 from plumbline.streaming.quarantine import quarantine
+from plumbline.streaming.suite import record_batch, suite_results, suite_stream
 from plumbline.streaming.suppression import ROCKS_DB, suppress_approx, suppress_in_time_order, suppress_stream, suppress_to_log
 from tests.helpers import START
 
@@ -90,6 +91,40 @@ def test_quarantine_loses_no_row(spark, tmp_path):
     assert good == {1, 4} and bad == {2: ["not_null(v)"], 3: ["between(v)"]}
 
 
+SUITE = [row_count_between(1, 5), unique("id"), not_null("v"), between("v", 0, 10, mostly=0.6), matches("s", "^[a-z]+$"), unique("s")]
+SUITE_BATCHES = [[(1, 1, "a"), (2, None, "b"), (2, 3, None)], [(3, 99, "A"), (1, 5, "c")], [(None, None, None)]]
+
+
+def judged(df, *keys):
+    return sorted(map(str, df.select(*keys, "column", "rule", "passed", "observed", "detail").collect()))
+
+
+def test_suite_over_batches_equals_the_suite_of_the_table(spark, tmp_path):
+    """A value that comes again in a later batch is repeated; a batch that comes again counts once."""
+    schema, base = "id int, v int, s string", f"{tmp_path}/suite"
+    stream = write_batches(spark, tmp_path / "in", schema, SUITE_BATCHES)
+    suite_stream(stream, SUITE, base, f"{tmp_path}/cp").awaitTermination()
+    record_batch(spark.createDataFrame(SUITE_BATCHES[1], schema), 1, SUITE, base)
+    whole = spark.createDataFrame(sum(SUITE_BATCHES, []), schema)
+    assert judged(suite_results(spark, base, "x", "t", SUITE)) == judged(evaluate(whole, "x", "t", SUITE))
+    each = suite_results(spark, base, "x", "t", SUITE, by_batch=True)
+    for i, rows in enumerate(SUITE_BATCHES):
+        expected = judged(evaluate(spark.createDataFrame(rows, schema), "x", "t", SUITE))
+        # a batch without a value in a unique column has no frequencies and so no row for the unique rules
+        got = judged(each.where(f"batch = {i}"))
+        assert got == expected if i < 2 else set(got) <= set(expected) and len(got) == 4
+    broken = {(r["id"], tuple(r["broken"])) for r in spark.read.parquet(f"{base}/rows").where("size(broken) > 0").collect()}
+    assert broken == {(2, ("not_null(v)",)), (3, ("between(v)", "matches(s)")), (None, ("not_null(v)",))}
+
+
+def test_suite_of_an_empty_stream_and_an_empty_batch(spark, tmp_path):
+    empty = spark.createDataFrame([], "id int, v int, s string")
+    expected = judged(evaluate(empty, "x", "t", SUITE))
+    assert judged(suite_results(spark, f"{tmp_path}/none", "x", "t", SUITE)) == expected
+    record_batch(empty, 0, SUITE, f"{tmp_path}/one")
+    assert judged(suite_results(spark, f"{tmp_path}/one", "x", "t", SUITE)) == expected
+
+
 def test_incremental_monitor_adds_one_snapshot_per_batch(spark, tmp_path):
     batches = [[(d, float(i)) for i in range(5 + d)] for d in range(3)]
     stream = write_batches(spark, tmp_path / "in", "day int, v double", batches)

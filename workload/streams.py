@@ -14,9 +14,11 @@ from plumbline.sources.store import Store
 from plumbline.streaming.incremental import incremental_monitor
 from plumbline.streaming.profile import window_distinct, window_profile
 from plumbline.streaming.quarantine import quarantine
+from plumbline.streaming.suite import suite_results, suite_stream
 from plumbline.streaming.suppression import ROCKS_DB, suppress_in_time_order, suppress_stream, suppress_to_log
 from workload.anomalies import DAY, event_alerts, greedy_sql
 from workload.profiles import history_sql
+from workload.quality import ORACLE as QUALITY_SQL, ORDER_RULES
 from workload.inputs import FEED, ORDERS, STATUSES, ctes, project, settle, sql_project, table
 
 
@@ -72,6 +74,14 @@ def disordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 
+def in_files(spark: SparkSession, sf_dir: str, name: str, key: str, files: int = 4) -> DataFrame:
+    """A table as a stream of ``files`` triggers, dealt by a hash of ``key``."""
+    rows = table(spark, sf_dir, name)
+    base = shared_dir(spark, f"{name}_in_files")
+    rows.repartition(files, key).write.parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
 def stream_daily_profile(spark, sf_dir):
     events = project(stream_of(spark, sf_dir, "events"), FEED)
     rows = window_profile(
@@ -142,7 +152,16 @@ def stream_quarantine(spark, sf_dir):
     )
 
 
+def stream_suite(spark, sf_dir):
+    """The order suite over several micro-batches, among which repeated ids are spread."""
+    base = shared_dir(spark, "stream_suite")
+    orders = project(in_files(spark, sf_dir, "orders", "o_orderkey"), ORDERS)
+    suite_stream(orders, ORDER_RULES, base, f"{base}/checkpoint").awaitTermination()
+    return suite_results(spark, base, "orders_suite", "orders", ORDER_RULES)
+
+
 QUERIES = {
+    "stream_suite": stream_suite,
     "stream_daily_profile": stream_daily_profile,
     "stream_distinct_users": stream_distinct_users,
     "stream_alert_suppression": stream_alert_suppression,
@@ -159,6 +178,7 @@ _BROKEN = (
 )
 
 ORACLE = {
+    "stream_suite": QUALITY_SQL["suite_orders"],
     # a window is written once the watermark has passed its end
     "stream_daily_profile": ctes(("feed", sql_project("events", FEED)))
     + f"SELECT table_name, profiled_at, count(*) AS row_count, {settle('100E0 * (count(*) - count(value)) / count(*)', 2)} AS null_pct_value, "
