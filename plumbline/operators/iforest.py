@@ -1,7 +1,7 @@
 """Isolation forest over all metrics of a table at once (Liu, Ting and Zhou, 2008).
 
 Spark prepares standardised vectors once and draws a sample of the history for every tree by
-hash; each tree of a table grows in a group of its own. A forest, which has a bounded size, is
+hash; the trees of a table grow in groups of TREES_A_GROUP. A forest, which has a bounded size, is
 joined to chunks of the history for scoring; the per-chunk work is numpy. A tree sees ``subsample`` rows
 by the algorithm's definition, however long the history is.
 """
@@ -28,6 +28,7 @@ SUBSAMPLE = 256
 SEED = 42
 # a row is offered to a tree with a probability that makes 2 * subsample offers likely; too few have a chance of 1e-30
 OFFERS = 2
+TREES_A_GROUP = 10  # a group holds that many times the subsample in rows
 CHUNK_ROWS = 50_000
 # Severity steps on the negated score (a lower score is worse).
 SCORE_STEPS = ((-0.2, "MEDIUM"), (-0.3, "HIGH"))
@@ -88,13 +89,12 @@ def score_forest(trees: list[np.ndarray], size: int, x: np.ndarray) -> np.ndarra
 
 
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The tree of one group: rows of one table drawn for one tree."""
-    pdf = pdf.sort_values("profiled_at")
-    first = pdf.iloc[0]
-    tree = grow_tree(np.stack(pdf["x"].to_numpy()), SEED + int(first["tree"]))
-    return pd.DataFrame(
-        {"source": [first["source"]], "table_name": [first["table_name"]], "tree": [pickle.dumps(tree)], "size": [len(pdf)]}
-    )
+    """The trees of one group: rows of one table drawn for a few trees."""
+    grown = []
+    for number, rows in pdf.sort_values(["tree", "profiled_at"]).groupby("tree"):
+        tree = grow_tree(np.stack(rows["x"].to_numpy()), SEED + int(number))
+        grown.append((rows["source"].iloc[0], rows["table_name"].iloc[0], pickle.dumps(tree), len(rows)))
+    return pd.DataFrame(grown, columns=["source", "table_name", "tree", "size"])
 
 
 def _score(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +184,7 @@ def isolation_forest(
     trees = (
         drawn.withColumn("place", place)
         .filter(F.col("place") <= subsample)
-        .groupBy(*SERIES, "tree")
+        .groupBy(*SERIES, F.floor(F.col("tree") / TREES_A_GROUP).alias("group"))
         .applyInPandas(_train, "source string, table_name string, tree binary, size int")
     )
     # TREES trees of at most 2 * subsample nodes per table
