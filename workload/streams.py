@@ -74,12 +74,13 @@ def disordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 
-def in_files(spark: SparkSession, sf_dir: str, name: str, key: str, files: int = 4) -> DataFrame:
-    """A table as a stream of ``files`` triggers, dealt by a hash of ``key``."""
+def in_files(spark: SparkSession, sf_dir: str, name: str, key: str, triggers: int = 4) -> DataFrame:
+    """A table as a stream of several triggers, dealt by a hash of ``key``; a trigger reads as many files as there are cores."""
     rows = table(spark, sf_dir, name)
     base = shared_dir(spark, f"{name}_in_files")
-    rows.repartition(files, key).write.parquet(base)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    files = spark.sparkContext.defaultParallelism
+    rows.repartition(triggers * files, key).write.parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(base)
 
 
 def stream_daily_profile(spark, sf_dir):
@@ -137,6 +138,37 @@ def stream_incremental(spark, sf_dir):
     return store.history().select("table_name", "metric", "value")
 
 
+PERIODS = 3
+_PERIOD = "least(greatest((year({}) - 1995) {} 3, 0), 2)"  # every row has one, also those without a date
+
+
+def stream_incremental_runs(spark, sf_dir):
+    """Orders that arrive period by period: each start takes the new files only and adds one snapshot to the history."""
+    base = shared_dir(spark, "stream_incremental_runs")
+    store = Store(spark, f"{base}/store")
+    rows = table(spark, sf_dir, "orders")
+    for period in range(PERIODS):
+        rows.where(F.expr(_PERIOD.format("o_orderdate", "div")) == period).write.mode("append").parquet(f"{base}/in")
+        arrived = project(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), ORDERS)
+        at = F.max("created_at").cast("timestamp")
+        incremental_monitor(arrived, store, "driver", "orders", f"{base}/out", f"{base}/checkpoint", batch_time=at).awaitTermination()
+    return store.history().select("table_name", F.col("profiled_at").cast("date").alias("profiled_at"), "metric", "value")
+
+
+def _runs_sql() -> str:
+    whole = history_sql("raw_orders", "orders")
+    head, tail = whole.rsplit("\n", 1)  # the common tables, and what is selected from them
+    periods = [
+        (f"orders_{p}", f"SELECT * FROM raw_orders WHERE {_PERIOD.format('CAST(created_at AS DATE)', '//')} = {p}") for p in range(PERIODS)
+    ]
+    parts = [
+        f"SELECT table_name, (SELECT max(CAST(created_at AS DATE)) FROM orders_{p}) AS profiled_at, metric, value "
+        f"FROM ({tail.replace('FROM raw_orders', f'FROM orders_{p}')}) WHERE (SELECT count(*) FROM orders_{p}) > 0"
+        for p in range(PERIODS)
+    ]
+    return head + "".join(f", {n} AS ({q})" for n, q in periods) + "\n" + " UNION ALL ".join(parts)
+
+
 RULES = [not_null("user_id"), not_null("total"), between("total", 0, 50_000), in_set("status", STATUSES)]
 
 
@@ -169,6 +201,7 @@ QUERIES = {
     "stream_suppression_log": stream_suppression_log,
     "stream_quarantine": stream_quarantine,
     "stream_incremental": stream_incremental,
+    "stream_incremental_runs": stream_incremental_runs,
 }
 
 _BROKEN = (
@@ -192,6 +225,7 @@ ORACLE = {
     "stream_suppression_in_time_order": greedy_sql("SELECT * FROM alerts", "INTERVAL 24 HOUR"),
     "stream_suppression_log": greedy_sql("SELECT * FROM alerts", "INTERVAL 24 HOUR"),
     "stream_incremental": history_sql("raw_orders", "orders"),
+    "stream_incremental_runs": _runs_sql(),
     "stream_quarantine": ctes(("raw_orders", sql_project("orders", ORDERS)))
     + f"SELECT {_BROKEN} AS broken, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM raw_orders GROUP BY 1",
 }
