@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import crosscheck as X
@@ -90,6 +91,17 @@ def volume_divergence(spark, sf_dir):
     return X.volume_divergence(_line_snapshots(spark, sf_dir)).select("check", "subject", "severity", "diff", "message")
 
 
+# one source triples in its five newest snapshots, the others fall to a third
+_DIVERGED = "row_count * CASE WHEN (source = 'west') = (rn <= 5) THEN 3 ELSE 1 END"
+
+
+def volume_divergence_planted(spark, sf_dir):
+    newest_first = Window.partitionBy(*S.SERIES).orderBy(F.desc("profiled_at"))
+    ranked = _line_snapshots(spark, sf_dir).withColumn("rn", F.row_number().over(newest_first))
+    planted = ranked.withColumn("row_count", F.expr(_DIVERGED)).drop("rn")
+    return X.volume_divergence(planted).select("check", "subject", "severity", "diff", "message")
+
+
 def missing_tables(spark, sf_dir):
     rows = X.missing_tables(stored(_line_snapshots(spark, sf_dir), "line_snapshots"))
     return rows.select(
@@ -225,6 +237,7 @@ QUERIES = {
     "cross_null_rate_by_table": cross_null_rate_by_table,
     "source_growth": source_growth,
     "volume_divergence": volume_divergence,
+    "volume_divergence_planted": volume_divergence_planted,
     "missing_tables": missing_tables,
     "cross_report": cross_report,
     "table_scores": table_scores,
@@ -277,6 +290,11 @@ _X3 = (
     "ORDER BY profiled_at DESC) AS rn FROM snaps) WHERE rn <= 10) WHERE n >= 2 GROUP BY 1, 2, 3) GROUP BY 1 "
     "HAVING sum(c) FILTER (NOT newer) > 0",
 )
+_PLANTED = (
+    "planted",
+    f"SELECT source, table_name, profiled_at, CAST({_DIVERGED} AS BIGINT) AS row_count FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY source, table_name ORDER BY profiled_at DESC) AS rn FROM snaps)",
+)
 _X3_ISSUE = (
     "SELECT 'volume_divergence' AS \"check\", string_agg(source, ',' ORDER BY growth_pct < 0, source) FILTER (growth_pct <> 0) AS subject, "
     f"'HIGH' AS severity, {settle('max(growth_pct) - min(growth_pct)', 1)} AS diff, "
@@ -366,6 +384,7 @@ ORACLE = {
     "cross_null_rate_by_table": ctes(*_LINES, _RATES, _x2("lower(table_name) || '.' || col")) + _X2_ISSUE,
     "source_growth": ctes(*_LINES, _X3) + "SELECT * FROM growth",
     "volume_divergence": ctes(*_LINES, _X3) + _X3_ISSUE,
+    "volume_divergence_planted": ctes(*_LINES, _PLANTED, (_X3[0], _X3[1].replace("FROM snaps", "FROM planted"))) + _X3_ISSUE,
     "missing_tables": ctes(*_LINES) + _X4,
     "cross_report": ctes(
         *_LINES, _X1, _RATES, _x2("col"), _X3,
