@@ -2,7 +2,8 @@
 
 No task holds the values of a group: a bounded sketch brackets each quantile, one pass counts what lies below and inside the
 brackets, and only the values inside, a few ten-thousandths of a large group, are ranked. A bracket that turns out to miss its
-ranks is widened to the whole group, so the result never rests on the sketch.
+ranks is widened to the whole group, so the result never rests on the sketch. Sketches and brackets, one row per group, are stored: Spark
+sees their size and broadcasts few of them, so that the values of a large group are neither sent to one task nor sorted there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import stored
+
 ACCURACY = 10_000  # the sketch is off by at most one in so many ranks
 LOWEST, HIGHEST = float("-inf"), float("inf")
 
@@ -27,9 +30,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     rows = df.select(F.struct(*keys).alias("keys"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     # a constant key alone would be folded away and leave joins without a condition; this one cannot be
     rows = rows.select(F.struct("keys", F.isnan("v").alias("never")).alias("k"), "v")
-    sketched = rows.groupBy("k").agg(F.count("v").alias("n"), _sketch(probs, accuracy).alias("s"))
+    sketched = stored(rows.groupBy("k").agg(F.count("v").alias("n"), _sketch(probs, accuracy).alias("s")), "quantile_sketches")
     first, last = _ranks(probs, F.floor), _ranks(probs, F.ceil)
-    # two passes read the brackets: once to count, once to pick
+    # the values are read again twice: once to count, once to pick
     counted = rows.join(sketched, "k").groupBy("k", "n", "s").agg(
         *[F.count_if(F.col("v") < _low(i)).alias(f"below{i}") for i in range(len(probs))],
         *[F.count_if(F.col("v").between(_low(i), _high(i))).alias(f"inside{i}") for i in range(len(probs))],
@@ -49,7 +52,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
             )
         )
     fields = "struct<i:int,low:double,high:double,below:bigint,first:bigint,last:bigint,part:double>"
-    brackets = counted.select("k", "n", F.array(*[s.cast(fields) for s in spans]).alias("spans"))
+    brackets = stored(counted.select("k", "n", F.array(*[s.cast(fields) for s in spans]).alias("spans")), "quantile_brackets")
     picked = rows.join(brackets, "k").select(
         "k", "n", "v", F.explode(F.filter("spans", lambda s: (s["low"] <= F.col("v")) & (F.col("v") <= s["high"]))).alias("span")
     )

@@ -9,7 +9,7 @@ import pytest
 
 from plumbline.operators import detect as D
 from plumbline.operators.quantiles import exact_quantiles
-from tests.helpers import by, final_plan, history, with_today
+from tests.helpers import by, final_plan, history, plan, with_today
 
 PROBS = (0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0)
 
@@ -63,6 +63,20 @@ def test_only_values_inside_the_brackets_are_ranked(spark):
     assert " percentile(" not in text and "Python" not in text and "NestedLoop" not in text
 
 
+def test_values_stay_where_they_are_read(spark):
+    """Large groups meet the few brackets by a broadcast; no task gets, or sorts, all values of a group."""
+    df = spark.range(200_000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(pmod(id * 7919, 200000) AS DOUBLE) AS v")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")  # less than the values, more than the brackets
+    try:
+        out = exact_quantiles(df, ["g"], "v", (0.25, 0.75))
+        assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+        assert {g: r["n"] for g, r in by(out, "g").items()} == {"0": 100_000, "1": 100_000}
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_selected_quartiles_give_the_same_findings(spark):
     h = history(spark, with_today(row_count=9)).unionByName(history(spark, with_today(row_count=99_999), table="other"))
     want = by(D.iqr(h), "table_name", "metric")
