@@ -17,48 +17,52 @@ from plumbline.session import stored
 from plumbline.sources.store import Store
 
 OUTPUT = "alert_key string, channel string, sent_at timestamp, severity string, summary string"
+COLUMNS = [*KEY, "sent_at", "severity", "summary"]
+KEY_GROUPS = 4096  # a trigger calls Python once for each group of keys, not once for each key
+SENT = "alert_keys array<string>, channels array<string>, last_us array<bigint>"
 
 
 def _keep_first(window_us: int):
-    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def keep(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        # only this trigger's alerts of one key; the source's rate limit bounds them
-        chunks = list(batches)
-        pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        # only this trigger's alerts of one group of keys; the source's rate limit bounds them
+        pdf = pd.concat(list(batches), ignore_index=True)
+        keys = list(zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in KEY)))
         us = pdf["sent_at"].to_numpy().astype("datetime64[us]").astype("int64")
-        order = np.lexsort((pdf["summary"].to_numpy(str), pdf["severity"].to_numpy(str), us)) if len(us) > 1 else np.zeros(1, int)
-        us, sent = us[order], []
-        at = int(np.searchsorted(us, state.get[0] + window_us)) if state.exists else 0
-        while at < len(us):
-            sent.append(at)
-            at += int(np.searchsorted(us[at:], us[at] + window_us))
+        order = np.lexsort((pdf["summary"].to_numpy(str), pdf["severity"].to_numpy(str), us))
+        last = {(k, c): at for k, c, at in zip(*state.get)} if state.exists else {}
+        sent = []
+        for i, at in zip(order.tolist(), us[order].tolist()):
+            before = last.get(keys[i])
+            if before is None or at >= before + window_us:
+                sent.append(i)
+                last[keys[i]] = at
+        # a key is forgotten once the watermark says that nothing can fall into its window any more
+        now, seen = state.getCurrentWatermarkMs(), set(keys)
+        last = {k: at for k, at in last.items() if k in seen or at + window_us > now * 1000}
+        names, channels = zip(*last)
+        state.update((list(names), list(channels), list(last.values())))
+        state.setTimeoutTimestamp(max((max(last.values()) + window_us) // 1000, now) + 1)
         if sent:
-            last = int(us[sent[-1]])
-            state.update((last,))
-        last = state.get[0]
-        # the key is forgotten once the watermark says that nothing can fall into its window any more
-        state.setTimeoutTimestamp(max((last + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        if sent:
-            yield pdf.take(order[sent])
+            yield pdf.take(sent)[COLUMNS]
 
     return keep
 
 
-def suppress_stream(alerts: DataFrame, minutes: int = WINDOW_MINUTES, delay: str = "1 hour") -> DataFrame:
+def suppress_stream(alerts: DataFrame, minutes: int = WINDOW_MINUTES, delay: str = "1 hour", buckets: int = KEY_GROUPS) -> DataFrame:
     """Alerts that are sent. State holds one time per key and channel, until the watermark has passed its window.
 
     Alerts are judged in arrival order between triggers and in time order within one; those more than ``delay`` behind the
-    newest are too late.
+    newest are too late. Keys share a state in ``buckets`` groups: more groups mean less state and fewer alerts in one call.
     """
     return (
         alerts.select(*KEY, F.col("sent_at").cast("timestamp").alias("sent_at"), "severity", "summary")
         .withWatermark("sent_at", delay)
-        .groupBy(*KEY)
-        .applyInPandasWithState(
-            _keep_first(minutes * 60_000_000), OUTPUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
+        .groupBy("bucket")
+        .applyInPandasWithState(_keep_first(minutes * 60_000_000), OUTPUT, SENT, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

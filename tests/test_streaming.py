@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,32 @@ def test_stream_suppression_forgets_keys_and_stays_right(spark, tmp_path):
     assert sent == [0, 60, 300, 1800, 1860]
 
 
+def test_stream_suppression_calls_python_for_groups_of_keys(spark, tmp_path):
+    """Many keys share a few states, over triggers, with null keys and equal times, and are judged as each alone."""
+    r = random.Random(3)
+    at = lambda m: START + dt.timedelta(minutes=m)
+    names = [None, *(f"k{i}" for i in range(150))]
+    batches = [[(r.choice(names), r.choice([None, "c"]), at(60 * b + r.randrange(60)), r.choice(["HIGH", None]), r.choice("xyz")) for _ in range(900)] for b in range(3)]
+    stream = suppress_stream(write_batches(spark, tmp_path / "in", ALERTS, batches), minutes=45, delay="2 hours", buckets=8)
+    assert sorted(map(repr, map(tuple, drain(stream, tmp_path).collect()))) == sorted(map(repr, judged_alone(batches, 45)))
+    # the rows of state are those of the groups, not of the keys
+    query = (
+        stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+
+
+def judged_alone(batches, minutes):
+    """Brute force: batch by batch, each in the order of time, severity and summary."""
+    last = {}
+    for rows in batches:
+        for row in sorted(rows, key=lambda a: (a[2], str(a[3]), a[4])):
+            if row[:2] not in last or row[2] >= last[row[:2]] + dt.timedelta(minutes=minutes):
+                last[row[:2]] = row[2]
+                yield row
+
+
 @pytest.fixture
 def rocks_db(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
