@@ -25,6 +25,7 @@ from plumbline.session import stored
 WINDOW_MINUTES = 60
 DEFAULT_ROUTES = ("CRITICAL", "HIGH")
 KEY = ["alert_key", "channel"]
+BLOCK_ROWS = 50_000  # a task's Python holds one block
 FAN = 32  # blocks whose step lists meet in one task
 FIRST = np.iinfo(np.int64).min  # nothing sent yet
 GroupKey = tuple[pa.Scalar, ...]
@@ -206,6 +207,13 @@ def _mark_sent(window: int, names: list[str]):
     return mark
 
 
+def _block_count(instants: DataFrame) -> int:
+    """So many that a block has about BLOCK_ROWS rows, or fewer if that keeps all cores busy."""
+    n = instants.count()
+    share = n // instants.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // min(BLOCK_ROWS, max(BLOCK_ROWS // 5, share))))
+
+
 def suppress(alerts: DataFrame, minutes: int = WINDOW_MINUTES, *, blocks: int | None = None, fan: int = FAN) -> DataFrame:
     """Alerts that are sent; repeats of a key and channel within ``minutes`` are dropped.
 
@@ -216,14 +224,16 @@ def suppress(alerts: DataFrame, minutes: int = WINDOW_MINUTES, *, blocks: int |
     names = alerts.columns
     rest = [c for c in names if c not in (*KEY, "sent_at")]
     # one row per key and instant; duplicates meet in the partial aggregate. A null has no field in the JSON, so the text is never null
-    instants = (
+    instants = stored(
         alerts.filter(F.col("sent_at").isNotNull())
         .groupBy(*KEY, "sent_at")
         .agg(F.min(F.struct(*rest)).alias("_row"))
-        .select(F.to_json(F.struct(*KEY)).alias("key"), F.unix_micros(F.col("sent_at").cast("timestamp")).alias("us"), *KEY, "sent_at", "_row")
+        .select(F.to_json(F.struct(*KEY)).alias("key"), F.unix_micros(F.col("sent_at").cast("timestamp")).alias("us"), *KEY, "sent_at", "_row"),
+        "alert_instants",
     )
-    ranged = instants.repartitionByRange(*([blocks] if blocks else []), "key", "us")
-    rows = stored(ranged.withColumn("block", F.spark_partition_id().cast("long")), "alert_instants")
+    # counted, because partitions merged by their bytes would make blocks that grow with the input
+    ranged = instants.repartitionByRange(blocks or _block_count(instants), "key", "us")
+    rows = stored(ranged.withColumn("block", F.spark_partition_id().cast("long")), "alert_blocks")
     times = rows.select("key", "us", "block")
 
     steps_type = "key string, block long, at long, leaves long"

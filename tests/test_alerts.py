@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import alerts as A
+from plumbline.session import stored
 from tests.helpers import START, by, findings, final_plan
 
 SCHEMA = "alert_key string, channel string, sent_at timestamp, severity string, summary string"
@@ -74,6 +75,18 @@ def test_suppression_equals_brute_force(spark, name, blocks, fan):
     assert seconds(A.suppress(alerts(spark, rows), 60, blocks=blocks, fan=fan)) == greedy(rows, 3600)
 
 
+def test_blocks_do_not_grow_with_the_input(spark, monkeypatch):
+    """Partitions merged by their bytes would put all these alerts into one or two blocks."""
+    kept = {}
+    keep = lambda df, name: kept.setdefault(name, stored(df, name)) if name == "alert_blocks" else stored(df, name)
+    monkeypatch.setattr(A, "stored", keep)
+    monkeypatch.setattr(A, "BLOCK_ROWS", 200)
+    rows = shapes()["dense"]
+    assert seconds(A.suppress(alerts(spark, rows))) == greedy(rows, 3600)
+    sizes = [r["count"] for r in kept["alert_blocks"].groupBy("block").count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 400
+
+
 def test_hot_key_beside_small_keys(spark):
     r = random.Random(1)
     rows = [("hot", "c", r.randint(0, 500_000)) for _ in range(400)] + [(f"k{i}", "c", r.randint(0, 9000)) for i in range(200)]
